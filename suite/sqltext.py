@@ -47,6 +47,13 @@ COLUMNS = {
         ("doc_id", "bigint", "numeric"), ("text", "string", "categorical"), ("lang", "string", "categorical"),
         ("source", "string", "categorical"), ("n_chars", "bigint", "numeric"),
     ],
+    "shipments_dirty": [
+        ("row_id", "bigint", "numeric"), ("part_id", "bigint", "numeric"), ("unit_price", "double", "numeric"),
+        ("gross_value", "double", "numeric"), ("price_copy", "double", "numeric"), ("weight", "double", "numeric"),
+        ("load_index", "double", "numeric"), ("notes", "string", "categorical"),
+        ("ship_day", "string", "categorical"), ("tax_text", "string", "categorical"),
+        ("flag", "string", "categorical"), ("outcome", "string", "categorical"),
+    ],
     "lineitem_feat": [
         ("l_quantity", "double", "numeric"), ("l_extendedprice", "double", "numeric"),
         ("l_discount", "double", "numeric"), ("l_tax", "double", "numeric"), ("price_copy", "double", "numeric"),
@@ -197,3 +204,73 @@ def missing_risk(p: str, imp: str) -> str:
 def outlier_risk(n: str, rows: str) -> str:
     return (f"case when {n} * 100.0 / nullif({rows}, 0) > 15 then 'HIGH' "
             f"when {n} * 100.0 / nullif({rows}, 0) > 5 then 'MEDIUM' else 'LOW' end")
+
+
+def pairs(view: str, cols: list[str]) -> str:
+    """``pairs as (...)``: every unordered pair in table order, with its unrounded r."""
+    from itertools import combinations
+
+    return "pairs as (" + " union all ".join(
+        f"select {k} as position, '{a}' as col1, '{b}' as col2, {corr(a, b)} as r from {view}"
+        for k, (a, b) in enumerate(combinations(cols, 2))) + ")"
+
+
+def checks(view: str, target: str | None = None, derived: bool = True) -> str:
+    """``with ...``: profile, overview and every check of a view as common table expressions."""
+    continuous = [c for c in names(view, "numeric")]
+    return with_facts(view, derived).rstrip() + f""",
+    prof as ({profile(target)}),
+    over as ({overview(view)}),
+    missing as (select name as col, ordinal, missing, missing_pct as pct,
+        {missing_risk('missing_pct', 'importance')} as risk, importance from prof where missing > 0),
+    dups as (select duplicate_rows, duplicate_pct, case when duplicate_pct > 20 then 'HIGH'
+        when duplicate_pct > 5 then 'MEDIUM' else 'LOW' end as risk from over),
+    outl as (select name as col, ordinal, outliers_iqr as iqr_count, outliers_zscore as zscore_count,
+        {outlier_risk('greatest(outliers_iqr, outliers_zscore)', '(select rows from over)')} as risk, is_ordinal
+        from prof where outliers_iqr > 0 or outliers_zscore > 0),
+    wrong as (select name as col, ordinal, dtype_raw as current_type, suggested_dtype as suggested_type
+        from prof where suggested_dtype <> ''),
+    neg as (select name as col, ordinal, negatives as count from facts
+        where dtype_class = 'numeric' and negatives > 0 and regexp_matches(lower(name), '{NEGATIVE}')),
+    zero as (select name as col, ordinal, zeros as count from facts
+        where dtype_class = 'numeric' and zeros > 0 and regexp_matches(lower(name), '{ZERO}')),
+    skews as (select name as col, ordinal, skewness, case when abs(skewness) > 2 then 'HIGH' else 'MEDIUM' end as level
+        from prof where dtype_class = 'numeric' and not coalesce(is_ordinal, false) and abs(skewness) > 1),
+    {pairs(view, continuous)},
+    bands as (select position, col1, col2, case when abs(r) > 0.9 then 'high' when abs(r) > 0.7 then 'medium' end as band,
+        round(r, 3) as correlation from pairs
+        where abs(r) > 0.7 and col1 not in (select name from prof where is_ordinal)
+          and col2 not in (select name from prof where is_ordinal)),
+    issues as (
+      select 0 as block, ordinal as position, 'missing' as type, col,
+             'Missing values: ' || pct::varchar || '% in ' || col || ' [' || importance || ']' as "desc",
+             risk as severity, importance from missing
+      union all select 1, 0, 'duplicate', '—', duplicate_pct::varchar || '% duplicate rows',
+             case when duplicate_pct > 10 then 'HIGH' when duplicate_pct > 2 then 'MEDIUM' else 'LOW' end, 'IMPORTANT'
+             from dups where duplicate_pct > 0
+      union all select 2, ordinal, 'outlier', col, 'Outliers: ' || iqr_count || ' in ' || col, risk, 'IMPORTANT' from outl
+      union all select 3, ordinal, 'wrong_type', col,
+             'Type mismatch: ' || col || ' (' || current_type || ' → ' || suggested_type || ')', 'MEDIUM', 'IMPORTANT' from wrong
+      union all select 4, ordinal, 'skewness', col, 'Skewed: ' || col || ' (skew=' || skewness::varchar || ')', level,
+             'IMPORTANT' from skews
+      union all select 5, position, 'correlation', col1 || ' ↔ ' || col2, 'High correlation ' || correlation::varchar ||
+             ' between ' || col1 || ' and ' || col2, 'MEDIUM', 'IMPORTANT' from bands where band = 'high'
+      union all select 6, ordinal, 'invalid_value', col, 'Negative values in ' || col || ' (' || count || ' rows)',
+             'HIGH', 'CRITICAL' from neg),
+    parts as (select
+        30.0 - least(coalesce((select sum(missing_pct * case importance when 'CRITICAL' then 2.5 when 'OPTIONAL' then 0.3
+            else 1.5 end) from prof), 0) / (select columns from over) * 3, 30.0) as completeness,
+        20.0 - least(duplicate_pct * 2.0, 20.0) as consistency,
+        20.0 - least(coalesce((select sum(iqr_count) from outl where not is_ordinal), 0)::double / rows * 100 * 1.5, 15.0) as validity,
+        30.0 - least((select count(*) from wrong) * 2, 10) - least((select count(*) from skews where level = 'HIGH') * 2, 10)
+          - least(((select count(*) from neg) + (select count(*) from zero)) * 2, 10) as usability,
+        case when missing_pct = 0 then 5 else 0 end + case when duplicate_pct = 0 then 5 else 0 end as bonus
+      from over),
+    totals as (select floor(least(100.0, greatest(0.0, completeness + consistency + validity + usability + bonus)))::bigint
+        as total, * from parts)
+"""
+
+
+GRADE = ("case when total >= 90 then 'Excellent' when total >= 70 then 'Good' "
+         "when total >= 50 then 'Needs Cleaning' else 'High Risk' end")
+TIER = "case when total >= 75 then 'Good' when total >= 50 then 'Fair' else 'Poor' end"

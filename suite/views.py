@@ -40,6 +40,24 @@ VIEWS = {
                case when l_linenumber = 7 then null else l_quantity * l_discount end as gappy,
                l_returnflag
         from {lineitem}""",
+    "shipments_dirty": """
+        with b as (
+          select l_orderkey * 10 + l_linenumber as row_id,
+                 case when l_orderkey % 9 = 0 then null else l_partkey end as part_id,
+                 case when l_linenumber = 7 then -l_extendedprice else l_extendedprice end as unit_price,
+                 l_extendedprice as gross_value,
+                 l_extendedprice * 1.1e0 + l_tax as price_copy,
+                 case when l_quantity = 1 then 0.0e0 else l_quantity end as weight,
+                 l_quantity / 50.0e0 * (l_quantity / 50.0e0) * (l_quantity / 50.0e0) * (l_quantity / 50.0e0)
+                   * (l_quantity / 50.0e0) * (l_quantity / 50.0e0) * (l_quantity / 50.0e0) * (l_quantity / 50.0e0)
+                   as load_index,
+                 case when l_orderkey % 5 = 0 then 'left at door' else null end as notes,
+                 cast(cast(l_shipdate as date) as string) as ship_day,
+                 cast(cast(l_tax as decimal(4,2)) as string) as tax_text,
+                 case when l_orderkey % 3 = 0 then null else l_returnflag end as flag,
+                 case when l_orderkey % 11 = 0 then 'rare' else 'usual' end as outcome
+          from {lineitem})
+        select * from b union all select * from b where row_id % 13 = 1""",
     "orders_orphan": """
         select o_orderkey,
                case when o_orderkey % 25 = 0 then o_custkey + 1000000 else o_custkey end as custkey
