@@ -50,6 +50,7 @@ VIEWS = {
                  case when l_quantity = 1 then 0.0e0 else l_quantity end as weight,
                  l_quantity / 50.0e0 * (l_quantity / 50.0e0) * (l_quantity / 50.0e0) * (l_quantity / 50.0e0)
                    * (l_quantity / 50.0e0) * (l_quantity / 50.0e0) * (l_quantity / 50.0e0) * (l_quantity / 50.0e0)
+                   * (l_quantity / 50.0e0) * (l_quantity / 50.0e0)
                    as load_index,
                  case when l_orderkey % 5 = 0 then 'left at door' else null end as notes,
                  cast(cast(l_shipdate as date) as string) as ship_day,

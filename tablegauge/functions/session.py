@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -74,3 +76,9 @@ def staged(df: DataFrame, limit: int = STAGE_BYTES):
         yield kept
     finally:
         kept.unpersist()
+
+
+def together(jobs: list[Callable]) -> list:
+    """Results of independent Spark jobs, submitted at the same time."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]

@@ -11,7 +11,7 @@ from tablegauge.functions import keywords as K
 from tablegauge.functions import names as N
 from tablegauge.functions import rules as R
 from tablegauge.functions.nulls import normalize_nulls
-from tablegauge.functions.session import staged
+from tablegauge.functions.session import staged, together
 from tablegauge.operators.correlation import correlations, pair_table
 from tablegauge.operators.duplicates import duplicate_count
 from tablegauge.operators.facts import collect_facts
@@ -85,13 +85,9 @@ def continuous_columns(profile: TableProfile) -> list[str]:
     return [c.name for c in profile.facts.columns if c.numeric and not (c.has_stats and c.ordinal_like)]
 
 
-def whole_names(profile: TableProfile) -> set[str]:
-    return {c.name for c in profile.facts.columns if c.present == profile.facts.rows}
-
-
 def correlation_pairs(df: DataFrame, profile: TableProfile) -> DataFrame:
     """``(col1, col2, position, r)`` of all continuous pairs, unrounded."""
-    return pair_table(df, continuous_columns(profile), whole_names(profile))
+    return pair_table(df, continuous_columns(profile))
 
 
 def correlation_bands(pairs: DataFrame) -> DataFrame:
@@ -159,8 +155,7 @@ def check_table(df: DataFrame, target: str | None = None) -> TableChecks:
     """Profile the table and prepare its checks, reading a small input from memory."""
     df = normalize_nulls(df)
     with staged(df) as rows:
-        facts = collect_facts(rows)
-        copies = duplicate_count(rows).first()[0] if facts.rows else 0
+        facts, copies = together([lambda: collect_facts(rows), lambda: duplicate_count(rows).first()[0]])
         profile = TableProfile(df, facts, target, copies)
         pairs = correlation_pairs(rows, profile)
     return TableChecks(df, profile, pairs)
@@ -174,7 +169,7 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
     profile = profile_table(df, target, quartiles=False, duplicates=False)
     names = [c.name for c in profile.facts.columns
              if c.numeric and c.name != target and not profile.facts.id_like(c)]
-    found = correlations(df, [(c, target) for c in names], whole_names(profile))
+    found = correlations(df, [(c, target) for c in names])
     rows = [(c, r) for (c, _), r in found.items() if r is not None]
     return local_rows(df.sparkSession, rows, "col string, r double").select(
         "col", F.round(F.abs("r"), 3).alias("abs_correlation")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tablegauge.functions.classes import columns_of
 from tablegauge.functions.nulls import finite, normalize_nulls, quoted
 from tablegauge.functions.session import local_rows
-from tablegauge.operators.facts import run_aggs
 
 
 def safe_corr(a: Column, b: Column, a_whole: bool = False, b_whole: bool = False) -> Column:
@@ -26,37 +25,35 @@ def safe_corr(a: Column, b: Column, a_whole: bool = False, b_whole: bool = False
     return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
-def correlations(
-    df: DataFrame, pairs: list[tuple[str, str]], whole: set[str] = frozenset()
-) -> dict[tuple[str, str], float | None]:
-    """r of each pair; ``whole`` names the columns known to hold no nulls."""
-    if not pairs:
-        return {}
-    df = normalize_nulls(df)
-    names = list(dict.fromkeys(c for p in pairs for c in p))
-    rows = df.select([quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
-    at = {c: f"x{i}" for i, c in enumerate(names)}
-    aggs = {
-        f"r{k}": safe_corr(F.col(at[a]), F.col(at[b]), a in whole, b in whole)
-        for k, (a, b) in enumerate(pairs)
-    }
-    got = run_aggs(rows, aggs)
-    return {p: got[f"r{k}"] for k, p in enumerate(pairs)}
-
-
-def whole_columns(df: DataFrame, names: list[str]) -> set[str]:
-    """The columns without nulls or NaN: one cheap counting pass."""
-    if not names:
-        return set()
-    df = normalize_nulls(df)
-    row = df.agg(F.count("*").alias("n"), *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    return {c for i, c in enumerate(names) if row[f"n{i}"] == row["n"]}
+# Pairs per pass, so that generated code stays small.
+PAIRS_PER_PASS = 150
+
 
+def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """r of each pair, over the rows in which both sides are present.
 
-def pair_table(df: DataFrame, names: list[str], whole: set[str] | None = None) -> DataFrame:
+    Each row gives one (pair, x, y) row per pair to a grouped aggregate that combines on the map
+    side: one small piece of generated code serves all pairs, and a few numbers per pair travel.
+    """
+    df = normalize_nulls(df)
+    found: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[start:start + PAIRS_PER_PASS]
+        cells = []
+        for k, (a, b) in enumerate(part):
+            x, y = quoted(a).cast("double"), quoted(b).cast("double")
+            both = F.struct(x.alias("x"), y.alias("y"))
+            cells.append(F.when(x.isNotNull() & y.isNotNull(), both).alias(str(k)))
+        long = df.select(cells).unpivot([], [str(k) for k in range(len(part))], "pair", "both").dropna()
+        x, y = F.col("both.x"), F.col("both.y")
+        for r in long.groupBy("pair").agg(safe_corr(x, y, True, True).alias("r")).collect():
+            found[part[int(r["pair"])]] = r["r"]
+    return found
+
+
+def pair_table(df: DataFrame, names: list[str]) -> DataFrame:
     """``(col1, col2, position, r)`` of all unordered pairs with a defined r, unrounded."""
-    whole = whole_columns(df, names) if whole is None else whole
-    found = correlations(df, list(combinations(names, 2)), whole)
+    found = correlations(df, list(combinations(names, 2)))
     rows = [(a, b, k, r) for k, ((a, b), r) in enumerate(found.items()) if r is not None]
     return local_rows(df.sparkSession, rows, "col1 string, col2 string, position int, r double")
 

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.session import local_rows
-from tablegauge.operators.checks import whole_names
 from tablegauge.operators.correlation import correlations
 from tablegauge.operators.facts import TableFacts
 from tablegauge.operators.profile import TableProfile, profile_table
@@ -97,8 +96,7 @@ def correlation_matrix(df: DataFrame, profile: TableProfile, target: str | None
     schema = "row_no int, col_no int, col1 string, col2 string, r double"
     if len(names) < 2:
         return local_rows(df.sparkSession, [], schema)
-    whole = whole_names(profile)
-    found = correlations(df, list(combinations(names, 2)), whole)
+    found = correlations(df, list(combinations(names, 2)))
     rows = []
     for i, a in enumerate(names):
         for j, b in enumerate(names):

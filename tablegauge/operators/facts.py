@@ -3,11 +3,15 @@
 Collected are a handful of numbers per column; they bound the driver's share by the width of the
 table, never by its length. Each pass reads only the columns it needs:
 
-1. counts, sums, extremes, sign counts and text patterns (plain hash aggregate),
+1. counts, sums, extremes, sign counts and text patterns,
 2. distinct counts, and the most frequent text values,
-3. central moments around the means of pass 1, and real parses for the text patterns that fit,
-4. exact quartiles of numeric columns (see ``quantiles``),
-5. rows outside the fences and beyond three standard deviations.
+3. central moments around the means of pass 1,
+4. real parses of the text columns whose every value has the shape of a date or a number,
+5. exact quartiles of numeric columns (see ``quantiles``),
+6. rows outside the fences and beyond three standard deviations.
+
+A pass turns columns into (column, value) rows and groups them by column. The generated code is
+then the same short loop for ten or a thousand columns, and what leaves a task is one row per column.
 """
 
 from __future__ import annotations
@@ -22,14 +26,11 @@ from pyspark.sql import types as T
 from tablegauge.functions import keywords as K
 from tablegauge.functions.classes import WIDTHS, dtype_class, text_form
 from tablegauge.functions.nulls import normalize_nulls, quoted
+from tablegauge.functions.session import together
 from tablegauge.functions.probes import DATETIME_FORMATS, NUMBER_PATTERN, looks_like, parse_datetime, parse_number
 from tablegauge.operators import distinct as D
 from tablegauge.operators.quantiles import quantiles
 
-# Aggregates per pass over a very wide table, so that generated code stays small.
-AGGS_PER_PASS = 400
-
-
 @dataclass
 class ColumnFacts:
     name: str
@@ -89,15 +90,6 @@ def _split(name: str) -> list[str]:
     return name.lower().replace("-", "_").replace("\t", " ").replace(" ", "_").split("_")
 
 
-def run_aggs(df: DataFrame, aggs: dict[str, Column]) -> dict:
-    """All aggregates in as few passes as their number allows."""
-    items, out = list(aggs.items()), {}
-    for i in range(0, len(items), AGGS_PER_PASS):
-        part = items[i:i + AGGS_PER_PASS]
-        out.update(df.agg(*[a.alias(k) for k, a in part]).first().asDict())
-    return out
-
-
 def _plain(c: ColumnFacts) -> Column:
     return quoted(c.name).cast("double")
 
@@ -116,54 +108,71 @@ def collect_facts(
     quartiles: bool = True,
     probes: bool = True,
 ) -> TableFacts:
-    """All facts of a table. ``distinct`` is exact, approx (sketches) or skip (not counted)."""
+    """All facts of a table. ``distinct`` is exact, approx (sketches) or skip (not counted).
+
+    Passes that do not need each other are submitted together; Spark shares its cores among them.
+    """
     df = normalize_nulls(df)
     flat = text_form(df)
-    facts = _first_pass(df, flat, probes)
+    facts = _first_pass(flat, _new_columns(df), probes)
     if facts.rows:
+        work = [lambda: _moment_pass(flat, facts), lambda: _probe_pass(flat, facts)]
         if distinct != "skip":
-            _distinct_pass(df, flat, facts, distinct)
-        _moment_pass(flat, facts, probes)
+            work.append(lambda: _distinct_pass(df, flat, facts, distinct))
+        if quartiles:
+            work.append(lambda: _quartile_pass(df, facts))
+        together(work)
         if quartiles:
-            _quartile_pass(df, facts)
+            _outlier_pass(df, facts)
     return facts
 
 
-def _first_pass(df: DataFrame, flat: DataFrame, probes: bool) -> TableFacts:
-    cols = _new_columns(df)
-    aggs: dict[str, Column] = {"rows": F.count("*")}
+# Fixed value: a date in any of the known formats starts with a digit or a capital.
+_DATE_START = r"^[0-9A-Z]"
+
+
+def _cell(c: ColumnFacts, dtype: T.DataType, probes: bool) -> Column:
+    """What the first pass looks at in one cell."""
+    x = quoted(c.name)
+    text = c.dtype_class == "categorical"
+    probed = probes and isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
+    return F.struct(
+        F.lit(c.ordinal).alias("i"), x.isNotNull().alias("present"),
+        (_plain(c) if c.numeric else F.lit(None).cast("double")).alias("d"),
+        (F.octet_length(x) if text else F.lit(None).cast("int")).alias("bytes"),
+        (looks_like(x, NUMBER_PATTERN) if probed else F.lit(False)).alias("number"),
+        (looks_like(x, _DATE_START) if probed else F.lit(False)).alias("date"),
+    ).alias(f"c{c.ordinal}")
+
+
+def _first_pass(flat: DataFrame, cols: list[ColumnFacts], probes: bool) -> TableFacts:
+    """One grouped aggregate over (column, cell) rows: small code for any number of columns."""
     whole = F.lit(True)
     for c in cols:
         whole = whole & quoted(c.name).isNotNull()
-    aggs["complete"] = F.count_if(whole)
-    for c in cols:
-        i, x = c.ordinal, quoted(c.name)
-        aggs[f"n{i}"] = F.count(x)
-        if c.numeric:
-            d = _plain(c)
-            aggs.update({f"mean{i}": F.avg(d), f"min{i}": F.min(d), f"max{i}": F.max(d)})
-            aggs.update({f"neg{i}": F.count_if(x < 0), f"zero{i}": F.count_if(x == 0)})
-        elif c.dtype_class == "categorical":
-            aggs.update({f"len{i}": F.max(F.octet_length(x)), f"sum{i}": F.sum(F.octet_length(x).cast("long"))})
-            if probes and isinstance(df.schema[c.ordinal].dataType, (T.StringType, T.VarcharType, T.CharType)):
-                aggs[f"num{i}"] = F.count_if(looks_like(x, NUMBER_PATTERN))
-                aggs[f"day{i}"] = F.count_if(x.rlike(r"^[0-9A-Z]"))
-    got = run_aggs(flat, aggs)
-    for c in cols:
-        i = c.ordinal
-        c.present = got[f"n{i}"]
-        if c.numeric:
-            c.mean, c.minimum, c.maximum = got[f"mean{i}"], got[f"min{i}"], got[f"max{i}"]
-            c.negatives, c.zeros = got[f"neg{i}"], got[f"zero{i}"]
-        elif c.dtype_class == "categorical":
-            c.longest, c.text_bytes = got[f"len{i}"] or 0, got[f"sum{i}"] or 0
-            if c.present and got.get(f"day{i}") == c.present and c.longest <= D.LONG_TEXT:
-                c.suggested = "datetime?"
-            elif c.present and got.get(f"num{i}") == c.present:
-                c.suggested = "numeric?"
-            if c.suggested == "datetime?" and got[f"num{i}"] == c.present:
-                c.suggested = "datetime?numeric?"
-    return TableFacts(got["rows"], got["complete"], cols)
+    cells = [_cell(c, f.dataType, probes) for c, f in zip(cols, flat.schema)]
+    long = flat.select(whole.alias("whole"), *cells).unpivot(
+        ["whole"], [f"c{c.ordinal}" for c in cols], "column_name", "cell")
+    d = F.col("cell.d")
+    size = F.col("cell.bytes")
+    got = long.groupBy(F.col("cell.i").alias("i")).agg(
+        F.count("*").alias("rows"), F.count_if("whole").alias("whole"), F.count_if("cell.present").alias("present"),
+        F.avg(d).alias("mean"), F.min(d).alias("low"), F.max(d).alias("high"),
+        F.count_if(d < 0).alias("negatives"), F.count_if(d == 0).alias("zeros"),
+        F.max(size).alias("longest"), F.sum(size.cast("long")).alias("bytes"),
+        F.count_if("cell.number").alias("numbers"), F.count_if("cell.date").alias("dates"),
+    ).collect()
+    for r in got:
+        c = cols[r["i"]]
+        c.present = r["present"]
+        c.mean, c.minimum, c.maximum = r["mean"], r["low"], r["high"]
+        c.negatives, c.zeros = r["negatives"], r["zeros"]
+        c.longest, c.text_bytes = r["longest"] or 0, r["bytes"] or 0
+        if c.present and r["dates"] == c.present and c.longest <= D.LONG_TEXT:
+            c.suggested = "datetime?"
+        if c.present and r["numbers"] == c.present:
+            c.suggested += "numeric?"
+    return TableFacts(got[0]["rows"] if got else 0, got[0]["whole"] if got else 0, cols)
 
 
 def _distinct_pass(df: DataFrame, flat: DataFrame, facts: TableFacts, how: str) -> None:
@@ -189,33 +198,42 @@ def _distinct_pass(df: DataFrame, flat: DataFrame, facts: TableFacts, how: str)
             c.top_value = D.smallest_top_text(flat, c.name, c.top_freq).first()["top_value"]
 
 
-def _moment_pass(flat: DataFrame, facts: TableFacts, probes: bool) -> None:
-    aggs: dict[str, Column] = {}
-    for c in facts.columns:
+def _moment_pass(flat: DataFrame, facts: TableFacts) -> None:
+    """Power sums around the means of the first pass."""
+    chosen = [c for c in facts.columns if c.has_stats and math.isfinite(c.mean)]
+    if not chosen:
+        return
+    names = [str(c.ordinal) for c in chosen]
+    centred = flat.select([(_plain(c) - F.lit(c.mean)).alias(str(c.ordinal)) for c in chosen])
+    d = F.col("d")
+    got = centred.unpivot([], names, "i", "d").groupBy("i").agg(
+        F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"), F.sum(d * d * d * d).alias("s4"))
+    for r in got.collect():
+        _set_moments(facts.columns[int(r["i"])], r["s1"], r["s2"], r["s3"], r["s4"])
+
+
+def _probe_pass(flat: DataFrame, facts: TableFacts) -> None:
+    """Real parses, only of the columns whose every value has the right shape."""
+    chosen = [c for c in facts.columns if c.suggested]
+    if not chosen:
+        return
+    aggs = []
+    for c in chosen:
         i, x = c.ordinal, quoted(c.name)
-        if c.has_stats and math.isfinite(c.mean):
-            d = _plain(c) - F.lit(c.mean)
-            aggs.update({f"a{i}": F.sum(d), f"b{i}": F.sum(d * d), f"c{i}": F.sum(d * d * d),
-                         f"d{i}": F.sum(d * d * d * d)})
-        elif c.suggested:
-            if "datetime?" in c.suggested:
-                for k, (fmt, pattern) in enumerate(DATETIME_FORMATS):
-                    aggs[f"f{i}_{k}"] = F.count(parse_datetime(x, fmt, pattern))
-            if "numeric?" in c.suggested:
-                aggs[f"p{i}"] = F.count(parse_number(x))
-    got = run_aggs(flat, aggs) if aggs else {}
-    for c in facts.columns:
+        if "datetime?" in c.suggested:
+            aggs += [F.count(parse_datetime(x, fmt, pattern)).alias(f"f{i}_{k}")
+                     for k, (fmt, pattern) in enumerate(DATETIME_FORMATS)]
+        if "numeric?" in c.suggested:
+            aggs.append(F.count(parse_number(x)).alias(f"p{i}"))
+    got = flat.agg(*aggs).first().asDict()
+    for c in chosen:
         i = c.ordinal
-        if f"b{i}" in got:
-            _set_moments(c, got[f"a{i}"], got[f"b{i}"], got[f"c{i}"], got[f"d{i}"])
-        elif c.suggested:
-            fits = [got.get(f"f{i}_{k}") == c.present for k in range(len(DATETIME_FORMATS))]
-            if any(fits):
-                c.suggested = "datetime"
-            elif got.get(f"p{i}") == c.present and not _datetime_name(c.name):
-                c.suggested = "numeric"
-            else:
-                c.suggested = ""
+        if any(got.get(f"f{i}_{k}") == c.present for k in range(len(DATETIME_FORMATS))):
+            c.suggested = "datetime"
+        elif got.get(f"p{i}") == c.present and not _datetime_name(c.name):
+            c.suggested = "numeric"
+        else:
+            c.suggested = ""
 
 
 def _datetime_name(name: str) -> bool:
@@ -241,25 +259,37 @@ def _set_moments(c: ColumnFacts, s1: float, s2: float, s3: float, s4: float) ->
 
 def _quartile_pass(df: DataFrame, facts: TableFacts) -> None:
     chosen = [c for c in facts.columns if c.has_stats]
-    if not chosen:
-        return
-    exprs = {c.name: _plain(c) for c in chosen}
-    found = quantiles(df, exprs, [0.25, 0.5, 0.75], {c.name: c.present for c in chosen})
-    aggs: dict[str, Column] = {}
-    for c in chosen:
-        c.quartiles = found[c.name]
+    if chosen:
+        found = quantiles(df, {c.name: _plain(c) for c in chosen}, [0.25, 0.5, 0.75],
+                          {c.name: c.present for c in chosen})
+        for c in chosen:
+            c.quartiles = found[c.name]
+
+
+def _outlier_pass(df: DataFrame, facts: TableFacts) -> None:
+    """Rows outside the fences (code 1) and beyond three standard deviations (code 2)."""
+    codes = []
+    for c in facts.columns:
+        if not c.has_stats:
+            continue
         c.outliers_iqr = c.outliers_zscore = 0
-        low, high = fences(c)
         if c.ordinal_like:
             continue
+        low, high = fences(c)
+        code = F.lit(0)
         if high > low:
-            aggs[f"o{c.ordinal}"] = F.count_if(outside(_plain(c), low, high))
+            code = code + outside(_plain(c), low, high).cast("int")
         if c.std_pop and c.present >= 3:
-            aggs[f"z{c.ordinal}"] = F.count_if(F.abs(_plain(c) - c.mean) / c.std_pop > K.Z_LIMIT)
-    got = run_aggs(df, aggs) if aggs else {}
-    for c in chosen:
-        c.outliers_iqr = got.get(f"o{c.ordinal}", 0)
-        c.outliers_zscore = got.get(f"z{c.ordinal}", 0)
+            code = code + 2 * (F.abs(_plain(c) - c.mean) / c.std_pop > K.Z_LIMIT).cast("int")
+        codes.append(code.alias(str(c.ordinal)))
+    if not codes:
+        return
+    names = [str(c.ordinal) for c in facts.columns if c.has_stats and not c.ordinal_like]
+    long = df.select(codes).unpivot([], names, "i", "code").filter("code > 0")
+    for r in long.groupBy("i", "code").agg(F.count("*").alias("n")).collect():
+        c = facts.columns[int(r["i"])]
+        c.outliers_iqr += r["n"] if r["code"] & 1 else 0
+        c.outliers_zscore += r["n"] if r["code"] & 2 else 0
 
 
 def fences(c: ColumnFacts) -> tuple[float, float]:

@@ -96,12 +96,12 @@ def _mean_of(df: DataFrame, names: list[str], measure, label: str) -> DataFrame:
 
 def mf_correlation(df: DataFrame, target: str) -> DataFrame:
     """One row: mean |r| over the pairs of numeric features for which r is defined."""
-    value = _mean_abs_r(df, numeric_columns(df.drop(target)), set())
+    value = _mean_abs_r(df, numeric_columns(df.drop(target)))
     return local_rows(df.sparkSession, [(value,)], "r double").select(F.round("r", 4).alias("correlation"))
 
 
-def _mean_abs_r(df: DataFrame, names: list[str], whole: set[str]) -> float:
-    found = correlations(df, list(combinations(names, 2)), whole)
+def _mean_abs_r(df: DataFrame, names: list[str]) -> float:
+    found = correlations(df, list(combinations(names, 2)))
     return _mean([abs(r) for r in found.values() if r is not None])
 
 
@@ -138,14 +138,13 @@ def meta_features(df: DataFrame, target: str) -> DataFrame:
         names = numeric_columns(features)
         facts = collect_facts(features, distinct="skip", quartiles=False, probes=False)
         n, width = facts.rows, len(features.columns)
-        whole = {c.name for c in facts.columns if c.present == n}
         counts = rows.select(quoted(target).alias("t")).dropna().groupBy("t").agg(F.count("*").alias("n"))
         top = counts.agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
         varied = [c for c in facts.columns if c.has_stats]
         row = (
             n, width, width / n if n else 0.0,
             _mean([c.variance for c in varied]),
-            _mean_abs_r(rows, names, whole),
+            _mean_abs_r(rows, names),
             top["top"] / top["all"] if top["all"] else 1.0,
             sum(n - c.present for c in facts.columns) / (n * width) if n * width else 0.0,
             _mean([abs(c.skewness) for c in varied if c.skewness is not None and c.minimum != c.maximum]) if n > 2 else 0.0,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions import names as N
 from tablegauge.functions import rules as R
 from tablegauge.functions.nulls import finite, normalize_nulls, quoted
-from tablegauge.functions.session import local_rows, staged
+from tablegauge.functions.session import local_rows, staged, together
 from tablegauge.operators.duplicates import duplicate_count
 from tablegauge.operators.facts import TableFacts, collect_facts, logical_bytes
 
@@ -133,10 +133,10 @@ def profile_table(
     """Run the passes over ``df`` and return its profile."""
     df = normalize_nulls(df)
     with staged(df) as rows:
-        facts = collect_facts(rows, distinct=distinct, quartiles=quartiles)
-        copies = None
-        if duplicates:
-            copies = duplicate_count(rows).first()[0] if facts.rows else 0
+        facts, copies = together([
+            lambda: collect_facts(rows, distinct=distinct, quartiles=quartiles),
+            lambda: duplicate_count(rows).first()[0] if duplicates else None,
+        ])
     return TableProfile(df, facts, target, copies)
 
 

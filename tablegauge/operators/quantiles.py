@@ -16,8 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.functions.nulls import quoted
+from tablegauge.functions.session import local_rows
+
 # Values handed to one aggregate as a whole: the sample, and the rows left between pivots.
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 20_000
 FINISH_ROWS = 40_000
 SEED = 20_011
 
@@ -35,13 +38,18 @@ class _Hunt:
     value: float | None = None
 
 
-def _between(c: Column, low, high) -> Column:
-    keep = c.isNotNull()
+def _number(v: float) -> str:
+    """The exact value as SQL. Long lists of comparisons are built as text, which plans faster."""
+    return f"{float(v)!r}D" if math.isfinite(v) else f"double('{v}')"
+
+
+def _between(c: str, low: float | None, high: float | None) -> str:
+    keep = [f"{c} is not null"]
     if low is not None:
-        keep = keep & (c > F.lit(low))
+        keep.append(f"{c} > {_number(low)}")
     if high is not None:
-        keep = keep & (c < F.lit(high))
-    return keep
+        keep.append(f"{c} < {_number(high)}")
+    return "(" + " and ".join(keep) + ")"
 
 
 def order_statistics(
@@ -77,34 +85,50 @@ def _groups(hunts: list[_Hunt]):
     return list(groups.items())
 
 
-def _only_inside(df: DataFrame, columns: dict[str, Column], groups) -> DataFrame:
-    """Rows inside at least one interval, and the used columns only."""
-    labels = list(dict.fromkeys(key[0] for key, _ in groups))
-    rows = df.select([columns[c].alias(c) for c in labels])
+def _only_inside(df: DataFrame, columns: dict[str, Column], groups) -> tuple[DataFrame, dict[str, str]]:
+    """Rows inside at least one interval with the used columns only, and the columns' short names."""
+    short = {c: f"x{i}" for i, c in enumerate(dict.fromkeys(key[0] for key, _ in groups))}
+    rows = df.select([columns[c].alias(x) for c, x in short.items()])
     if all(low is not None or high is not None for (_, low, high), _ in groups):
-        keep = F.lit(False)
-        for (c, low, high), _ in groups:
-            keep = keep | _between(rows[c], low, high)
-        rows = rows.filter(keep)
-    return rows
+        rows = rows.filter(" or ".join(_between(short[c], low, high) for (c, low, high), _ in groups))
+    return rows, short
+
+
+def _slots(rows: DataFrame, short: dict[str, str], groups, thin: list[float] | None = None) -> DataFrame:
+    """``(slot, value)``: for each group the values inside its interval, thinned if asked for."""
+    cells = []
+    for i, ((c, low, high), _) in enumerate(groups):
+        pick = _between(short[c], low, high)
+        if thin is not None and thin[i] < 1:
+            pick += f" and rand({SEED + i}) < {thin[i]!r}D"
+        cells.append(f"case when {pick} then {short[c]} end as `{i}`")
+    return rows.selectExpr(*cells).unpivot([], [str(i) for i in range(len(groups))], "slot", "value").filter(
+        "value is not null")
+
+
+def _at_places(slots: DataFrame, places: list[list[float]]) -> dict[int, list[float]]:
+    """Per slot, the values at the given relative places (0 to 1) of its sorted values.
+
+    The values of a slot are held by one task; both callers keep them to some ten thousand.
+    """
+    spark = slots.sparkSession
+    wanted = local_rows(spark, [(str(i), p) for i, p in enumerate(places)], "slot string, places array<double>")
+    ordered = slots.groupBy("slot").agg(F.sort_array(F.collect_list("value")).alias("sorted"))
+    got = ordered.join(F.broadcast(wanted), "slot").selectExpr(  # one row per slot
+        "slot",
+        "transform(places, p -> element_at(sorted, least(size(sorted), greatest(1, int(floor(p * size(sorted))) + 1)))) as found",
+    )
+    return {int(r["slot"]): r["found"] for r in got.collect()}
 
 
 def _finish(df: DataFrame, columns: dict[str, Column], hunts: list[_Hunt]) -> None:
     groups = _groups(hunts)
-    rows = _only_inside(df, columns, groups)
-    aggs = []
-    for i, ((c, low, high), members) in enumerate(groups):
-        inside = F.when(_between(rows[c], low, high), rows[c])
-        # The middle of the step that belongs to the rank, so that rounding cannot miss it.
-        places = [(h.rank - h.below + 0.5) / h.inside for h in members]
-        rows = rows.withColumn(f"__in{i}", inside)
-        listed = ", ".join(f"{p!r}D" for p in places)
-        aggs.append(
-            F.expr(f"percentile_disc(array({listed})) within group (order by __in{i})").alias(f"v{i}")
-        )
-    got = rows.agg(*aggs).first()
+    rows, short = _only_inside(df, columns, groups)
+    # The middle of the step that belongs to the rank, so that rounding cannot miss it.
+    places = [[(h.rank - h.below + 0.5) / h.inside for h in members] for _, members in groups]
+    found = _at_places(_slots(rows, short, groups), places)
     for i, (_, members) in enumerate(groups):
-        for h, v in zip(members, got[f"v{i}"]):
+        for h, v in zip(members, found[i]):
             h.value = v
 
 
@@ -121,12 +145,12 @@ def _neighbours(members: list[_Hunt]) -> list[list[_Hunt]]:
 
 def _narrow(df: DataFrame, columns: dict[str, Column], hunts: list[_Hunt]) -> None:
     groups = _groups(hunts)
-    rows = _only_inside(df, columns, groups)
-    pivots = _pivots(rows, groups)
+    rows, short = _only_inside(df, columns, groups)
+    pivots = _pivots(rows, short, groups)
     known: dict[str, set[float]] = {}
     for h, marks in pivots:
         known.setdefault(h.column, set()).update(m for m in (h.low, *marks) if m is not None)
-    below = _rows_below(rows, known)
+    below = _rows_below(rows, short, known)
     for h, (low, high) in pivots:
         if low is None:
             continue  # the sample was empty: the next round draws again from the same interval
@@ -146,37 +170,33 @@ def _narrow(df: DataFrame, columns: dict[str, Column], hunts: list[_Hunt]) -> No
             h.low, h.below, h.inside = high, h.below + le_high, h.inside - le_high
 
 
-def _pivots(rows: DataFrame, groups) -> list[tuple[_Hunt, tuple[float | None, float | None]]]:
+def _pivots(rows: DataFrame, short: dict[str, str], groups) -> list[tuple[_Hunt, tuple[float | None, float | None]]]:
     """Two sampled values per hunt that most likely enclose its rank."""
     share = min(1.0, 2 * SAMPLE_ROWS / max(members[0].inside for _, members in groups))
-    sample = rows.sample(fraction=share, seed=SEED)
-    aggs = []
-    for i, ((c, low, high), members) in enumerate(groups):
-        # Thin a large interval more than a small one: all give about SAMPLE_ROWS values.
-        thin = min(1.0, SAMPLE_ROWS / (members[0].inside * share))
-        pick = _between(sample[c], low, high) & (F.rand(SEED + i) < thin)
-        sample = sample.withColumn(f"__in{i}", F.when(pick, sample[c]))
-        places = []
+    # Thin a large interval more than a small one: all give about SAMPLE_ROWS values.
+    thin = [min(1.0, SAMPLE_ROWS / (members[0].inside * share)) for _, members in groups]
+    places = []
+    for _, members in groups:
+        own = []
         for run in _neighbours(members):
             for h, side in ((run[0], -1), (run[-1], 1)):
                 p = (h.rank - h.below + 0.5) / h.inside
                 slack = 4 * math.sqrt(max(p * (1 - p), 1 / SAMPLE_ROWS) / SAMPLE_ROWS)
-                places.append(min(1.0, max(0.0, p + side * slack)))
-        listed = ", ".join(f"{p!r}D" for p in places)
-        aggs.append(
-            F.expr(f"percentile_disc(array({listed})) within group (order by __in{i})").alias(f"p{i}")
-        )
-    got = sample.agg(*aggs).first()
+                own.append(min(1.0, max(0.0, p + side * slack)))
+        places.append(own)
+    found = _at_places(_slots(rows.sample(fraction=share, seed=SEED), short, groups, thin), places)
     out = []
     for i, (_, members) in enumerate(groups):
         runs = _neighbours(members)
-        marks = got[f"p{i}"] or [None] * (2 * len(runs))
+        marks = found.get(i, [None] * (2 * len(runs)))
         for j, run in enumerate(runs):
             out += [(h, (marks[2 * j], marks[2 * j + 1])) for h in run]
     return out
 
 
-def _rows_below(rows: DataFrame, known: dict[str, set[float]]) -> dict[tuple[str, float], tuple[int, int]]:
+def _rows_below(
+    rows: DataFrame, short: dict[str, str], known: dict[str, set[float]]
+) -> dict[tuple[str, float], tuple[int, int]]:
     """For each column and value: how many rows lie below it, and how many at or below it.
 
     A row's code counts the pivots it has reached and passed, so one small grouped count
@@ -185,20 +205,21 @@ def _rows_below(rows: DataFrame, known: dict[str, set[float]]) -> dict[tuple[str
     ordered = {c: sorted(values) for c, values in known.items()}
     coded = []
     for c, values in ordered.items():
-        code = F.lit(0)
-        for v in values:
-            code = code + (rows[c] >= v).cast("int") + (rows[c] > v).cast("int")
-        coded.append(code.alias(c))
-    names = list(ordered)
-    counts: dict[str, dict[int, int]] = {c: {} for c in names}
-    long = rows.select(coded).unpivot([], names, "column_name", "code").dropna()
-    for r in long.groupBy("column_name", "code").count().collect():
-        counts[r["column_name"]][r["code"]] = r["count"]
+        x = short[c]
+        steps = " ".join(f"when {x} < {_number(v)} then {2 * i} when {x} = {_number(v)} then {2 * i + 1}"
+                         for i, v in enumerate(values))
+        coded.append(f"case when {x} is not null then case {steps} else {2 * len(values)} end end as {x}")
+    names = [short[c] for c in ordered]
+    counts: dict[str, dict[int, int]] = {x: {} for x in names}
+    long = rows.selectExpr(*coded).unpivot([], names, "x", "code").filter("code is not null")
+    for r in long.groupBy("x", "code").count().collect():
+        counts[r["x"]][r["code"]] = r["count"]
     out = {}
     for c, values in ordered.items():
+        seen = counts[short[c]]
         for i, v in enumerate(values):
-            lt = sum(n for code, n in counts[c].items() if code <= 2 * i)
-            out[c, v] = (lt, lt + counts[c].get(2 * i + 1, 0))
+            lt = sum(n for code, n in seen.items() if code <= 2 * i)
+            out[c, v] = (lt, lt + seen.get(2 * i + 1, 0))
     return out
 
 
@@ -234,8 +255,6 @@ def column_quantiles(df: DataFrame, names: list[str], shares: list[float]) -> di
     """Quantiles of plain numeric columns; counts the non-null values first."""
     if not names:
         return {}
-    from tablegauge.functions.nulls import quoted
-
     exprs = {c: quoted(c).cast("double") for c in names}
     row = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
     return quantiles(df, exprs, shares, {c: row[f"n{i}"] for i, c in enumerate(names)})

@@ -13,7 +13,6 @@ from tablegauge.functions import rules as R
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.session import local_rows
 from tablegauge.operators.correlation import correlations, numeric_columns
-from tablegauge.operators.checks import whole_names
 from tablegauge.operators.profile import TableProfile, per_column
 
 
@@ -80,11 +79,11 @@ def target_skewness(df: DataFrame, target: str) -> DataFrame:
     return got.select(F.round(skew, 4).alias("target_skewness"))
 
 
-def leakage_columns(df: DataFrame, target: str, whole: set[str] = frozenset()) -> DataFrame:
+def leakage_columns(df: DataFrame, target: str) -> DataFrame:
     """Numeric features whose |r| with a numeric target is above 0.95."""
     numeric = numeric_columns(df)
     pairs = [(c, target) for c in numeric if c != target] if target in numeric else []
-    found = correlations(df, pairs, whole)
+    found = correlations(df, pairs)
     rows = [(i, c, r) for i, ((c, _), r) in enumerate(found.items()) if r is not None and abs(r) > 0.95]
     return local_rows(df.sparkSession, rows, "position int, col string, r double").select(
         "position", "col", F.round("r", 3).alias("correlation"))
@@ -112,7 +111,7 @@ class Readiness:
             c.name for c in rest
             if c.has_stats and c.variance is not None and math.isfinite(c.variance) and c.variance < 0.01
         ]
-        self.leakage = leakage_columns(df, target, whole_names(profile))
+        self.leakage = leakage_columns(df, target)
         self.leakage_risk_cols = [r["col"] for r in self.leakage.orderBy("position").collect()]
         self.imbalance = self.class_counts = None
         self.target_skewness = None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.probes import parse_datetime_any, parse_number
-from tablegauge.operators.correlation import correlations, numeric_columns, whole_columns
+from tablegauge.operators.correlation import correlations, numeric_columns
 from tablegauge.operators.quantiles import column_quantiles
 from tablegauge.operators.readiness import class_counts
 from tablegauge.functions import keywords as K
@@ -97,7 +97,7 @@ def fix_log1p(df: DataFrame, cols: list[str]) -> DataFrame:
 def correlated_columns(df: DataFrame, limit: float = 0.9) -> list[str]:
     """The later column of every numeric pair with |r| above the limit."""
     names = numeric_columns(df)
-    found = correlations(df, list(combinations(names, 2)), whole_columns(df, names))
+    found = correlations(df, list(combinations(names, 2)))
     return [c for c in names if any(b == c and r is not None and abs(r) > limit for (_, b), r in found.items())]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions import keywords as K
 from tablegauge.functions.names import resolve_target
 from tablegauge.functions.nulls import normalize_nulls
-from tablegauge.functions.session import local_rows, staged
+from tablegauge.functions.session import local_rows, staged, together
 from tablegauge.operators import distributions as X
 from tablegauge.operators.checks import TableChecks, correlation_pairs
 from tablegauge.operators.duplicates import duplicate_count
@@ -54,10 +54,10 @@ class TableReport:
         self.spark = df.sparkSession
         df = normalize_nulls(df)
         with staged(df) as rows:
-            facts = collect_facts(rows)
+            facts, copies = together([lambda: collect_facts(rows), lambda: duplicate_count(rows).first()[0]])
             if not facts.rows:
                 raise ValueError("empty table")
-            self.profile = TableProfile(df, facts, self.target_used, duplicate_count(rows).first()[0])
+            self.profile = TableProfile(df, facts, self.target_used, copies)
             self.checks = TableChecks(rows, self.profile, correlation_pairs(rows, self.profile))
             self.readiness = Readiness(rows, self.profile, self.target_used) if self.target_used else None
             self.histograms = self._kept(X.histogram(rows, facts, X.histogram_columns(facts, self.target_used)))
