@@ -1 +1,186 @@
+"""Queries on sources and sinks: tables are written out by Spark and read back."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from suite import sqltext as S
+from suite.learning import META_SQL
+from suite.views import base_table, sql, table, with_views
+from tablegauge.functions.session import fresh_path, local_rows
+from tablegauge.operators import history as H
+from tablegauge.operators.meta import META_FEATURES, meta_features, mf_shape, scan_list
+from tablegauge.plans.analyze import analyze
+from tablegauge.sources import readers as R
+from tablegauge.sources import sinks as K
+
 QUERIES, ORACLES = {}, {}
+DIRTY = "orders_dirty"
+
+
+def query(name: str, oracle: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return fn
+
+    return add
+
+
+def _written(spark, df, name: str, fmt: str, **options) -> str:
+    path = f"{fresh_path(spark, 'scan')}/{name}"
+    df.write.options(**options).format(fmt).save(path)
+    return path
+
+
+@query("scan_csv", with_views(DIRTY) + "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, ship_priority, comment, "
+       f"order_date, net_total::double as net_total, schema_tag from {DIRTY}")
+def scan_csv(spark, sf):
+    """Missing values travel as ``NA``; numbers are typed again, dates stay text."""
+    df = table(spark, sf, DIRTY).drop("loaded")
+    return R.scan_csv(spark, _written(spark, df, "orders.csv", "csv", header=True, nullValue="NA"))
+
+
+@query("scan_json", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+def scan_json(spark, sf):
+    df = table(spark, sf, "orders").drop("o_orderdate")
+    return R.scan_json(spark, _written(spark, df, "orders.json", "json"))
+
+
+_SHAPES = ("select 'customer.csv' as table_name, count(*) as rows, 5::bigint as columns from customer "
+           "union all select 'supplier.json', count(*), 4 from supplier union all select 'nation.parquet', count(*), 3 from nation")
+
+
+@query("scan_by_extension", _SHAPES)
+def scan_by_extension(spark, sf):
+    parts = []
+    for name, fmt in (("customer", "csv"), ("supplier", "json"), ("nation", "parquet")):
+        path = _written(spark, base_table(spark, sf, name), f"{name}.{fmt}", fmt, header=True)
+        df = R.scan_by_extension(spark, path)
+        parts.append(df.agg(F.count("*").alias("rows")).select(
+            F.lit(f"{name}.{fmt}").alias("table_name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _folder_counts(spark, tables: dict, errors: DataFrame) -> DataFrame:
+    """Per top folder of the catalog: rows read, and files that were refused."""
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n.split("/")[0]).alias("folder"), "rows",
+                                                      F.lit(0).cast("long").alias("refused")) for n, df in tables.items()]
+    parts.append(errors.select(F.element_at(F.split("table_name", "/"), 1).alias("folder"),
+                               F.lit(0).cast("long").alias("rows"), F.lit(1).cast("long").alias("refused")))
+    return reduce(DataFrame.unionByName, parts).groupBy("folder").agg(
+        F.sum("rows").alias("rows"), F.sum("refused").alias("refused"))
+
+
+@query("scan_catalog", "select 'customer' as folder, count(*) as rows, 0::bigint as refused from customer "
+       "union all select 'supplier', count(*), 0 from supplier")
+def scan_catalog(spark, sf):
+    """Marker, checksum and ``__MACOSX`` files next to the data are passed over."""
+    root = fresh_path(spark, "catalog")
+    base_table(spark, sf, "customer").write.option("header", True).csv(f"{root}/customer")
+    base_table(spark, sf, "supplier").write.json(f"{root}/supplier")
+    base_table(spark, sf, "nation").write.option("header", True).csv(f"{root}/__MACOSX/nation")
+    return _folder_counts(spark, *R.scan_catalog(spark, root))
+
+
+@query("scan_error_row", "select 'good' as folder, count(*) as rows, 0::bigint as refused from customer "
+       "union all select 'empty', 0, 1 union all select 'by_column', 0, 1")
+def scan_error_row(spark, sf):
+    """A table without rows and one in column orientation are recorded; the good one is read."""
+    root = fresh_path(spark, "errors")
+    customer = base_table(spark, sf, "customer")
+    customer.write.option("header", True).csv(f"{root}/good")
+    customer.filter("c_custkey < 0").coalesce(1).write.option("header", True).csv(f"{root}/empty")
+    ends = customer.agg(F.min("c_custkey").alias("0"), F.max("c_custkey").alias("1"))
+    ends.select(F.struct("0", "1").alias("c_custkey")).write.json(f"{root}/by_column")
+    return _folder_counts(spark, *R.scan_catalog(spark, root))
+
+
+def _zipped(batches):
+    """Each batch of rows as one archive with a CSV, a JSON and files to be passed over."""
+    import pandas as pd
+
+    for batch in batches:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("data/orders.csv", batch[["o_orderkey", "o_orderstatus", "o_totalprice"]].to_csv(index=False))
+            z.writestr("data/keys.json", batch[["o_orderkey", "o_custkey"]].to_json(orient="records"))
+            z.writestr("__MACOSX/data/orders.csv", "x\n1\n")
+            z.writestr("data/.hidden.csv", "x\n1\n")
+        yield pd.DataFrame({"path": [f"batch-{batch['o_orderkey'].min()}.zip"], "content": [out.getvalue()]})
+
+
+@query("scan_archive", "select o_orderkey, o_orderstatus, o_totalprice, o_custkey from orders")
+def scan_archive(spark, sf):
+    archives = table(spark, sf, "orders").mapInPandas(_zipped, "path string, content binary")
+    # Written once, as archives would lie in a folder: the scan reads them more than once.
+    path = fresh_path(spark, "zips")
+    archives.write.parquet(path)
+    tables, _ = R.scan_archive(spark, spark.read.parquet(path))
+    kinds = {k: [df for n, df in tables.items() if n.endswith(k)] for k in ("orders.csv", "keys.json")}
+    orders, keys = (reduce(DataFrame.unionByName, parts) for parts in kinds.values())
+    return orders.join(keys, "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+
+
+@query("scan_list", with_views(DIRTY) + f"select 'orders' as table_name, count(*) as n_samples, true as measured from {DIRTY} "
+       "union all select 'customer', null, false union all select 'lost', null, false")
+def scan_list_(spark, sf):
+    tables = {
+        "orders": table(spark, sf, DIRTY).withColumnRenamed("o_orderstatus", "target"),
+        "customer": table(spark, sf, "customer"),
+        "lost": lambda: base_table(spark, sf, "no_such_table"),
+    }
+    found, skipped = scan_list(spark, tables, "target", lambda n, df: mf_shape(df, "target").select(
+        F.lit(n).alias("table_name"), "n_samples", F.lit(True).alias("measured")))
+    return found.unionByName(skipped.select("table_name", F.lit(None).cast("long").alias("n_samples"), F.lit(False).alias("measured")))
+
+
+@query("sink_report_json", S.checks(DIRTY, "o_orderstatus") + "select rows, duplicate_rows, missing_cells, total as score, "
+       f"{S.GRADE} as grade, (select count(*) from issues) as issues, 10::bigint as columns from over, totals")
+def sink_report_json(spark, sf):
+    path = fresh_path(spark, "report")
+    K.sink_report_json(analyze(table(spark, sf, DIRTY), "o_orderstatus", DIRTY).document(), path)
+    c = F.col
+    return spark.read.json(path).select(
+        c("overview.rows").alias("rows"), c("overview.duplicate_rows").alias("duplicate_rows"),
+        c("overview.missing_cells").alias("missing_cells"), c("score.total").alias("score"), c("score.grade").alias("grade"),
+        F.size("issues").cast("long").alias("issues"), F.size("columns").cast("long").alias("columns"))
+
+
+@query("sink_meta_csv", META_SQL)
+def sink_meta_csv(spark, sf):
+    path = fresh_path(spark, "meta")
+    K.sink_meta_csv(meta_features(table(spark, sf, "lineitem_feat"), "l_returnflag"), path)
+    return R.scan_csv(spark, path).select(*META_FEATURES)
+
+
+def _scores(spark, sf):
+    return table(spark, sf, "scores")
+
+
+@query("sink_history", with_views("scores") + "select score % 3 as part, count(*) as entries, sum(score)::bigint as total from scores group by 1")
+def sink_history(spark, sf):
+    """Three appends, read back together."""
+    path = fresh_path(spark, "history")
+    for i in range(3):
+        K.sink_history(_scores(spark, sf).filter(F.col("score") % 3 == i), path)
+    return K.read_history(spark, path).groupBy((F.col("score") % 3).alias("part")).agg(
+        F.count("*").alias("entries"), F.sum("score").alias("total"))
+
+
+@query("history_summary", with_views("scores") + """select count(*) as datasets, count(*) filter (where score >= 75) as good,
+    count(*) filter (where score >= 50 and score < 75) as needs_attention, count(*) filter (where score < 50) as poor,
+    (select round(avg(score))::bigint from (select score from scores order by analyzed_at desc limit 5)) as recent_avg_score from scores""")
+def history_summary(spark, sf):
+    return H.history_summary(_scores(spark, sf))
+
+
+@query("history_recent", with_views("scores") + "select table_name, score, analyzed_at from scores order by analyzed_at desc limit 3")
+def history_recent(spark, sf):
+    return H.history_recent(_scores(spark, sf))

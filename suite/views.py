@@ -80,6 +80,19 @@ VIEWS = {
         select customer_name, response_id from n
         union all
         select customer_name, response_id from n where c_custkey % 30 = 0""",
+    "slices": """
+        select cast(floor(l_orderkey / 125) as bigint) as slice,
+               l_quantity, l_extendedprice, l_discount,
+               case when l_linenumber = 5 then null else l_tax end as l_tax,
+               case when floor(l_orderkey / 125) % 3 = 0 then 1 else 0 end as by_size,
+               case when floor(l_orderkey / 125) % 3 = 1 then 1 else 0 end as by_line,
+               case when floor(l_orderkey / 125) % 3 = 0 then case when l_quantity > 25 then 'large' else 'small' end
+                    when floor(l_orderkey / 125) % 3 = 1 then case when l_linenumber = 7 then 'last' else 'inner' end
+                    else l_returnflag end as target
+        from {lineitem}""",
+    "scores": """
+        select c_name as table_name, cast(floor(abs(c_acctbal) / 100) as bigint) as score, c_custkey as analyzed_at
+        from {customer}""",
     "events_gaps": """
         select event_id, user_id, event_type,
                case when event_id % 10 = 0 then cast('NaN' as double)
