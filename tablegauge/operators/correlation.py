@@ -12,15 +12,19 @@ from tablegauge.functions.nulls import finite, normalize_nulls, quoted
 from tablegauge.functions.session import local_rows
 
 
-def safe_corr(a: Column, b: Column, a_whole: bool = False, b_whole: bool = False) -> Column:
-    """Pearson's r, NULL where a side does not vary (the built-in raises a division error there).
+def varies(x: Column) -> Column:
+    """Whether a group's values differ. Merged moments of a constant need not be exactly zero."""
+    return F.min(x) != F.max(x)
 
-    Rows count only if both sides are present. A side known to hold no nulls needs no such test,
-    and its spread is then one shared aggregate instead of one per pair.
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson's r over the rows that have both sides; NULL where a side does not vary there.
+
+    (The built-in raises a division error for a side without spread.)
     """
-    spread_a = F.stddev_pop(a if b_whole else F.when(b.isNotNull(), a))
-    spread_b = F.stddev_pop(b if a_whole else F.when(a.isNotNull(), b))
-    r = finite(F.try_divide(F.covar_pop(a, b), spread_a * spread_b))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    r = F.when(varies(x) & varies(y), finite(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))))
     # Rounding may carry a perfect r past one; greatest and least alone would hide a NULL.
     return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
@@ -46,7 +50,7 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
             cells.append(F.when(x.isNotNull() & y.isNotNull(), both).alias(str(k)))
         long = df.select(cells).unpivot([], [str(k) for k in range(len(part))], "pair", "both").dropna()
         x, y = F.col("both.x"), F.col("both.y")
-        for r in long.groupBy("pair").agg(safe_corr(x, y, True, True).alias("r")).collect():
+        for r in long.groupBy("pair").agg(safe_corr(x, y).alias("r")).collect():
             found[part[int(r["pair"])]] = r["r"]
     return found
 

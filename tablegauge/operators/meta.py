@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions import keywords as K
 from tablegauge.functions.nulls import finite, normalize_nulls, quoted
 from tablegauge.functions.session import local_rows, staged
-from tablegauge.operators.correlation import correlations, numeric_columns, safe_corr
+from tablegauge.operators.correlation import correlations, numeric_columns, safe_corr, varies
 from tablegauge.operators.duplicates import duplicate_count, duplicate_groups
 from tablegauge.operators.facts import TableFacts, collect_facts, outside
 from tablegauge.operators.quantiles import quantiles
@@ -82,7 +82,7 @@ def mf_variance(df: DataFrame, target: str) -> DataFrame:
 def mf_skewness(df: DataFrame, target: str) -> DataFrame:
     """One row: mean |skewness| of the numeric features, undefined ones left out."""
     names = numeric_columns(df.drop(target))
-    return _mean_of(df, names, lambda x: F.abs(F.skewness(x)), "skewness")
+    return _mean_of(df, names, lambda x: F.when(varies(x), F.abs(F.skewness(x))), "skewness")
 
 
 def _mean_of(df: DataFrame, names: list[str], measure, label: str) -> DataFrame:
@@ -172,7 +172,7 @@ def meta_features_by(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     base = df.groupBy(*keys).agg(
         F.count("*").alias("n_samples"), gaps.alias("gaps"),
         F.array(*[F.var_samp(x[c]) for c in names]).alias("vars"),
-        F.array(*[F.abs(F.skewness(x[c])) for c in names]).alias("skews"),
+        F.array(*[F.when(varies(x[c]), F.abs(F.skewness(x[c]))) for c in names]).alias("skews"),
         F.array(*[F.abs(safe_corr(x[a], x[b])) for a, b in pairs]).alias("rs"),
     )
     classes = df.dropna(subset=[target]).groupBy(*keys, quoted(target).alias("__class")).agg(F.count("*").alias("n"))

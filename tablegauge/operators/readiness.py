@@ -12,7 +12,7 @@ from tablegauge.functions import names as N
 from tablegauge.functions import rules as R
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.session import local_rows
-from tablegauge.operators.correlation import correlations, numeric_columns
+from tablegauge.operators.correlation import correlations, numeric_columns, varies
 from tablegauge.operators.profile import TableProfile, per_column
 
 
@@ -74,8 +74,8 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
 def target_skewness(df: DataFrame, target: str) -> DataFrame:
     """One row: population skewness of a numeric target, 0 below three values, NULL if constant."""
     x = quoted(target).cast("double")
-    got = normalize_nulls(df).agg(F.count(x).alias("n"), F.skewness(x).alias("g1"))
-    skew = F.when(F.col("n") < 3, 0.0).otherwise(F.nanvl("g1", F.lit(None)))
+    got = normalize_nulls(df).agg(F.count(x).alias("n"), F.when(varies(x), F.skewness(x)).alias("g1"))
+    skew = F.when(F.col("n") < 3, 0.0).otherwise(F.col("g1"))
     return got.select(F.round(skew, 4).alias("target_skewness"))
 
 

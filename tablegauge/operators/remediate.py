@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.probes import parse_datetime_any, parse_number
-from tablegauge.operators.correlation import correlations, numeric_columns
+from tablegauge.operators.correlation import correlations, numeric_columns, varies
 from tablegauge.operators.quantiles import column_quantiles
 from tablegauge.operators.readiness import class_counts
 from tablegauge.functions import keywords as K
@@ -135,7 +135,7 @@ def fix_standardize(train: DataFrame, cols: list[str], also: list[DataFrame] = (
     clean = normalize_nulls(train)
     row = clean.agg(
         *[F.avg(quoted(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(quoted(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.when(varies(quoted(c)), F.stddev_pop(quoted(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(cols)],
     ).first()
     out = []
     for df in (clean, *[normalize_nulls(d) for d in also]):
