@@ -27,6 +27,12 @@ def normalize_nulls(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
+def number(name: str) -> Column:
+    """A numeric column as double, NaN as NULL."""
+    x = quoted(name).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def finite(c: Column) -> Column:
     """NaN and both infinities become NULL."""
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)

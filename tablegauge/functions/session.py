@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -71,7 +72,10 @@ def staged(df: DataFrame, limit: int = STAGE_BYTES):
         yield df
         return
     cores = df.sparkSession.sparkContext.defaultParallelism
-    kept = df.repartition(cores).persist()
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    # By a hash of the row: spreading without a key would sort all rows first.
+    key = F.xxhash64(*["`" + c.replace("`", "``") + "`" for c in hashable]) if hashable else F.lit(0)
+    kept = df.repartition(cores, key).persist()
     try:
         yield kept
     finally:

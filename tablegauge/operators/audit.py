@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions import keywords as K
-from tablegauge.functions.nulls import quoted
+from tablegauge.functions.nulls import number, quoted
 from tablegauge.functions.session import local_rows
 from tablegauge.operators.facts import outside
 from tablegauge.operators.quantiles import quantiles
@@ -42,7 +42,7 @@ class Fences:
     """Quartiles and fences of one numeric column, exact."""
 
     def __init__(self, df: DataFrame, col: str):
-        x = quoted(col).cast("double")
+        x = number(col)
         n = df.agg(F.count(x)).first()[0]
         self.q1, self.q3 = quantiles(df, {col: x}, [0.25, 0.75], {col: n})[col]
         self.iqr = None if self.q1 is None else self.q3 - self.q1
@@ -137,7 +137,7 @@ def clean_table(df: DataFrame, name: str, ident: str) -> DataFrame:
 
 def grouped_iqr_outliers(df: DataFrame, ident: str) -> DataFrame:
     """Fences and outliers per identifier format; groups below four rows or without spread give none."""
-    x = quoted(ident).cast("double")
+    x = number(ident)
     form = id_format_case(quoted(ident))
     parts = {k: F.when(form == k, x) for k in ("short", "long")}
     sizes = df.agg(*[F.count(e).alias(k) for k, e in parts.items()]).first().asDict()

@@ -87,7 +87,7 @@ def continuous_columns(profile: TableProfile) -> list[str]:
 
 def correlation_pairs(df: DataFrame, profile: TableProfile) -> DataFrame:
     """``(col1, col2, position, r)`` of all continuous pairs, unrounded."""
-    return pair_table(df, continuous_columns(profile))
+    return pair_table(normalize_nulls(df), continuous_columns(profile))
 
 
 def correlation_bands(pairs: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
     profile = profile_table(df, target, quartiles=False, duplicates=False)
     names = [c.name for c in profile.facts.columns
              if c.numeric and c.name != target and not profile.facts.id_like(c)]
-    found = correlations(df, [(c, target) for c in names])
+    found = correlations(normalize_nulls(df), [(c, target) for c in names])
     rows = [(c, r) for (c, _), r in found.items() if r is not None]
     return local_rows(df.sparkSession, rows, "col string, r double").select(
         "col", F.round(F.abs("r"), 3).alias("abs_correlation")

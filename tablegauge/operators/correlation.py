@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.classes import columns_of
-from tablegauge.functions.nulls import finite, normalize_nulls, quoted
+from tablegauge.functions.nulls import finite, quoted
 from tablegauge.functions.session import local_rows
 
 
@@ -34,12 +34,11 @@ PAIRS_PER_PASS = 150
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """r of each pair, over the rows in which both sides are present.
+    """r of each pair, over the rows in which both sides are present (no NaN, see ``normalize_nulls``).
 
     Each row gives one (pair, x, y) row per pair to a grouped aggregate that combines on the map
     side: one small piece of generated code serves all pairs, and a few numbers per pair travel.
     """
-    df = normalize_nulls(df)
     found: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start:start + PAIRS_PER_PASS]

@@ -96,7 +96,7 @@ def correlation_matrix(df: DataFrame, profile: TableProfile, target: str | None
     schema = "row_no int, col_no int, col1 string, col2 string, r double"
     if len(names) < 2:
         return local_rows(df.sparkSession, [], schema)
-    found = correlations(df, list(combinations(names, 2)))
+    found = correlations(normalize_nulls(df), list(combinations(names, 2)))
     rows = []
     for i, a in enumerate(names):
         for j, b in enumerate(names):

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tablegauge.functions import keywords as K
 from tablegauge.functions.classes import WIDTHS, dtype_class, text_form
-from tablegauge.functions.nulls import normalize_nulls, quoted
+from tablegauge.functions.nulls import quoted
 from tablegauge.functions.session import together
 from tablegauge.functions.probes import DATETIME_FORMATS, NUMBER_PATTERN, looks_like, parse_datetime, parse_number
 from tablegauge.operators import distinct as D
@@ -108,11 +108,11 @@ def collect_facts(
     quartiles: bool = True,
     probes: bool = True,
 ) -> TableFacts:
-    """All facts of a table. ``distinct`` is exact, approx (sketches) or skip (not counted).
+    """All facts of a table whose missing values are all NULL (see ``normalize_nulls``).
 
+    ``distinct`` is exact, approx (sketches) or skip (not counted).
     Passes that do not need each other are submitted together; Spark shares its cores among them.
     """
-    df = normalize_nulls(df)
     flat = text_form(df)
     facts = _first_pass(flat, _new_columns(df), probes)
     if facts.rows:

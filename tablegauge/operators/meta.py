@@ -96,7 +96,7 @@ def _mean_of(df: DataFrame, names: list[str], measure, label: str) -> DataFrame:
 
 def mf_correlation(df: DataFrame, target: str) -> DataFrame:
     """One row: mean |r| over the pairs of numeric features for which r is defined."""
-    value = _mean_abs_r(df, numeric_columns(df.drop(target)))
+    value = _mean_abs_r(normalize_nulls(df), numeric_columns(df.drop(target)))
     return local_rows(df.sparkSession, [(value,)], "r double").select(F.round("r", 4).alias("correlation"))
 
 

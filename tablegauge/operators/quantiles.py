@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.nulls import quoted
+from tablegauge.functions.nulls import number
 from tablegauge.functions.session import local_rows
 
 # Values handed to one aggregate as a whole: the sample, and the rows left between pivots.
@@ -255,6 +255,6 @@ def column_quantiles(df: DataFrame, names: list[str], shares: list[float]) -> di
     """Quantiles of plain numeric columns; counts the non-null values first."""
     if not names:
         return {}
-    exprs = {c: quoted(c).cast("double") for c in names}
-    row = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    exprs = {c: number(c) for c in names}
+    row = df.agg(*[F.count(exprs[c]).alias(f"n{i}") for i, c in enumerate(names)]).first()
     return quantiles(df, exprs, shares, {c: row[f"n{i}"] for i, c in enumerate(names)})

@@ -83,7 +83,7 @@ def leakage_columns(df: DataFrame, target: str) -> DataFrame:
     """Numeric features whose |r| with a numeric target is above 0.95."""
     numeric = numeric_columns(df)
     pairs = [(c, target) for c in numeric if c != target] if target in numeric else []
-    found = correlations(df, pairs)
+    found = correlations(normalize_nulls(df), pairs)
     rows = [(i, c, r) for i, ((c, _), r) in enumerate(found.items()) if r is not None and abs(r) > 0.95]
     return local_rows(df.sparkSession, rows, "position int, col string, r double").select(
         "position", "col", F.round("r", 3).alias("correlation"))

@@ -97,7 +97,7 @@ def fix_log1p(df: DataFrame, cols: list[str]) -> DataFrame:
 def correlated_columns(df: DataFrame, limit: float = 0.9) -> list[str]:
     """The later column of every numeric pair with |r| above the limit."""
     names = numeric_columns(df)
-    found = correlations(df, list(combinations(names, 2)))
+    found = correlations(normalize_nulls(df), list(combinations(names, 2)))
     return [c for c in names if any(b == c and r is not None and abs(r) > limit for (_, b), r in found.items())]
 
 
