@@ -99,6 +99,12 @@ def _is_lines(text: str) -> bool:
         return False
 
 
+def _by_column(record: dict) -> bool:
+    """Whether an object maps columns to numbered cells rather than names to values."""
+    return bool(record) and all(
+        isinstance(v, dict) and v and all(k.isdigit() for k in v) for v in record.values())
+
+
 READERS = {"csv": scan_csv, "json": scan_json}
 
 
@@ -203,6 +209,8 @@ def _records(member: str, text) -> Iterator[tuple]:
         return
     start = text.readline()
     if _is_lines(start.strip()):
+        if _by_column(json.loads(start)):
+            raise ValueError("column-oriented JSON; records are expected")
         yield None, start.strip()
         yield from ((None, line.strip()) for line in text if line.strip())
         return
@@ -249,7 +257,8 @@ def scan_archive(spark: SparkSession, path: str | DataFrame) -> tuple[dict[str,
 
 def _table_name(archive: str, member: str, several: bool) -> str:
     """The path inside the archive, so that equal base names stay apart."""
-    return f"{archive.rsplit('/', 1)[-1]}/{member}".rstrip("/") if several or not member else member
+    name = archive.rsplit("/", 1)[-1]
+    return f"{name}/{member}" if several and member else member or name
 
 
 def _csv_member(lines: DataFrame, head: list[str]) -> DataFrame:
