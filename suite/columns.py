@@ -190,6 +190,12 @@ def duplicate_rows(spark, sf):
     return U.duplicate_rows(table(spark, sf, DIRTY))
 
 
+@query("duplicate_groups", with_views(DIRTY) + f"select *, count(*) as copies from (select * exclude (loaded) from {DIRTY}) "
+       "group by all having count(*) > 1")
+def duplicate_groups(spark, sf):
+    return U.duplicate_groups(table(spark, sf, DIRTY).drop("loaded"))
+
+
 @query("clean_rows", _overview_part("rows", "duplicate_rows", "rows - duplicate_rows as clean_rows"))
 def clean_rows(spark, sf):
     return U.clean_rows(table(spark, sf, DIRTY))

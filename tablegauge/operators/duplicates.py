@@ -1,24 +1,47 @@
 """Rows that equal an earlier row, without shuffling whole rows.
 
-Only a 64-bit hash per row is grouped. Rows whose hash occurs once cannot be duplicates; the
-others, and only they, are grouped by their full content, so a hash collision costs time but
-never a wrong count. Equal rows collapse in the map-side aggregation, however hot they are.
+Counting groups a 128-bit digest per row, so some 30 bytes travel per distinct row whatever its
+width, and equal rows collapse in the map-side aggregation, however hot they are. Listing the
+repeated rows themselves compares full contents: a 64-bit hash finds the candidates, and only
+they are grouped by all their cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.classes import text_form
 from tablegauge.functions.nulls import normalize_nulls, quoted
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit hashes of a row, to be used on text forms with normalised nulls.
+
+    The hash of a row passes over nulls, so ``(null, 1)`` and ``(1, null)`` share the first one;
+    the second also takes in which cells are null, and reads the cells from the other end.
+    """
+    cells = [quoted(c) for c in df.columns]
+    gaps = [c.isNull() for c in cells]
+    return [F.xxhash64(*cells).alias("__h1"), F.xxhash64(F.lit(1), *gaps, *cells[::-1]).alias("__h2")]
+
+
+def duplicate_count(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """``(duplicate_rows)``: rows beyond the first of each group of equal rows; null equals null.
+
+    With ``keys``, one row per combination of those columns.
+    """
+    flat = normalize_nulls(text_form(df))
+    digests = flat.select(*[quoted(k) for k in keys], *row_digest(flat))
+    copies = digests.groupBy(*keys, "__h1", "__h2").agg(F.count("*").alias("copies"))
+    extra = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long")
+    return copies.groupBy(*keys).agg(extra.alias("duplicate_rows"))
+
+
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """The distinct rows that occur more than once, with ``copies``."""
     flat = normalize_nulls(text_form(df))
-    names = flat.columns
-    cells = [quoted(c) for c in names]
+    cells = [quoted(c) for c in flat.columns]
     hashed = flat.select("*", F.xxhash64(*cells).alias("__row_hash"))
     repeated = (
         hashed.groupBy("__row_hash").agg(F.count("*").alias("__n"))
@@ -28,12 +51,6 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     return rows.groupBy(*cells).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """``(duplicate_rows)``: rows beyond the first of each group of equal rows; null equals null."""
-    extra = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
-    return duplicate_groups(df).agg(extra.cast("long").alias("duplicate_rows"))
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: ``rows, duplicate_rows, duplicate_pct``."""
     total = df.agg(F.count("*").alias("rows"))

@@ -13,7 +13,7 @@ from tablegauge.functions import keywords as K
 from tablegauge.functions.nulls import finite, normalize_nulls, quoted
 from tablegauge.functions.session import local_rows, staged
 from tablegauge.operators.correlation import correlations, numeric_columns, safe_corr, varies
-from tablegauge.operators.duplicates import duplicate_count, duplicate_groups
+from tablegauge.operators.duplicates import duplicate_count
 from tablegauge.operators.facts import TableFacts, collect_facts, outside
 from tablegauge.operators.quantiles import quantiles
 from tablegauge.operators.ranks import grouped_quantiles
@@ -177,7 +177,7 @@ def meta_features_by(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     )
     classes = df.dropna(subset=[target]).groupBy(*keys, quoted(target).alias("__class")).agg(F.count("*").alias("n"))
     shares = classes.groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("imbalance"))
-    copies = duplicate_groups(df).groupBy(*keys).agg(F.sum(F.col("copies") - 1).alias("extra"))
+    copies = duplicate_count(df, keys).withColumnRenamed("duplicate_rows", "extra")
 
     long = df.select(*keys, *[x[c].alias(c) for c in names]).unpivot(keys, names, "__column", "__value")
     fences = grouped_quantiles(long, [*keys, "__column"], "__value", {"q1": 0.25, "q3": 0.75}).filter(

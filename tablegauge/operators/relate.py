@@ -14,6 +14,7 @@ from tablegauge.functions.classes import INTEGRALS, dtype_class, text_form
 from tablegauge.functions.names import contains_any
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.session import local_rows
+from tablegauge.operators.distinct import text_key
 
 
 def column_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -103,6 +104,8 @@ def referential_integrity(
 def key_uniqueness(df: DataFrame, col: str) -> DataFrame:
     """One row: non-null values, distinct values, duplicates, and whether the column is a key."""
     flat = normalize_nulls(text_form(df.select(quoted(col).alias("value"))))
+    if isinstance(flat.schema["value"].dataType, T.StringType):
+        flat = flat.select(text_key(F.col("value")).alias("value"))  # long texts travel as digests
     # A grouped count first: a hot value is one row before it is shuffled.
     counted = flat.dropna().groupBy("value").agg(F.count("*").alias("n"))
     total, unique = F.coalesce(F.sum("n"), F.lit(0)), F.count("*")

@@ -154,3 +154,15 @@ def test_parse_number_and_dates_give_null_for_the_rest(spark):
     df = spark.createDataFrame([("1.5",), ("1d",), ("2020-02-30",)], "t string")
     assert [r[0] for r in df.select(probes.parse_number(F.col("t"))).collect()] == [1.5, None, None]
     assert df.select(probes.parse_datetime_any(F.col("t")).alias("d")).filter("d is not null").count() == 0
+
+
+def test_repeated_rows_are_listed_with_their_copies(spark):
+    from tablegauge.operators.duplicates import duplicate_groups
+
+    df = spark.createDataFrame([(1, None), (None, 1), (1, None), (2, 2)], "a long, b long")
+    assert [tuple(r) for r in duplicate_groups(df).collect()] == [(1, None, 2)]
+
+
+def test_duplicates_per_key(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 1), ("x", 1), ("y", 1)], "k string, a long")
+    assert {r["k"]: r["duplicate_rows"] for r in duplicate_count(df, ["k"]).collect()} == {"x": 2, "y": 0}
