@@ -18,6 +18,9 @@ WIDTHS = {
 }
 
 
+_NOT_FLAT = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
+
+
 def dtype_class(dtype: T.DataType) -> str:
     if isinstance(dtype, T.BooleanType):
         return "boolean"
@@ -39,6 +42,8 @@ def select_by_class(df: DataFrame, cls: str) -> DataFrame:
 
 def text_form(df: DataFrame) -> DataFrame:
     """Nested and binary columns as text, so that every column can be grouped and compared."""
+    if not any(isinstance(f.dataType, _NOT_FLAT) for f in df.schema):
+        return df
     out = []
     for f in df.schema:
         c = quoted(f.name)

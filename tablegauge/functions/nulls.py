@@ -9,9 +9,14 @@ from pyspark.sql import types as T
 FLOATS = (T.FloatType, T.DoubleType)
 
 
+def sql_name(name: str) -> str:
+    """The name as SQL text, whatever dots or blanks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """The column of that exact name, whatever dots or blanks it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """The column of that exact name."""
+    return F.col(sql_name(name))
 
 
 def normalize_nulls(df: DataFrame) -> DataFrame:

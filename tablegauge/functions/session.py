@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tablegauge.functions.nulls import quoted
+
 # Inputs whose estimated size is below this are cached for the several passes of a profile.
 STAGE_BYTES = 512 * 1024 * 1024
 
@@ -74,7 +76,7 @@ def staged(df: DataFrame, limit: int = STAGE_BYTES):
     cores = df.sparkSession.sparkContext.defaultParallelism
     hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     # By a hash of the row: spreading without a key would sort all rows first.
-    key = F.xxhash64(*["`" + c.replace("`", "``") + "`" for c in hashable]) if hashable else F.lit(0)
+    key = F.xxhash64(*[quoted(c) for c in hashable]) if hashable else F.lit(0)
     kept = df.repartition(cores, key).persist()
     try:
         yield kept

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.classes import columns_of
-from tablegauge.functions.nulls import finite, quoted
+from tablegauge.functions.nulls import finite, sql_name
 from tablegauge.functions.session import local_rows
 
 
@@ -44,10 +44,11 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
         part = pairs[start:start + PAIRS_PER_PASS]
         cells = []
         for k, (a, b) in enumerate(part):
-            x, y = quoted(a).cast("double"), quoted(b).cast("double")
-            both = F.struct(x.alias("x"), y.alias("y"))
-            cells.append(F.when(x.isNotNull() & y.isNotNull(), both).alias(str(k)))
-        long = df.select(cells).unpivot([], [str(k) for k in range(len(part))], "pair", "both").dropna()
+            a, b = sql_name(a), sql_name(b)
+            cells.append(f"case when {a} is not null and {b} is not null then "
+                         f"struct(cast({a} as double) as x, cast({b} as double) as y) end as `{k}`")
+        names = [str(k) for k in range(len(part))]
+        long = df.selectExpr(*cells).unpivot([], names, "pair", "both").filter("both is not null")
         x, y = F.col("both.x"), F.col("both.y")
         for r in long.groupBy("pair").agg(safe_corr(x, y).alias("r")).collect():
             found[part[int(r["pair"])]] = r["r"]

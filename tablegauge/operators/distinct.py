@@ -7,12 +7,14 @@ longer than ``LONG_TEXT`` bytes travels as its SHA-256 instead.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.classes import INTEGRALS, text_form
-from tablegauge.functions.nulls import quoted
+from tablegauge.functions.nulls import quoted, sql_name
 
 LONG_TEXT = 64
 
@@ -25,21 +27,20 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
-def _as_long(c: Column, dtype: T.DataType) -> Column:
+def _as_long(x: str, dtype: T.DataType) -> str:
+    """A fixed-width value as one integer, as SQL text."""
     if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("long")
+        return f"cast(unix_date({x}) as bigint)"
     if isinstance(dtype, T.TimestampNTZType):
-        return _ntz_micros(c)
+        # From its parts, so that the session zone is not used.
+        return (f"unix_date(cast({x} as date)) * 86400000000L + (hour({x}) * 3600 + minute({x}) * 60) * 1000000L "
+                f"+ cast(extract(second from {x}) * 1000000 as bigint)")
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c)
-    return c.cast("long")
+        return f"unix_micros({x})"
+    return f"cast({x} as bigint)"
 
 
-def _ntz_micros(c: Column) -> Column:
-    """Microseconds of a zoneless time, built from its parts so that the session zone is not used."""
-    day = F.unix_date(c.cast("date")).cast("long") * 86_400_000_000
-    clock = (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
-    return day + clock + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+_KEY = "case when octet_length({x}) <= " + str(LONG_TEXT) + " then {x} else concat('sha256:', sha2({x}, 256)) end"
 
 
 def text_key(c: Column) -> Column:
@@ -53,14 +54,18 @@ def long_values(df: DataFrame, family: str, names: list[str] | None = None) -> D
     chosen = [f for f in df.schema if _family(f.dataType) == family and (names is None or f.name in names)]
     if not chosen:
         return None
-    if family == "bigint":
-        exprs = [_as_long(quoted(f.name), f.dataType).alias(f.name) for f in chosen]
-    elif family == "double":
-        exprs = [quoted(f.name).cast("double").alias(f.name) for f in chosen]
-    else:
-        exprs = [text_key(quoted(f.name).cast("string")).alias(f.name) for f in chosen]
-    wide = df.select(exprs)
-    return wide.unpivot([], [quoted(f.name) for f in chosen], "column_name", "value").dropna()
+    cells = []
+    for f in chosen:
+        x = sql_name(f.name)
+        if family == "bigint":
+            value = _as_long(x, f.dataType)
+        elif family == "double":
+            value = f"cast({x} as double)"
+        else:
+            value = _KEY.format(x=x if isinstance(f.dataType, T.StringType) else f"cast({x} as string)")
+        cells.append(f"{value} as {x}")
+    wide = df.selectExpr(*cells)
+    return wide.unpivot([], [quoted(f.name) for f in chosen], "column_name", "value").filter("value is not null")
 
 
 def frequency_table(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -77,17 +82,16 @@ def frequency_table(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return out
 
 
+def distinct_parts(df: DataFrame, names: list[str] | None = None) -> list[DataFrame]:
+    """``(column_name, n_distinct)`` per type family; a column without any value has no row."""
+    found = [long_values(df, family, names) for family in ("bigint", "double", "string")]
+    return [rows.distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct"))
+            for rows in found if rows is not None]
+
+
 def distinct_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """``(column_name, n_distinct)``; a column without any value has no row."""
-    parts = []
-    for family in ("bigint", "double", "string"):
-        rows = long_values(df, family, names)
-        if rows is not None:
-            parts.append(rows.distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``(column_name, n_distinct)`` of all families together."""
+    return reduce(DataFrame.unionByName, distinct_parts(df, names))
 
 
 def approx_distinct_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:

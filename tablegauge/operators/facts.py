@@ -3,10 +3,10 @@
 Collected are a handful of numbers per column; they bound the driver's share by the width of the
 table, never by its length. Each pass reads only the columns it needs:
 
-1. counts, sums, extremes, sign counts and text patterns,
+1. counts, sums, extremes, sign counts and text lengths,
 2. distinct counts, and the most frequent text values,
 3. central moments around the means of pass 1,
-4. real parses of the text columns whose every value has the shape of a date or a number,
+4. parses of the text columns that may hold dates or numbers,
 5. exact quartiles of numeric columns (see ``quantiles``),
 6. rows outside the fences and beyond three standard deviations.
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tablegauge.functions import keywords as K
 from tablegauge.functions.classes import WIDTHS, dtype_class, text_form
-from tablegauge.functions.nulls import quoted
+from tablegauge.functions.nulls import quoted, sql_name
 from tablegauge.functions.session import together
 from tablegauge.functions.probes import DATETIME_FORMATS, NUMBER_PATTERN, looks_like, parse_datetime, parse_number
 from tablegauge.operators import distinct as D
@@ -114,11 +114,13 @@ def collect_facts(
     Passes that do not need each other are submitted together; Spark shares its cores among them.
     """
     flat = text_form(df)
-    facts = _first_pass(flat, _new_columns(df), probes)
+    facts = _first_pass(flat, _new_columns(df))
     if facts.rows:
-        work = [lambda: _moment_pass(flat, facts), lambda: _probe_pass(flat, facts)]
+        work = [lambda: _moment_pass(flat, facts)]
+        if probes:
+            work.append(lambda: _probe_pass(flat, facts))
         if distinct != "skip":
-            work.append(lambda: _distinct_pass(df, flat, facts, distinct))
+            work.append(lambda: _distinct_pass(flat, facts, distinct))
         if quartiles:
             work.append(lambda: _quartile_pass(df, facts))
         together(work)
@@ -127,75 +129,57 @@ def collect_facts(
     return facts
 
 
-# Fixed value: a date in any of the known formats starts with a digit or a capital.
-_DATE_START = r"^[0-9A-Z]"
-
-
-def _cell(c: ColumnFacts, dtype: T.DataType, probes: bool) -> Column:
-    """What the first pass looks at in one cell."""
-    x = quoted(c.name)
-    text = c.dtype_class == "categorical"
-    probed = probes and isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
-    return F.struct(
-        F.lit(c.ordinal).alias("i"), x.isNotNull().alias("present"),
-        (_plain(c) if c.numeric else F.lit(None).cast("double")).alias("d"),
-        (F.octet_length(x) if text else F.lit(None).cast("int")).alias("bytes"),
-        (looks_like(x, NUMBER_PATTERN) if probed else F.lit(False)).alias("number"),
-        (looks_like(x, _DATE_START) if probed else F.lit(False)).alias("date"),
-    ).alias(f"c{c.ordinal}")
-
-
-def _first_pass(flat: DataFrame, cols: list[ColumnFacts], probes: bool) -> TableFacts:
-    """One grouped aggregate over (column, cell) rows: small code for any number of columns."""
-    whole = F.lit(True)
-    for c in cols:
-        whole = whole & quoted(c.name).isNotNull()
-    cells = [_cell(c, f.dataType, probes) for c, f in zip(cols, flat.schema)]
-    long = flat.select(whole.alias("whole"), *cells).unpivot(
-        ["whole"], [f"c{c.ordinal}" for c in cols], "column_name", "cell")
-    d = F.col("cell.d")
-    size = F.col("cell.bytes")
-    got = long.groupBy(F.col("cell.i").alias("i")).agg(
-        F.count("*").alias("rows"), F.count_if("whole").alias("whole"), F.count_if("cell.present").alias("present"),
-        F.avg(d).alias("mean"), F.min(d).alias("low"), F.max(d).alias("high"),
-        F.count_if(d < 0).alias("negatives"), F.count_if(d == 0).alias("zeros"),
-        F.max(size).alias("longest"), F.sum(size.cast("long")).alias("bytes"),
-        F.count_if("cell.number").alias("numbers"), F.count_if("cell.date").alias("dates"),
-    ).collect()
+def _measure(c: ColumnFacts) -> str:
+    """One number per cell: a number's value, a text's length in bytes, else only its presence."""
+    x = sql_name(c.name)
+    if c.numeric:
+        return f"cast({x} as double)"
+    if c.dtype_class == "categorical":
+        return f"cast(octet_length({x}) as double)"
+    return f"case when {x} is not null then 0D end"
+
+
+def _first_pass(flat: DataFrame, cols: list[ColumnFacts]) -> TableFacts:
+    """One grouped aggregate over (column, number) rows: small code for any number of columns."""
+    whole = " and ".join(f"{sql_name(c.name)} is not null" for c in cols)
+    names = [str(c.ordinal) for c in cols]
+    cells = flat.selectExpr(f"{whole} as whole", *[f"{_measure(c)} as `{c.ordinal}`" for c in cols])
+    got = cells.unpivot(["whole"], names, "i", "d").groupBy("i").agg(*[F.expr(e) for e in (
+        "count(*) as rows", "count_if(whole) as whole", "count(d) as present", "avg(d) as mean", "sum(d) as total",
+        "min(d) as low", "max(d) as high", "count_if(d < 0) as negatives", "count_if(d = 0) as zeros")]).collect()
     for r in got:
-        c = cols[r["i"]]
+        c = cols[int(r["i"])]
         c.present = r["present"]
-        c.mean, c.minimum, c.maximum = r["mean"], r["low"], r["high"]
-        c.negatives, c.zeros = r["negatives"], r["zeros"]
-        c.longest, c.text_bytes = r["longest"] or 0, r["bytes"] or 0
-        if c.present and r["dates"] == c.present and c.longest <= D.LONG_TEXT:
-            c.suggested = "datetime?"
-        if c.present and r["numbers"] == c.present:
-            c.suggested += "numeric?"
+        if c.numeric:
+            c.mean, c.minimum, c.maximum = r["mean"], r["low"], r["high"]
+            c.negatives, c.zeros = r["negatives"], r["zeros"]
+        elif c.dtype_class == "categorical":
+            c.longest, c.text_bytes = int(r["high"] or 0), int(r["total"] or 0)
     return TableFacts(got[0]["rows"] if got else 0, got[0]["whole"] if got else 0, cols)
 
 
-def _distinct_pass(df: DataFrame, flat: DataFrame, facts: TableFacts, how: str) -> None:
+def _distinct_pass(flat: DataFrame, facts: TableFacts, how: str) -> None:
     text = [c.name for c in facts.columns if c.dtype_class == "categorical" and c.present]
     other = [c.name for c in facts.columns if c.dtype_class != "categorical" and c.present]
-    parts = []
-    if text:
-        parts.append(D.text_tops(df, text))
-    if other:
-        count = D.approx_distinct_counts if how == "approx" else D.distinct_counts
-        parts.append(count(df, other).select(
-            "column_name", "n_distinct", F.lit(None).cast("long").alias("top_freq"),
-            F.lit(None).cast("string").alias("top_key"),
-        ))
-    if not parts:
-        return
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    for r in rows.collect():
-        c = facts[r["column_name"]]
-        c.distinct, c.top_freq, c.top_value = r["n_distinct"], r["top_freq"], r["top_key"]
-    for c in facts.columns:
-        if c.top_freq is not None and c.longest > D.LONG_TEXT:
-            c.top_value = D.smallest_top_text(flat, c.name, c.top_freq).first()["top_value"]
+
+    def texts() -> None:
+        for r in D.text_tops(flat, text).collect():
+            c = facts[r["column_name"]]
+            c.distinct, c.top_freq, c.top_value = r["n_distinct"], r["top_freq"], r["top_key"]
+        for c in facts.columns:
+            if c.top_freq is not None and c.longest > D.LONG_TEXT:
+                c.top_value = D.smallest_top_text(flat, c.name, c.top_freq).first()["top_value"]
+
+    def others(part: DataFrame) -> None:
+        for r in part.collect():
+            facts[r["column_name"]].distinct = r["n_distinct"]
+
+    work = [texts] if text else []
+    if other and how == "approx":
+        work.append(lambda: others(D.approx_distinct_counts(flat, other)))
+    elif other:
+        work += [lambda p=p: others(p) for p in D.distinct_parts(flat, other)]
+    together(work)
 
 
 def _moment_pass(flat: DataFrame, facts: TableFacts) -> None:
@@ -204,36 +188,46 @@ def _moment_pass(flat: DataFrame, facts: TableFacts) -> None:
     if not chosen:
         return
     names = [str(c.ordinal) for c in chosen]
-    centred = flat.select([(_plain(c) - F.lit(c.mean)).alias(str(c.ordinal)) for c in chosen])
-    d = F.col("d")
-    got = centred.unpivot([], names, "i", "d").groupBy("i").agg(
-        F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"), F.sum(d * d * d * d).alias("s4"))
+    centred = flat.selectExpr(*[f"cast({sql_name(c.name)} as double) - {c.mean!r}D as `{c.ordinal}`" for c in chosen])
+    got = centred.unpivot([], names, "i", "d").groupBy("i").agg(*[F.expr(e) for e in (
+        "sum(d) as s1", "sum(d * d) as s2", "sum(d * d * d) as s3", "sum(d * d * d * d) as s4")])
     for r in got.collect():
         _set_moments(facts.columns[int(r["i"])], r["s1"], r["s2"], r["s3"], r["s4"])
 
 
+# Rows looked at to rule a probe out; one misfit is enough for that, and none proves nothing.
+_GLANCE_ROWS = 500
+
+
 def _probe_pass(flat: DataFrame, facts: TableFacts) -> None:
-    """Real parses, only of the columns whose every value has the right shape."""
-    chosen = [c for c in facts.columns if c.suggested]
-    if not chosen:
-        return
-    aggs = []
+    """Text columns whose every value is a date of one format, or else a number.
+
+    A glance at a few rows rules out most columns. The others are parsed as a whole.
+    """
+    text = (T.StringType, T.VarcharType, T.CharType)
+    chosen = [c for c in facts.columns if isinstance(flat.schema[c.ordinal].dataType, text)
+              and c.dtype_raw != "binary" and c.present and c.longest <= D.LONG_TEXT]
+    tests: dict[str, tuple[ColumnFacts, str, Column]] = {}
     for c in chosen:
-        i, x = c.ordinal, quoted(c.name)
-        if "datetime?" in c.suggested:
-            aggs += [F.count(parse_datetime(x, fmt, pattern)).alias(f"f{i}_{k}")
-                     for k, (fmt, pattern) in enumerate(DATETIME_FORMATS)]
-        if "numeric?" in c.suggested:
-            aggs.append(F.count(parse_number(x)).alias(f"p{i}"))
-    got = flat.agg(*aggs).first().asDict()
+        x = quoted(c.name)
+        for k, (fmt, pattern) in enumerate(DATETIME_FORMATS):
+            tests[f"d{c.ordinal}_{k}"] = (c, pattern, parse_datetime(x, fmt, pattern))
+        if not _datetime_name(c.name):
+            tests[f"n{c.ordinal}"] = (c, NUMBER_PATTERN, parse_number(x))
+    if not tests:
+        return
+    glance = flat.limit(_GLANCE_ROWS).agg(
+        *[F.count_if(~looks_like(quoted(c.name), pattern)).alias(k) for k, (c, pattern, _) in tests.items()]).first()
+    open_ = {k: t for k, t in tests.items() if not glance[k]}
+    if not open_:
+        return
+    parsed = flat.agg(*[F.count(parse).alias(k) for k, (_, _, parse) in open_.items()]).first()
+    fits = {k for k, (c, _, _) in open_.items() if parsed[k] == c.present}
     for c in chosen:
-        i = c.ordinal
-        if any(got.get(f"f{i}_{k}") == c.present for k in range(len(DATETIME_FORMATS))):
+        if any(f"d{c.ordinal}_{k}" in fits for k in range(len(DATETIME_FORMATS))):
             c.suggested = "datetime"
-        elif got.get(f"p{i}") == c.present and not _datetime_name(c.name):
+        elif f"n{c.ordinal}" in fits:
             c.suggested = "numeric"
-        else:
-            c.suggested = ""
 
 
 def _datetime_name(name: str) -> bool:
