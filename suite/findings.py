@@ -283,6 +283,17 @@ def _checked(spark, sf, target=None):
     return C.check_table(table(spark, sf, SHIP), target)
 
 
+def _parts(spark, sf, **passes):
+    """Parts of the score, with the passes that the wanted part looks at."""
+    return Z.score_parts(C.TableChecks(table(spark, sf, SHIP), _light(spark, sf, **passes)))
+
+
+def _score(spark, sf, view):
+    """The score needs no correlations."""
+    df = table(spark, sf, view)
+    return Z.score(C.TableChecks(df, P.profile_table(df)))
+
+
 @query("issues", _check("select * from issues"))
 def issues(spark, sf):
     return Z.issues(_checked(spark, sf))
@@ -297,44 +308,44 @@ def severity_counts(spark, sf):
 
 @query("score_completeness", _check("select round(completeness, 4) as completeness from parts"))
 def score_completeness(spark, sf):
-    return Z.score_parts(_checked(spark, sf)).select(F.round("completeness", 4).alias("completeness"))
+    return _parts(spark, sf).select(F.round("completeness", 4).alias("completeness"))
 
 
 @query("score_consistency", _check("select round(consistency, 4) as consistency from parts"))
 def score_consistency(spark, sf):
-    return Z.score_parts(_checked(spark, sf)).select(F.round("consistency", 4).alias("consistency"))
+    return _parts(spark, sf, duplicates=True).select(F.round("consistency", 4).alias("consistency"))
 
 
 @query("score_validity", _check("select round(validity, 4) as validity from parts"))
 def score_validity(spark, sf):
-    return Z.score_parts(_checked(spark, sf)).select(F.round("validity", 4).alias("validity"))
+    return _parts(spark, sf, distinct="exact", quartiles=True).select(F.round("validity", 4).alias("validity"))
 
 
 @query("score_usability", _check("select usability::double as usability from parts"))
 def score_usability(spark, sf):
-    return Z.score_parts(_checked(spark, sf)).select(F.col("usability").cast("double").alias("usability"))
+    return _parts(spark, sf, distinct="exact").select(F.col("usability").cast("double").alias("usability"))
 
 
 @query("score_total", _check("select total, round(completeness)::bigint as completeness, round(consistency)::bigint as consistency, "
        "round(validity)::bigint as validity, round(usability)::bigint as usability from totals"))
 def score_total(spark, sf):
-    return Z.score(_checked(spark, sf)).drop("grade", "tier")
+    return _score(spark, sf, SHIP).drop("grade", "tier")
 
 
 @query("score_customer", _check("select total, round(completeness)::bigint as completeness, round(consistency)::bigint as consistency, "
        "round(validity)::bigint as validity, round(usability)::bigint as usability from totals", "customer_dirty"))
 def score_customer(spark, sf):
-    return Z.score(C.check_table(table(spark, sf, "customer_dirty"))).drop("grade", "tier")
+    return _score(spark, sf, "customer_dirty").drop("grade", "tier")
 
 
 @query("grade", _check(f"select total, {S.GRADE} as grade from totals"))
 def grade(spark, sf):
-    return Z.score(_checked(spark, sf)).select("total", "grade")
+    return _score(spark, sf, SHIP).select("total", "grade")
 
 
 @query("quality_tier", _check(f"select total, {S.TIER} as tier from totals", "customer_dirty"))
 def quality_tier(spark, sf):
-    return Z.score(C.check_table(table(spark, sf, "customer_dirty"))).select("total", "tier")
+    return _score(spark, sf, "customer_dirty").select("total", "tier")
 
 
 # Recommendations: what each rule says about the data.

@@ -16,7 +16,7 @@ from tablegauge.operators import meta as M
 QUERIES, ORACLES = {}, {}
 FEAT, TARGET = "lineitem_feat", "l_returnflag"
 # A small search: the registered runs show the way from rows to a model, not its best settings.
-GRID = {"numTrees": [20, 40], "maxDepth": [8], "minInstancesPerNode": [1, 2], "weightCol": ["weight_balanced"]}
+GRID = {"numTrees": [20], "maxDepth": [8], "minInstancesPerNode": [1, 2], "weightCol": ["weight_balanced"]}
 
 
 def query(name: str, oracle: str | None = None):
