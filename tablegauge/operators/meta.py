@@ -167,19 +167,28 @@ def meta_features_by(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     gaps = F.lit(0).cast("long")
     for c in features:
         gaps = gaps + F.count_if(quoted(c).isNull())
-    # Named columns, so that an expression over many aggregates stays readable in the plan.
+    base = df.groupBy(*keys).agg(F.count("*").alias("n_samples"), gaps.alias("gaps"))
+    # One row per dataset and column, and per dataset and pair, before the means over them.
+    long = df.select(*keys, *[x[c].alias(c) for c in names]).unpivot(keys, names, "__column", "__value").filter(
+        "__value is not null")
+    v = F.col("__value")
+    moments = long.groupBy(*keys, "__column").agg(
+        F.var_samp(v).alias("var"), F.when(varies(v), F.abs(F.skewness(v))).alias("skew"))
+    shape = moments.groupBy(*keys).agg(F.avg("var").alias("variance"), F.avg("skew").alias("skewness"))
     pairs = list(combinations(names, 2))
-    base = df.groupBy(*keys).agg(
-        F.count("*").alias("n_samples"), gaps.alias("gaps"),
-        F.array(*[F.var_samp(x[c]) for c in names]).alias("vars"),
-        F.array(*[F.when(varies(x[c]), F.abs(F.skewness(x[c]))) for c in names]).alias("skews"),
-        F.array(*[F.abs(safe_corr(x[a], x[b])) for a, b in pairs]).alias("rs"),
-    )
+    both = [F.when(x[a].isNotNull() & x[b].isNotNull(), F.struct(x[a].alias("x"), x[b].alias("y"))).alias(str(i))
+            for i, (a, b) in enumerate(pairs)]
+    if pairs:
+        met = df.select(*keys, *both).unpivot(keys, [str(i) for i in range(len(pairs))], "__pair", "__both").filter(
+            "__both is not null")
+        rs = met.groupBy(*keys, "__pair").agg(F.abs(safe_corr(F.col("__both.x"), F.col("__both.y"))).alias("r"))
+        related = rs.groupBy(*keys).agg(F.avg("r").alias("correlation"))
+    else:
+        related = base.select(*keys, F.lit(0.0).alias("correlation"))
     classes = df.dropna(subset=[target]).groupBy(*keys, quoted(target).alias("__class")).agg(F.count("*").alias("n"))
     shares = classes.groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("imbalance"))
     copies = duplicate_count(df, keys).withColumnRenamed("duplicate_rows", "extra")
 
-    long = df.select(*keys, *[x[c].alias(c) for c in names]).unpivot(keys, names, "__column", "__value")
     fences = grouped_quantiles(long, [*keys, "__column"], "__value", {"q1": 0.25, "q3": 0.75}).filter(
         (F.col("n") >= 4) & (F.col("q3") > F.col("q1")))
     reach = (F.col("q3") - F.col("q1")) * K.FENCE_FACTOR
@@ -192,19 +201,19 @@ def meta_features_by(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     flagged = df.join(bounds, keys).groupBy(*keys).agg(F.count_if(flag).alias("flagged"))
 
     def mean(col: str):
-        known = F.filter(F.col(col), lambda v: v.isNotNull() & ~F.isnan(v))
-        total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
-        return F.coalesce(finite(F.try_divide(total, F.size(known))), F.lit(0.0))
+        return F.coalesce(finite(F.col(col)), F.lit(0.0))
 
     n, width = F.col("n_samples"), len(features)
-    joined = base.join(shares, keys, "left").join(copies, keys, "left").join(flagged, keys, "left")
+    joined = base
+    for part in (shape, related, shares, copies, flagged):
+        joined = joined.join(part, keys, "left")
     zero = F.lit(0)
     return _shown(joined.select(
         *keys, n, F.lit(width).cast("long").alias("n_features"), (F.lit(width) / n).alias("ratio"),
-        mean("vars").alias("variance"), mean("rs").alias("correlation"),
+        mean("variance").alias("variance"), mean("correlation").alias("correlation"),
         F.coalesce("imbalance", F.lit(1.0)).alias("imbalance"),
         (F.col("gaps") / (n * width)).alias("missing"),
-        F.when(n > 2, mean("skews")).otherwise(0.0).alias("skewness"),
+        F.when(n > 2, mean("skewness")).otherwise(0.0).alias("skewness"),
         (F.coalesce("extra", zero) / n).alias("duplicate_pct"),
         (F.coalesce("flagged", zero) / n).alias("outlier_pct"),
     ), *keys)
