@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from suite import sqltext as S
 from suite.views import table, with_views
 from tablegauge.functions import rules as R
+from tablegauge.functions.classes import select_by_class
 from tablegauge.functions.nulls import normalize_nulls
 from tablegauge.operators import checks as C
 from tablegauge.operators import distributions as X
@@ -234,7 +235,7 @@ def _histogram(view: str, cols: list[str]) -> str:
 
 @query("histogram", with_views("lineitem_feat") + _histogram("lineitem_feat", ["l_quantity", "l_discount", "l_tax", "tiny_var"]))
 def histogram(spark, sf):
-    df = table(spark, sf, "lineitem_feat")
+    df = select_by_class(table(spark, sf, "lineitem_feat"), "numeric")
     facts = P.profile_table(df, quartiles=False, duplicates=False, distinct="skip").facts
     return X.histogram(df, facts, ["l_quantity", "l_discount", "l_tax", "tiny_var"])
 

@@ -70,14 +70,16 @@ def staged(df: DataFrame, limit: int = STAGE_BYTES):
     A profile reads its input several times. A large input is read again each time, with only
     the columns of the pass; a small one is spread and kept, which saves opening files again.
     """
-    if estimated_bytes(df) > limit:
+    size = estimated_bytes(df)
+    if size > limit:
         yield df
         return
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    # About a megabyte per partition: a small input must not become a task per core of a cluster.
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, max(4, size // 2**20))
     hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     # By a hash of the row: spreading without a key would sort all rows first.
     key = F.xxhash64(*[quoted(c) for c in hashable]) if hashable else F.lit(0)
-    kept = df.repartition(cores, key).persist()
+    kept = df.repartition(int(parts), key).persist()
     try:
         yield kept
     finally:

@@ -166,3 +166,18 @@ def test_repeated_rows_are_listed_with_their_copies(spark):
 def test_duplicates_per_key(spark):
     df = spark.createDataFrame([("x", 1), ("x", 1), ("x", 1), ("y", 1)], "k string, a long")
     assert {r["k"]: r["duplicate_rows"] for r in duplicate_count(df, ["k"]).collect()} == {"x": 2, "y": 0}
+
+
+def test_sketched_distinct_counts_are_close(spark):
+    df = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), F.lit(None).cast("long").alias("c"))
+    facts = profile_table(df, distinct="approx", quartiles=False, duplicates=False).facts
+    assert abs(facts["a"].distinct - 20_000) < 2_000 and facts["b"].distinct == 7 and facts["c"].distinct == 0
+
+
+def test_large_inputs_are_read_again_with_the_same_result(spark, monkeypatch):
+    import tablegauge.functions.session as session
+
+    df = spark.range(500).select((F.col("id") % 50 * 1.5).alias("x"), (F.col("id") % 3).cast("string").alias("y"))
+    kept = [tuple(r) for r in column_profile(df).collect()]
+    monkeypatch.setattr(session.staged.__wrapped__, "__defaults__", (0,))
+    assert [tuple(r) for r in column_profile(df).collect()] == kept
