@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing_query",)
+MODULES = (
+    "packing_query", "substrings_query", "chat_query", "language_query", "secrets_query", "decontaminate_query", "html_query", "simhash_query",
+)
 
 
 def registered() -> tuple[dict, dict]:
