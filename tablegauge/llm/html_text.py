@@ -164,6 +164,9 @@ def regions(lines: list[Line], sigma: float, cut: float) -> list[int]:
 def main_text(html: str, sigma: float = 1.0, cut: float = 0.5) -> str:
     """The main text of a page, one line per block; empty if there is none."""
     page = Lines()
+    last = html.rfind("<")
+    if last > html.rfind(">") and re.match(r"<[A-Za-z/!?]", html[last:last + 2]):
+        html = html[:last]  # a tag that the end of the page cuts off
     page.feed(html)
     page.close()
     page.flush()
