@@ -53,6 +53,55 @@ def scan_json(spark, sf):
     return R.scan_json(spark, _written(spark, df, "orders.json", "json"))
 
 
+@query("scan_csv_quoted", """select o_orderkey, case when o_orderkey % 3 = 0 then 'line one' || chr(10) || 'line "two", ' || o_orderstatus
+    when o_orderkey % 3 = 1 then null else o_orderpriority end as note, o_orderkey as "note.1" from orders""")
+def scan_csv_quoted(spark, sf):
+    """Line breaks, quotes and separators inside cells, records that end early, and a header that repeats a name."""
+    c = F.col
+    note = F.concat(F.lit('"line one\nline ""two"", '), c("o_orderstatus"), F.lit('"'))
+    body = F.when(c("o_orderkey") % 3 == 0, F.concat_ws(",", "o_orderkey", note, "o_orderkey")).when(
+        c("o_orderkey") % 3 == 1, F.concat_ws(",", "o_orderkey", F.lit(""), "o_orderkey")).otherwise(
+        F.concat_ws(",", "o_orderkey", "o_orderpriority", "o_orderkey"))
+    return R.scan_csv(spark, _lines(spark, base_table(spark, sf, "orders").select(body.alias("value")), "o_orderkey,note,note", "csv"))
+
+
+def _lines(spark, rows, head: str, suffix: str) -> str:
+    """A folder of text files, each with a header of its own."""
+    path = f"{fresh_path(spark, 'scan')}/orders.{suffix}"
+    text = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.concat_ws("\n", F.collect_list("value")).alias("body"))
+    text.repartition(4, "p").groupBy(F.spark_partition_id()).agg(F.concat(F.lit(head + "\n"), F.concat_ws("\n", F.collect_list("body"))).alias("value")).select(
+        "value").write.text(path)
+    return path
+
+
+@query("scan_csv_ragged", "select (o_orderkey % 5 = 0) as odd, count(*) as rows, sum(o_orderkey)::bigint as keys from orders group by 1")
+def scan_csv_ragged(spark, sf):
+    """Records with more cells than the header are returned apart, not cut."""
+    c = F.col
+    cells = F.when(c("o_orderkey") % 5 == 0, F.concat_ws(",", "o_orderkey", F.lit('"a,b"'), F.lit("extra"))).otherwise(
+        F.concat_ws(",", "o_orderkey", F.lit('"a,b"')))
+    path = _lines(spark, base_table(spark, sf, "orders").select(cells.alias("value")), "key,note", "csv")
+    good, bad = R.scan_csv_rows(spark, path)
+    key = F.split("record", ",")[0].cast("long").alias("key")
+    both = good.select(F.lit(False).alias("odd"), "key").unionByName(bad.where("cells = 3").select(F.lit(True).alias("odd"), key))
+    return both.groupBy("odd").agg(F.count("*").alias("rows"), F.sum("key").alias("keys"))
+
+
+@query("scan_json_mixed", "select o_orderkey, o_orderstatus, o_orderdate::varchar as o_orderdate from (select * replace (strftime(o_orderdate::timestamp, '%Y-%m-%d') as o_orderdate) from orders)")
+def scan_json_mixed(spark, sf):
+    """A folder with JSON lines and with arrays of records, on one line or several."""
+    path = f"{fresh_path(spark, 'scan')}/orders.json"
+    rows = base_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+    kind = F.col("o_orderkey") % 3
+    rows.where(kind == 0).write.json(f"{path}/kind=0")
+    record = F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_orderdate"))
+    for k, between in ((1, ",\n"), (2, ",")):  # records on lines of their own, and all on one line
+        arrays = rows.where(kind == k).groupBy((F.col("o_orderkey") % 16).alias("part")).agg(
+            F.concat(F.lit("["), F.concat_ws(between, F.collect_list(record)), F.lit("]")).alias("value"))
+        arrays.write.mode("append").partitionBy("part").text(f"{path}/kind={k}")  # a file per array
+    return R.scan_json(spark, path)
+
+
 _SHAPES = ("select 'customer.csv' as table_name, count(*) as rows, 5::bigint as columns from customer "
            "union all select 'supplier.json', count(*), 4 from supplier union all select 'nation.parquet', count(*), 3 from nation")
 

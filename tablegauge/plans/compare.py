@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.functions.failures import cannot_read
 from tablegauge.functions.session import local_rows
 from tablegauge.operators import relate as L
 from tablegauge.plans.analyze import TableReport
@@ -25,6 +26,8 @@ class Comparison:
             try:
                 self.reports[name] = TableReport(name, df, target)
             except Exception as exc:  # the other tables go on
+                if not cannot_read(exc):
+                    raise
                 failed.append((name, str(exc).splitlines()[0][:500]))
         own = local_rows(spark, failed, "table_name string, error string")
         self.errors = own if errors is None else errors.unionByName(own)

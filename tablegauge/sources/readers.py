@@ -7,6 +7,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions import keywords as K
+from tablegauge.functions.failures import cannot_read
 from tablegauge.functions.nulls import quoted
 from tablegauge.functions.probes import NUMBER_PATTERN
 from tablegauge.functions.session import fresh_path, local_rows
@@ -29,6 +31,23 @@ def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*K.NA_TOKENS), c)
 
 
+def column_names(head: list[str | None]) -> list[str]:
+    """Names for a header row: an empty cell becomes ``Unnamed: i``, a repeated name gets ``.1``, ``.2`` and so on.
+
+    Names that differ in case only count as repeated, since Spark does not tell them apart.
+    """
+    out, taken = [], set()
+    for i, cell in enumerate(head):
+        name = cell or f"Unnamed: {i}"
+        own, n = name, 0
+        while own.lower() in taken:
+            n += 1
+            own = f"{name}.{n}"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def type_columns(df: DataFrame) -> DataFrame:
     """Text columns typed by their whole content: boolean, long or double, else text as it is.
 
@@ -62,31 +81,72 @@ def type_columns(df: DataFrame) -> DataFrame:
     return clean.select(out)
 
 
-def scan_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """Delimited text with a header row.
+# The record as it stands in the file, where its number of cells is not that of the header.
+_ODD = "__odd_record"
+
 
-    ``multi_line`` allows line breaks inside quotes; such a file cannot be split between tasks.
+def scan_csv_rows(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Delimited text with a header row: the typed table, and the records that do not fit into it.
+
+    Quoted line breaks are kept; a file is then read by one task. ``multi_line=False`` splits large files, for
+    input without such breaks. A record with fewer cells than the header is filled up with nulls. One with more
+    is not cut but returned as it stands: ``record, cells``.
+    """
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "nullValue": "", "mode": "PERMISSIVE"}
+    head = spark.read.csv(path, header=False, inferSchema=False, **options).first()
+    if head is None:
+        raise ValueError(f"{path} has no header")
+    names = column_names(list(head))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _ODD]])
+    # All cells are parsed, or else the parser would not see that there are too many.
+    raw = spark.read.schema(schema).option("columnPruning", False).csv(
+        path, header=True, enforceSchema=True, columnNameOfCorruptRecord=_ODD, **options)
+    bare = F.regexp_replace(_ODD, '"[^"]*"', "")
+    cells = ((F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep)).cast("int") + 1
+    surplus = F.col(_ODD).isNotNull() & (cells > len(names))
+    # Spark refuses to read the record alone, so a condition that always holds takes the cells along.
+    raw = raw.where(F.pmod(F.hash(*[quoted(c) for c in names]), F.lit(1)) == 0)
+    bad = raw.where(surplus).select(F.col(_ODD).alias("record"), cells.alias("cells"))
+    return type_columns(raw.where(~surplus).select([quoted(c) for c in names])), bad
+
+
+def scan_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """The table of a delimited file; refused if a record has more cells than the header.
+
+    ``scan_csv_rows`` reads such a file and returns those records apart.
     """
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, quote='"', escape='"',
-                         multiLine=multi_line, nullValue="", mode="PERMISSIVE")
-    return type_columns(raw)
+    table, bad = scan_csv_rows(spark, path, sep, multi_line)
+    first = bad.first()
+    if first:
+        raise ValueError(f"{path}: a record has {first['cells']} cells, the header {len(table.columns)}: {first['record'][:200]}")
+    return table
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records (an array of objects) or JSON lines.
+    """JSON records (an array of objects) or JSON lines; the files of a folder may be of either kind.
 
     Column-oriented objects are refused: Spark reads them as one row of structs.
     """
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
-    text = first["value"].lstrip() if first else ""
-    df = spark.read.json(path, multiLine=not _is_lines(text), mode="PERMISSIVE")
-    if "_corrupt_record" in df.columns:
-        raise ValueError(f"{path} is not valid JSON")
-    columns = [f for f in df.schema if isinstance(f.dataType, T.StructType)
-               and f.dataType.names and all(n.isdigit() for n in f.dataType.names)]
-    if df.columns and len(columns) == len(df.columns):
-        raise ValueError(f"{path} holds column-oriented JSON; records are expected")
-    return df
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.trim("value").alias("value"))
+    # The first line that is not blank, by file: only the first line of a file can tell, and only its kind is kept.
+    ordered = lines.where("value <> ''").select("file", F.struct("block", F.monotonically_increasing_id().alias("at")).alias("at"), F.when(
+        F.substring("value", 1, 1) == "[", "array").when(F.try_parse_json("value").isNotNull(), "lines").otherwise("document").alias("kind"))
+    kinds = ordered.groupBy("file").agg(F.min_by("kind", "at").alias("kind")).groupBy(
+        (F.col("kind") == "lines").alias("by_line")).agg(F.sort_array(F.collect_list("file")).alias("files")).collect()  # names of files
+    parts = []
+    for r in kinds:
+        df = spark.read.json(r["files"], multiLine=not r["by_line"], mode="PERMISSIVE")
+        if "_corrupt_record" in df.columns:
+            raise ValueError(f"{path} is not valid JSON")
+        columns = [f for f in df.schema if isinstance(f.dataType, T.StructType)
+                   and f.dataType.names and all(n.isdigit() for n in f.dataType.names)]
+        if df.columns and len(columns) == len(df.columns):
+            raise ValueError(f"{path} holds column-oriented JSON; records are expected")
+        parts.append(df)
+    if not parts:
+        return spark.read.json(path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _is_lines(text: str) -> bool:
@@ -143,24 +203,36 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
 
 
 def scan_catalog(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Every supported file below a folder, by relative path, and ``(table_name, error)`` rows for
-    those that cannot be read or are empty."""
-    paths = list_files(spark, folder)
-    return _read_all(spark, {p: (lambda p=p: scan_by_extension(spark, f"{folder.rstrip('/')}/{p}")) for p in paths})
+    """Every supported file below a folder, by relative path, and ``(table_name, error)`` rows: one for each
+    file that cannot be read or is empty, and one for each record that does not fit its table."""
+    def reader(path: str):
+        whole = f"{folder.rstrip('/')}/{path}"
+        return (lambda: scan_csv_rows(spark, whole)) if extension(path) == "csv" else (lambda: scan_by_extension(spark, whole))
+
+    return _read_all(spark, {p: reader(p) for p in list_files(spark, folder)})
+
+
+def _misfits(name: str, bad: DataFrame) -> DataFrame:
+    """Error rows for records with more cells than the header has."""
+    return bad.select(F.lit(name).alias("table_name"), F.format_string("record with %d cells: %s", "cells", F.substring("record", 1, 400)).alias("error"))
 
 
 def _read_all(spark: SparkSession, readers: dict) -> tuple[dict[str, DataFrame], DataFrame]:
-    tables, errors = {}, []
+    tables, errors, misfits = {}, [], []
     for name, read in readers.items():
         try:
-            df = read()
+            df, bad = got if isinstance(got := read(), tuple) else (got, None)
+            if bad is not None:
+                misfits.append(_misfits(name, bad))
             if not df.columns or df.isEmpty():
                 errors.append((name, "empty table"))
             else:
                 tables[name] = df
         except Exception as exc:  # one bad file must not end the scan
+            if not cannot_read(exc):
+                raise
             errors.append((name, str(exc).splitlines()[0][:500]))
-    return tables, local_rows(spark, errors, "table_name string, error string")
+    return tables, reduce(DataFrame.unionByName, misfits, local_rows(spark, errors, "table_name string, error string"))
 
 
 # One record per line of a member: the cells of a delimited file, or one JSON object as text.
@@ -261,9 +333,13 @@ def _table_name(archive: str, member: str, several: bool) -> str:
     return f"{name}/{member}" if several and member else member or name
 
 
-def _csv_member(lines: DataFrame, head: list[str]) -> DataFrame:
-    body = lines.filter("line_no > 0")
-    return type_columns(body.select([F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(head)]))
+def _csv_member(lines: DataFrame, head: list[str]) -> tuple[DataFrame, DataFrame]:
+    body, names = lines.filter("line_no > 0"), column_names(head)
+    fits = F.size("cells") <= len(names)
+    # An empty cell is a missing value, as in a file.
+    cells = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)]
+    return type_columns(body.where(fits).select(cells)), body.where(~fits).select(
+        F.array_join("cells", ",").alias("record"), F.size("cells").alias("cells"))
 
 
 def _json_member(lines: DataFrame) -> DataFrame:

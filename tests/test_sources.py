@@ -41,6 +41,37 @@ def test_json_records_lines_and_columns(spark, tmp_path):
             R.scan_json(spark, str(bad))
 
 
+def test_csv_keeps_quoted_breaks_and_returns_long_records(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b,a\n1,"x\ny ""z"", w",3\n4,5\n6,7,8,9\n"1,2",,\n')
+    table, bad = R.scan_csv_rows(spark, str(path))
+    assert table.columns == ["a", "b", "a.1"]
+    assert {tuple(r) for r in table.collect()} == {("1", 'x\ny "z", w', 3), ("4", "5", None), ("1,2", None, None)}
+    assert [tuple(r) for r in bad.collect()] == [("6,7,8,9", 4)]
+    with pytest.raises(ValueError, match="4 cells"):
+        R.scan_csv(spark, str(path))
+
+
+def test_names_of_a_header():
+    assert R.column_names(["a", None, "a", "A", "a.1", "b"]) == ["a", "Unnamed: 1", "a.1", "A.2", "a.1.1", "b"]
+
+
+def test_json_folder_of_several_kinds(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n\n" + json.dumps([{"a": i, "b": "x"} for i in range(500)]))
+    (tmp_path / "b.json").write_text('{"a": 1}\n{"a": 2, "c": true}\n{"a": 3}\n')
+    (tmp_path / "c.json").write_text(json.dumps({"a": 7, "b": "y"}, indent=2))
+    (tmp_path / "d.json").write_text("\n")
+    got = R.scan_json(spark, str(tmp_path))
+    assert got.count() == 504 and set(got.columns) == {"a", "b", "c"}
+
+
+def test_catalog_records_long_records(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n3,4,99\n")
+    tables, errors = R.scan_catalog(spark, str(tmp_path))
+    assert tables["t.csv"].count() == 1
+    assert [tuple(r) for r in errors.collect()] == [("t.csv", "record with 3 cells: 3,4,99")]
+
+
 def test_extension_decides_and_others_are_refused(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x\n1\n")
     assert R.scan_by_extension(spark, str(tmp_path / "a.csv")).count() == 1
