@@ -235,9 +235,19 @@ def _histogram(view: str, cols: list[str]) -> str:
 
 @query("histogram", with_views("lineitem_feat") + _histogram("lineitem_feat", ["l_quantity", "l_discount", "l_tax", "tiny_var"]))
 def histogram(spark, sf):
-    df = select_by_class(table(spark, sf, "lineitem_feat"), "numeric")
-    facts = P.profile_table(df, quartiles=False, duplicates=False, distinct="skip").facts
-    return X.histogram(df, facts, ["l_quantity", "l_discount", "l_tax", "tiny_var"])
+    return _histograms(spark, sf, 4)
+
+
+def _histograms(spark, sf, limit):
+    df = select_by_class(table(spark, sf, "lineitem_feat").drop("const_num"), "numeric")
+    facts = P.profile_table(df, quartiles=False, duplicates=False).facts
+    return X.histogram(df, facts, X.histogram_columns(facts, limit=limit))
+
+
+@query("histogram_all", with_views("lineitem_feat") + _histogram("lineitem_feat", ["l_quantity", "l_discount", "l_tax", "tiny_var", "gappy"]))
+def histogram_all(spark, sf):
+    """All numeric columns that are no identifiers."""
+    return _histograms(spark, sf, None)
 
 
 @query("histogram_events", _histogram("events", ["value"]))
@@ -255,27 +265,47 @@ def _bars(view: str, cols: list[str]) -> str:
 
 @query("category_bars", with_views(SHIP) + _bars(SHIP, ["notes", "ship_day", "tax_text"]))
 def category_bars(spark, sf):
+    return _bars_of(spark, sf, 3)
+
+
+def _bars_of(spark, sf, limit):
     df = table(spark, sf, SHIP)
-    return X.category_bars(df, X.bar_columns(df, P.profile_table(df, quartiles=False, duplicates=False).facts))
+    return X.category_bars(df, X.bar_columns(df, P.profile_table(df, quartiles=False, duplicates=False).facts, limit=limit))
+
+
+@query("category_bars_all", with_views(SHIP) + _bars(SHIP, ["notes", "ship_day", "tax_text", "flag", "outcome"]))
+def category_bars_all(spark, sf):
+    """All text columns that are no identifiers."""
+    return _bars_of(spark, sf, None)
 
 
 _MATRIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "price_copy", "const_num"]
 
 
-def _matrix() -> str:
+def _matrix(names: list[str]) -> str:
     out = []
-    for i, a in enumerate(_MATRIX):
-        for j, b in enumerate(_MATRIX):
-            r = f"case when var_pop({a}) > 0 then 1.0::double end" if i == j else f"round({S.corr(*sorted((a, b), key=_MATRIX.index))}, 3)"
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            r = f"case when var_pop({a}) > 0 then 1.0::double end" if i == j else f"round({S.corr(*sorted((a, b), key=names.index))}, 3)"
             out.append(f"select {i} as row_no, {j} as col_no, '{a}' as col1, '{b}' as col2, {r} as r from lineitem_feat")
     return with_views("lineitem_feat") + " union all ".join(out)
 
 
-@query("correlation_matrix", _matrix())
-def correlation_matrix(spark, sf):
+def _matrix_of(spark, sf, limit):
     df = normalize_nulls(table(spark, sf, "lineitem_feat"))
     profile = P.profile_table(df, "l_quantity", quartiles=False, duplicates=False, distinct="skip")
-    return X.correlation_matrix(df, profile, "l_quantity")
+    return X.correlation_matrix(df, profile, "l_quantity", limit)
+
+
+@query("correlation_matrix", _matrix(_MATRIX))
+def correlation_matrix(spark, sf):
+    return _matrix_of(spark, sf, 6)
+
+
+@query("correlation_matrix_all", _matrix([*_MATRIX, "tiny_var", "gappy"]))
+def correlation_matrix_all(spark, sf):
+    """All numeric columns."""
+    return _matrix_of(spark, sf, None)
 
 
 # Severity and score.

@@ -14,6 +14,7 @@ from tablegauge.operators import checks as C
 from tablegauge.operators import profile as P
 from tablegauge.operators import relate as L
 from tablegauge.operators import score as Z
+from tablegauge.plans.compare import compare
 
 QUERIES, ORACLES = {}, {}
 NAME, IDENT = "customer_name", "response_id"
@@ -184,6 +185,12 @@ def table_ranking(spark, sf):
     return _ranking(spark, sf)
 
 
+@query("compare_ranking", _ranking_sql())
+def compare_ranking(spark, sf):
+    """The ranking as the comparison of several tables gives it."""
+    return compare(spark, {v: table(spark, sf, v) for v in _COMPARED}).ranking
+
+
 @query("best_worst_table", f"""with r as ({_ranking_sql()})
     select (select table_name from r order by score desc, table_name limit 1) as best_table,
            (select table_name from r order by score, table_name desc limit 1) as worst_table""")
@@ -209,6 +216,20 @@ def problem_columns_topk(spark, sf):
     return L.problem_columns_topk(found)
 
 
+_LARGE = 9007199254740992  # from here on neighbouring integers are one double
+
+
+@query("referential_integrity_decimal", f"""with a as (select distinct {_LARGE}::hugeint + o_orderkey as k from orders),
+    b as (select distinct {_LARGE}::hugeint + o_orderkey + 1 as k from orders)
+    select count(*) as total_in_source, count(b.k) as matched, count(*) - count(b.k) as missing_references,
+           count(*) = count(b.k) as integrity_ok from a left join b on a.k = b.k""")
+def referential_integrity_decimal(spark, sf):
+    """Decimal keys against integer keys beyond what a double can tell apart."""
+    key = F.col("o_orderkey") + F.lit(_LARGE)
+    orders = table(spark, sf, "orders")
+    return L.referential_integrity(orders.select(key.cast("decimal(22,2)").alias("k")), "k", orders.select((key + 1).alias("k")), "k").drop("sample_missing")
+
+
 # Audit of names against identifiers.
 
 def _audit(body: str) -> str:

@@ -34,9 +34,12 @@ _own_dir: list[str] = []  # the folder made by this process where the session na
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a test folder where unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Unset, it is a folder of this machine in local mode
+    and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tablegauge-"))
         base = _own_dir[0]

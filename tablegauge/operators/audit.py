@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions import keywords as K
+from tablegauge.functions.joins import joined_by_key
 from tablegauge.functions.nulls import number, quoted
-from tablegauge.functions.session import local_rows
+from tablegauge.functions.session import checkpointed, local_rows
 from tablegauge.operators.facts import outside
 from tablegauge.operators.quantiles import quantiles
 
@@ -88,7 +89,7 @@ def text_variants(df: DataFrame, name: str) -> DataFrame:
     pairs = df.select(quoted(name).alias("spelling")).dropna().distinct().withColumn(
         "name_norm", normalize_text(F.col("spelling")))
     several = pairs.groupBy("name_norm").agg(F.count("*").alias("variants")).filter("variants > 1")
-    return pairs.join(several, "name_norm").select("name_norm", "spelling", "variants")
+    return joined_by_key(pairs, several, ["name_norm"]).select("name_norm", "spelling", "variants")
 
 
 def _violations(df: DataFrame, key: Column, value: Column, shown: dict[str, Column]) -> DataFrame:
@@ -103,7 +104,7 @@ def _violations(df: DataFrame, key: Column, value: Column, shown: dict[str, Colu
         combos.select("__key", "__value").distinct()
         .groupBy("__key").agg(F.count("*").alias("n_values")).filter("n_values > 1")
     )
-    return combos.join(several, "__key")
+    return joined_by_key(combos, several, ["__key"])
 
 
 def fd_violation_id_to_name(df: DataFrame, name: str, ident: str) -> DataFrame:
@@ -156,12 +157,14 @@ def grouped_iqr_outliers(df: DataFrame, ident: str) -> DataFrame:
 def audit_summary(df: DataFrame, name: str, ident: str) -> DataFrame:
     """One row: outliers before and after the split by format, and the consistency counts."""
     before = iqr_fences(df, ident).select(F.col("flagged").alias("outliers_before"))
-    cleaned = grouped_iqr_outliers(clean_table(df, name, ident), ident)
+    # One row per spelling and identifier as written, fixed once: all but the first and the third figure need no more.
+    pairs = checkpointed(df.select(quoted(name).alias(name), quoted(ident).alias(ident)).distinct())
+    cleaned = grouped_iqr_outliers(checkpointed(clean_table(pairs, name, ident)), ident)
     after = cleaned.agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outliers_after"))
     short = df.agg(F.count_if(quoted(ident) < SHORT_LIMIT).alias("short_ids"))
-    gain = normalization_gain(df, name).select("fixed_by_normalization")
-    ids = fd_violation_id_to_name(df, name, ident).agg(F.count_distinct("id").alias("ids_with_several_names"))
-    names = fd_violation_name_to_id(df, name, ident).agg(F.count_distinct("name_norm").alias("names_with_several_ids"))
+    gain = normalization_gain(pairs, name).select("fixed_by_normalization")
+    ids = fd_violation_id_to_name(pairs, name, ident).agg(F.count_distinct("id").alias("ids_with_several_names"))
+    names = fd_violation_name_to_id(pairs, name, ident).agg(F.count_distinct("name_norm").alias("names_with_several_ids"))
     row = before
     for part in (after, short, gain, ids, names):
         row = row.crossJoin(F.broadcast(part))  # one row each

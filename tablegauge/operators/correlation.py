@@ -1,14 +1,20 @@
-"""Pearson correlation of column pairs over all rows, pairwise complete, in aggregate passes."""
+"""Pearson correlation of column pairs over all rows, pairwise complete, in one scan."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablegauge.functions.classes import columns_of
-from tablegauge.functions.nulls import finite, sql_name
+from tablegauge.functions.nulls import finite, quoted
 from tablegauge.functions.session import local_rows
 
 
@@ -29,30 +35,94 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
-# Pairs per pass, so that generated code stays small.
-PAIRS_PER_PASS = 150
+# Partial results that one task merges.
+_FAN = 64
+_PARTIAL = pa.schema([("at", pa.int64()), ("parts", pa.binary())])
+# Matrices of a partial result, by (column, other column) over the rows that have both: rows, and of the column
+# the mean, the squares around it, smallest and largest value; last the products of both around their means.
+_N, _MEAN, _SQUARES, _LOW, _HIGH, _PRODUCTS = range(6)
+
+
+def _block(x: np.ndarray) -> np.ndarray:
+    """The matrices of some rows; NaN is a missing value."""
+    there = ~np.isnan(x)
+    mask = there.astype(float)
+    n = mask.T @ mask
+    with np.errstate(all="ignore"):
+        centre = np.where(mask.sum(axis=0) > 0, np.where(there, x, 0).sum(axis=0) / np.maximum(mask.sum(axis=0), 1), 0)
+        z = np.where(there, x - centre, 0)
+        sums = z.T @ mask
+        mean = sums / np.maximum(n, 1)
+        squares = np.maximum((z * z).T @ mask - sums * mean, 0)
+        products = z.T @ z - sums * mean.T
+    out = np.stack([n, mean + centre[:, None], squares, np.full_like(n, np.inf), np.full_like(n, -np.inf), products])
+    whole = there.all(axis=0)
+    for j in range(x.shape[1]):
+        if j and whole[j] and whole[:j].any():  # as of another column without gaps
+            first = int(np.argmax(whole[:j]))
+            out[_LOW, :, j], out[_HIGH, :, j] = out[_LOW, :, first], out[_HIGH, :, first]
+        elif there[:, j].any():
+            rows = x if whole[j] else x[there[:, j]]
+            out[_LOW, :, j] = np.fmin.reduce(rows, axis=0, initial=np.inf)
+            out[_HIGH, :, j] = np.fmax.reduce(rows, axis=0, initial=-np.inf)
+    return out
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrices of the rows of both parts."""
+    n = a[_N] + b[_N]
+    with np.errstate(all="ignore"):
+        share = b[_N] / np.maximum(n, 1)
+        away = b[_MEAN] - a[_MEAN]
+        weight = a[_N] * share
+        mean = np.where(a[_N] == 0, b[_MEAN], np.where(b[_N] == 0, a[_MEAN], a[_MEAN] + away * share))
+        away = np.where(weight > 0, away, 0)
+        return np.stack([
+            n, mean, a[_SQUARES] + b[_SQUARES] + away * away * weight, np.minimum(a[_LOW], b[_LOW]), np.maximum(a[_HIGH], b[_HIGH]),
+            a[_PRODUCTS] + b[_PRODUCTS] + away * away.T * weight])
+
+
+def _moments(df: DataFrame, names: list[str]) -> np.ndarray | None:
+    """The matrices of all rows: one scan, whatever the number of columns, and partial results merged in a tree."""
+    width = len(names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = _block(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+                total = own if total is None else _merged(total, own)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "parts": [total.tobytes()]}, schema=_PARTIAL)
+
+    def opened(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, dtype=float).reshape(6, width, width)
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        parts = [opened(b) for b in group.sort_by("at").column("parts").to_pylist()]
+        return pa.Table.from_pydict({"at": [key[0].as_py()], "parts": [reduce(_merged, parts).tobytes()]}, schema=_PARTIAL)
+
+    cells = df.select(*[quoted(c).cast("double").alias(str(i)) for i, c in enumerate(names)])
+    schema = from_arrow_schema(_PARTIAL)
+    parts = cells.mapInArrow(partial, schema)
+    for _ in range(2):
+        parts = parts.select(F.floor(F.col("at") / _FAN).cast("bigint").alias("to"), "at", "parts").groupBy("to").applyInArrow(merge, schema)
+    rows = sorted(parts.collect(), key=lambda r: r["at"])  # one for _FAN * _FAN tasks of the scan
+    return reduce(_merged, [opened(bytes(r["parts"])) for r in rows]) if rows else None
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """r of each pair, over the rows in which both sides are present (no NaN, see ``normalize_nulls``).
-
-    Each row gives one (pair, x, y) row per pair to a grouped aggregate that combines on the map
-    side: one small piece of generated code serves all pairs, and a few numbers per pair travel.
-    """
-    found: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        cells = []
-        for k, (a, b) in enumerate(part):
-            a, b = sql_name(a), sql_name(b)
-            cells.append(f"case when {a} is not null and {b} is not null then "
-                         f"struct(cast({a} as double) as x, cast({b} as double) as y) end as `{k}`")
-        names = [str(k) for k in range(len(part))]
-        long = df.selectExpr(*cells).unpivot([], names, "pair", "both").filter("both is not null")
-        x, y = F.col("both.x"), F.col("both.y")
-        for r in long.groupBy("pair").agg(safe_corr(x, y).alias("r")).collect():
-            found[part[int(r["pair"])]] = r["r"]
-    return found
+    """r of each pair, over the rows in which both sides are present (no NaN, see ``normalize_nulls``)."""
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    m = _moments(df, names) if names else None
+    if m is None:
+        return dict.fromkeys(pairs)
+    at = {c: i for i, c in enumerate(names)}
+    with np.errstate(all="ignore"):
+        r = m[_PRODUCTS] / np.sqrt(m[_SQUARES] * m[_SQUARES].T)
+    known = np.isfinite(r) & (m[_LOW] < m[_HIGH]) & (m[_LOW] < m[_HIGH]).T
+    r = np.clip(r, -1.0, 1.0)
+    return {(a, b): float(r[at[a], at[b]]) if known[at[a], at[b]] else None for a, b in pairs}
 
 
 def pair_table(df: DataFrame, names: list[str]) -> DataFrame:

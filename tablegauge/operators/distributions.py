@@ -1,4 +1,4 @@
-"""Histograms, category bars and the correlation matrix of the leading columns."""
+"""Histograms, category bars and the correlation matrix; ``limit`` keeps the leading columns, None all."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def bin_edges(low: float, high: float, bins: int = BINS) -> list[float]:
     return edges
 
 
-def histogram_columns(facts: TableFacts, target: str | None = None, limit: int = 4) -> list[str]:
+def histogram_columns(facts: TableFacts, target: str | None = None, limit: int | None = None) -> list[str]:
     chosen = [c for c in facts.columns if c.numeric and c.name != target and not facts.id_like(c)][:limit]
     return [c.name for c in chosen if c.has_stats and math.isfinite(c.maximum - c.minimum)]
 
@@ -61,7 +61,7 @@ def histogram(df: DataFrame, facts: TableFacts, names: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def bar_columns(df: DataFrame, facts: TableFacts, target: str | None = None, limit: int = 3) -> list[str]:
+def bar_columns(df: DataFrame, facts: TableFacts, target: str | None = None, limit: int | None = None) -> list[str]:
     text = {f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType))}
     chosen = [c for c in facts.columns if c.name in text and c.name != target and not facts.id_like(c)]
     return [c.name for c in chosen[:limit]]
@@ -83,16 +83,17 @@ def category_bars(df: DataFrame, names: list[str], top: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def matrix_columns(facts: TableFacts, target: str | None = None) -> list[str]:
+def matrix_columns(facts: TableFacts, target: str | None = None, limit: int | None = None) -> list[str]:
+    """The target first, then the other numeric columns; without a target those that are no identifiers."""
     numeric = [c for c in facts.columns if c.numeric]
     if target in [c.name for c in numeric]:
-        return [target] + [c.name for c in numeric if c.name != target][:5]
-    return [c.name for c in numeric if not facts.id_like(c)][:6]
+        return [target] + [c.name for c in numeric if c.name != target][:None if limit is None else limit - 1]
+    return [c.name for c in numeric if not facts.id_like(c)][:limit]
 
 
-def correlation_matrix(df: DataFrame, profile: TableProfile, target: str | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, profile: TableProfile, target: str | None = None, limit: int | None = None) -> DataFrame:
     """``row_no, col1, col2, r``: the full matrix in long form, NULL where undefined."""
-    names = matrix_columns(profile.facts, target)
+    names = matrix_columns(profile.facts, target, limit)
     schema = "row_no int, col_no int, col1 string, col2 string, r double"
     if len(names) < 2:
         return local_rows(df.sparkSession, [], schema)
@@ -107,11 +108,11 @@ def correlation_matrix(df: DataFrame, profile: TableProfile, target: str | None
     return local_rows(df.sparkSession, rows, schema).withColumn("r", F.round("r", 3))
 
 
-def distributions(df: DataFrame, target: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Histograms and category bars of a table's leading columns."""
+def distributions(df: DataFrame, target: str | None = None, numeric: int | None = None, text: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Histograms and category bars of a table's columns, or of so many leading ones."""
     profile = profile_table(df, target, quartiles=False, duplicates=False)
     facts = profile.facts
     return (
-        histogram(df, facts, histogram_columns(facts, target)),
-        category_bars(df, bar_columns(df, facts, target)),
+        histogram(df, facts, histogram_columns(facts, target, numeric)),
+        category_bars(df, bar_columns(df, facts, target, text)),
     )

@@ -27,7 +27,7 @@ from tablegauge.functions import keywords as K
 from tablegauge.functions.classes import WIDTHS, dtype_class, text_form
 from tablegauge.functions.nulls import quoted, sql_name
 from tablegauge.functions.session import together
-from tablegauge.functions.probes import DATETIME_FORMATS, NUMBER_PATTERN, looks_like, parse_datetime, parse_number
+from tablegauge.functions.probes import DATETIME_FORMATS, NUMBER_PATTERN, parse_datetime, parse_number
 from tablegauge.operators import distinct as D
 from tablegauge.operators.quantiles import quantiles
 
@@ -38,7 +38,7 @@ class ColumnFacts:
     dtype_raw: str
     dtype_class: str
     present: int = 0
-    distinct: int = 0
+    distinct: int | None = 0  # None where values were not counted
     suggested: str = ""
     mean: float | None = None
     minimum: float | None = None
@@ -67,8 +67,8 @@ class ColumnFacts:
         return self.numeric and self.present >= 2
 
     @property
-    def ordinal_like(self) -> bool:
-        return self.distinct <= K.ORDINAL_DISTINCT
+    def ordinal_like(self) -> bool | None:
+        return None if self.distinct is None else self.distinct <= K.ORDINAL_DISTINCT
 
 
 @dataclass
@@ -83,7 +83,7 @@ class TableFacts:
     def id_like(self, c: ColumnFacts) -> bool:
         tokens = set(_split(c.name)) | {c.name.lower()}
         by_name = bool(tokens & set(K.ID_WORDS))
-        return by_name or (self.rows > 0 and c.distinct / self.rows > K.ID_DISTINCT_RATIO)
+        return by_name or (self.rows > 0 and (c.distinct or 0) / self.rows > K.ID_DISTINCT_RATIO)
 
 
 def _split(name: str) -> list[str]:
@@ -110,13 +110,17 @@ def collect_facts(
 ) -> TableFacts:
     """All facts of a table whose missing values are all NULL (see ``normalize_nulls``).
 
-    ``distinct`` is exact, approx (sketches) or skip (not counted).
+    ``distinct`` is exact, approx (sketches) or skip: then the number of values, and what follows from
+    it, is unknown (None).
     Passes that do not need each other are submitted together; Spark shares its cores among them.
     """
     flat = text_form(df)
     facts = _first_pass(flat, _new_columns(df))
+    if distinct == "skip":
+        for c in facts.columns:
+            c.distinct = None
     if facts.rows:
-        work = [lambda: _moment_pass(flat, facts)]
+        work = []
         if probes:
             work.append(lambda: _probe_pass(flat, facts))
         if distinct != "skip":
@@ -140,19 +144,23 @@ def _measure(c: ColumnFacts) -> str:
 
 
 def _first_pass(flat: DataFrame, cols: list[ColumnFacts]) -> TableFacts:
-    """One grouped aggregate over (column, number) rows: small code for any number of columns."""
+    """One grouped aggregate over (column, number) rows: small code for any number of columns.
+
+    Spark merges the central moments of the parts, so they need no mean of an earlier pass.
+    """
     whole = " and ".join(f"{sql_name(c.name)} is not null" for c in cols)
     names = [str(c.ordinal) for c in cols]
     cells = flat.selectExpr(f"{whole} as whole", *[f"{_measure(c)} as `{c.ordinal}`" for c in cols])
     got = cells.unpivot(["whole"], names, "i", "d").groupBy("i").agg(*[F.expr(e) for e in (
         "count(*) as rows", "count_if(whole) as whole", "count(d) as present", "avg(d) as mean", "sum(d) as total",
-        "min(d) as low", "max(d) as high", "count_if(d < 0) as negatives", "count_if(d = 0) as zeros")]).collect()
+        "min(d) as low", "max(d) as high", "count_if(d < 0) as negatives", "count_if(d = 0) as zeros", "stddev_pop(d) as spread", "skewness(d) as skew", "kurtosis(d) as kurt")]).collect()
     for r in got:
         c = cols[int(r["i"])]
         c.present = r["present"]
         if c.numeric:
             c.mean, c.minimum, c.maximum = r["mean"], r["low"], r["high"]
             c.negatives, c.zeros = r["negatives"], r["zeros"]
+            _set_moments(c, r["spread"], r["skew"], r["kurt"])
         elif c.dtype_class == "categorical":
             c.longest, c.text_bytes = int(r["high"] or 0), int(r["total"] or 0)
     return TableFacts(got[0]["rows"] if got else 0, got[0]["whole"] if got else 0, cols)
@@ -182,31 +190,11 @@ def _distinct_pass(flat: DataFrame, facts: TableFacts, how: str) -> None:
     together(work)
 
 
-def _moment_pass(flat: DataFrame, facts: TableFacts) -> None:
-    """Power sums around the means of the first pass."""
-    chosen = [c for c in facts.columns if c.has_stats and math.isfinite(c.mean)]
-    if not chosen:
-        return
-    names = [str(c.ordinal) for c in chosen]
-    centred = flat.selectExpr(*[f"cast({sql_name(c.name)} as double) - {c.mean!r}D as `{c.ordinal}`" for c in chosen])
-    got = centred.unpivot([], names, "i", "d").groupBy("i").agg(*[F.expr(e) for e in (
-        "sum(d) as s1", "sum(d * d) as s2", "sum(d * d * d) as s3", "sum(d * d * d * d) as s4")])
-    for r in got.collect():
-        _set_moments(facts.columns[int(r["i"])], r["s1"], r["s2"], r["s3"], r["s4"])
-
-
-# Rows looked at to rule a probe out; one misfit is enough for that, and none proves nothing.
-_GLANCE_ROWS = 500
-
-
 def _probe_pass(flat: DataFrame, facts: TableFacts) -> None:
-    """Text columns whose every value is a date of one format, or else a number.
-
-    A glance at a few rows rules out most columns. The others are parsed as a whole.
-    """
+    """Text columns whose every value is a date of one format, or else a number."""
     text = (T.StringType, T.VarcharType, T.CharType)
     chosen = [c for c in facts.columns if isinstance(flat.schema[c.ordinal].dataType, text)
-              and c.dtype_raw != "binary" and c.present and c.longest <= D.LONG_TEXT]
+              and c.dtype_raw != "binary" and c.present]
     tests: dict[str, tuple[ColumnFacts, str, Column]] = {}
     for c in chosen:
         x = quoted(c.name)
@@ -216,13 +204,9 @@ def _probe_pass(flat: DataFrame, facts: TableFacts) -> None:
             tests[f"n{c.ordinal}"] = (c, NUMBER_PATTERN, parse_number(x))
     if not tests:
         return
-    glance = flat.limit(_GLANCE_ROWS).agg(
-        *[F.count_if(~looks_like(quoted(c.name), pattern)).alias(k) for k, (c, pattern, _) in tests.items()]).first()
-    open_ = {k: t for k, t in tests.items() if not glance[k]}
-    if not open_:
-        return
-    parsed = flat.agg(*[F.count(parse).alias(k) for k, (_, _, parse) in open_.items()]).first()
-    fits = {k for k, (c, _, _) in open_.items() if parsed[k] == c.present}
+    # Values of another shape are not parsed: the anchored pattern of a probe comes first.
+    parsed = flat.agg(*[F.count(parse).alias(k) for k, (_, _, parse) in tests.items()]).first()
+    fits = {k for k, (c, _, _) in tests.items() if parsed[k] == c.present}
     for c in chosen:
         if any(f"d{c.ordinal}_{k}" in fits for k in range(len(DATETIME_FORMATS))):
             c.suggested = "datetime"
@@ -235,20 +219,21 @@ def _datetime_name(name: str) -> bool:
     return bool(tokens & set(K.DATETIME_WORDS)) or name.lower().endswith(K.DATETIME_SUFFIXES)
 
 
-def _set_moments(c: ColumnFacts, s1: float, s2: float, s3: float, s4: float) -> None:
-    """Sample and population moments from power sums around an approximate mean."""
+def _set_moments(c: ColumnFacts, spread: float | None, skew: float | None, kurt: float | None) -> None:
+    """Sample and population moments from the population's; a constant column has exactly no spread."""
     n = c.present
-    shift = s1 / n
-    m2 = max(s2 / n - shift**2, 0.0)
-    m3 = s3 / n - 3 * shift * s2 / n + 2 * shift**3
-    m4 = s4 / n - 4 * shift * s3 / n + 6 * shift**2 * s2 / n - 3 * shift**4
-    if c.minimum == c.maximum:
-        m2 = 0.0
-    c.std_pop = math.sqrt(m2)
-    c.variance = m2 * n / (n - 1)
+    if not c.has_stats or not math.isfinite(c.mean):
+        return
+    flat = c.minimum == c.maximum
+    c.std_pop = 0.0 if flat else spread
+    c.variance = c.std_pop**2 * n / (n - 1)
     c.std = math.sqrt(c.variance)
-    c.skewness = 0.0 if n < 3 else (m3 / m2**1.5 if m2**1.5 > 0 else None)
-    c.kurtosis = 0.0 if n < 4 else (m4 / m2**2 - 3 if m2**2 > 0 else None)
+    c.skewness = 0.0 if n < 3 else _known(skew, flat)
+    c.kurtosis = 0.0 if n < 4 else _known(kurt, flat)
+
+
+def _known(moment: float | None, flat: bool) -> float | None:
+    return None if flat or moment is None or not math.isfinite(moment) else moment
 
 
 def _quartile_pass(df: DataFrame, facts: TableFacts) -> None:
@@ -264,7 +249,7 @@ def _outlier_pass(df: DataFrame, facts: TableFacts) -> None:
     """Rows outside the fences (code 1) and beyond three standard deviations (code 2)."""
     codes = []
     for c in facts.columns:
-        if not c.has_stats:
+        if not c.has_stats or c.ordinal_like is None:
             continue
         c.outliers_iqr = c.outliers_zscore = 0
         if c.ordinal_like:
@@ -278,7 +263,7 @@ def _outlier_pass(df: DataFrame, facts: TableFacts) -> None:
         codes.append(code.alias(str(c.ordinal)))
     if not codes:
         return
-    names = [str(c.ordinal) for c in facts.columns if c.has_stats and not c.ordinal_like]
+    names = [str(c.ordinal) for c in facts.columns if c.has_stats and c.ordinal_like is False]
     long = df.select(codes).unpivot([], names, "i", "code").filter("code > 0")
     for r in long.groupBy("i", "code").agg(F.count("*").alias("n")).collect():
         c = facts.columns[int(r["i"])]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import keywords as K
 from tablegauge.functions.classes import columns_of, text_form
+from tablegauge.functions.joins import joined_by_key
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.rules import RISK_LABELS, risk_label
 from tablegauge.functions.session import checkpointed, local_rows
@@ -39,7 +40,7 @@ def encode_labels(df: DataFrame, cols: list[str]) -> DataFrame:
         codes = ordered_codes(df.select(named.alias(c)), c).select(
             F.col("value").alias("__value"), F.col("code").alias("__code"))
         out = (
-            out.withColumn("__value", named).join(codes, "__value", "left")
+            joined_by_key(out.withColumn("__value", named), codes, ["__value"], "left")
             .withColumn(c, F.col("__code")).drop("__value", "__code")
         )
     return out.select(df.columns)
@@ -117,7 +118,7 @@ def prepare_features(
     names = [c for c in features if c in {*text, *numeric, *flags}]
     label = ordered_codes(rows, "__target").select(
         F.col("value").alias("__target"), F.col("code").cast("double").alias("label"))
-    rows = rows.join(label, "__target")
+    rows = joined_by_key(rows, label, ["__target"])
     cells = [F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
     return rows.select("label", *[quoted(f"__carry_{c}").alias(c) for c in carry], *cells), names
 
@@ -153,7 +154,7 @@ def scored_baseline(
     ready = _vector(fix_standardize(train, names, also=[marked])[1], names)
     # The inverse regularisation strength of one that the baseline asks for, per training row.
     strength = 1.0 / train.count()
-    model = LogisticRegression(maxIter=100, regParam=strength, standardization=False).fit(
+    model = LogisticRegression(maxIter=1000, regParam=strength, standardization=False).fit(
         ready.filter(~F.col("is_test")))
     return model.transform(ready)
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.functions import keywords as K
+from tablegauge.functions.failures import cannot_read
+from tablegauge.functions.joins import joined_by_key
 from tablegauge.functions.nulls import finite, normalize_nulls, quoted
 from tablegauge.functions.session import local_rows, staged
 from tablegauge.operators.correlation import correlations, numeric_columns, safe_corr, varies
@@ -198,7 +200,7 @@ def meta_features_by(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     for c in names:
         bound = F.col("bounds")[c]
         flag = flag | F.coalesce((x[c] < bound.getField("low")) | (x[c] > bound.getField("high")), F.lit(False))
-    flagged = df.join(bounds, keys).groupBy(*keys).agg(F.count_if(flag).alias("flagged"))
+    flagged = joined_by_key(df, bounds, keys).groupBy(*keys).agg(F.count_if(flag).alias("flagged"))
 
     def mean(col: str):
         return F.coalesce(finite(F.col(col)), F.lit(0.0))
@@ -234,6 +236,8 @@ def scan_list(spark: SparkSession, tables: dict, target: str, measure) -> tuple[
                 continue
             rows.append(measure(name, df))
         except Exception as exc:  # one bad table must not end the run
+            if not cannot_read(exc):
+                raise
             skipped.append((name, str(exc).splitlines()[0][:500]))
     if not rows:
         raise RuntimeError(f"no table was processed: {skipped}")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablegauge.functions.joins import joined_by_key
 from tablegauge.functions.nulls import quoted
 from tablegauge.functions.session import checkpointed
 
@@ -50,7 +51,7 @@ def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict
     freq = rows.select(*keys, value).dropna().groupBy(*keys, value).agg(F.count("*").alias("__freq"))
     ranked = positions(freq, keys, value, "__freq")
     totals = freq.groupBy(*keys).agg(F.sum("__freq").alias("n"))
-    placed = ranked.join(totals, keys)
+    placed = joined_by_key(ranked, totals, keys)
     aggs: list[Column] = [F.first("n").alias("n")]
     for name, p in shares.items():
         place = (F.col("n") - 1) * F.lit(p)

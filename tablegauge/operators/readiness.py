@@ -40,7 +40,7 @@ def task_type(profile: TableProfile, target: str) -> str:
     """classification unless the target is numeric with more than 20 distinct values."""
     c = profile.facts[target]
     numeric = c.dtype_class in ("numeric", "boolean")
-    return "regression" if numeric and c.distinct > K.FEW_DISTINCT else "classification"
+    return "regression" if numeric and (c.distinct or 0) > K.FEW_DISTINCT else "classification"
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -106,7 +106,7 @@ class Readiness:
         self.target = target
         self.task_type = task_type(profile, target)
         rest = [c for c in profile.facts.columns if c.name != target]
-        self.constant_features = [c.name for c in rest if c.distinct <= 1]
+        self.constant_features = [c.name for c in rest if c.distinct is not None and c.distinct <= 1]
         self.low_variance_features = [
             c.name for c in rest
             if c.has_stats and c.variance is not None and math.isfinite(c.variance) and c.variance < 0.01

@@ -46,10 +46,15 @@ def _family(dtype: T.DataType) -> str:
     return cls if cls != "datetime" else f"datetime:{dtype.typeName()}"
 
 
-def _number_key(c: Column, family: str) -> Column:
-    """Numbers of different types as one text: 1 and 1.0 agree, no digit is lost."""
-    if family != "fraction":
-        return c.cast("string")
+def _number_key(c: Column, dtype: T.DataType, other: T.DataType) -> Column:
+    """Numbers of different types as one text: 1 and 1.0 agree.
+
+    Integers and decimals keep all digits. Only where a side is float or double are both compared
+    as doubles.
+    """
+    if not any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (dtype, other)):
+        text = c.cast("string")
+        return F.when(text.contains("."), F.regexp_replace(text, "\\.?0+$", "")).otherwise(text)
     d = c.cast("double")
     whole = (d == F.floor(d)) & (F.abs(d) < 9.2e18)
     return F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
@@ -59,12 +64,13 @@ def _keys(first: DataFrame, col1: str, second: DataFrame, col2: str) -> tuple[Da
     """Distinct non-null values of both sides in one type, and whether they can be compared."""
     a = normalize_nulls(text_form(first.select(quoted(col1).alias("value"))))
     b = normalize_nulls(text_form(second.select(quoted(col2).alias("value"))))
-    fa, fb = (_family(x.schema["value"].dataType) for x in (a, b))
+    ta, tb = (x.schema["value"].dataType for x in (a, b))
+    fa, fb = _family(ta), _family(tb)
     numbers = {"numeric", "fraction"}
     comparable = fa == fb or {fa, fb} <= numbers
-    if fa != fb and comparable:
-        a = a.select(_number_key(F.col("value"), fa).alias("value"))
-        b = b.select(_number_key(F.col("value"), fb).alias("value"))
+    if comparable and fa in numbers and ta != tb and not (fa == fb == "numeric"):
+        a = a.select(_number_key(F.col("value"), ta, tb).alias("value"))
+        b = b.select(_number_key(F.col("value"), tb, ta).alias("value"))
     elif not comparable:
         a = a.select(F.col("value").cast("string").alias("value"))
     return a.dropna().distinct(), b.dropna().distinct(), comparable

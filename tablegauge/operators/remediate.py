@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.functions.joins import joined_by_key
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.probes import parse_datetime_any, parse_number
 from tablegauge.operators.correlation import correlations, numeric_columns, varies
@@ -121,9 +122,8 @@ def fix_class_weights(df: DataFrame, target: str, weight: str = "class_weight")
     total = counts.agg(F.sum("count").alias("n"), F.count("*").alias("k"))
     weights = counts.crossJoin(F.broadcast(total)).select(
         F.col("class").alias("__class"), (F.col("n") / (F.col("k") * F.col("count"))).alias(weight))
-    # As many rows as classes: left to the optimizer, since a target may have very many.
     keyed = normalize_nulls(df).withColumn("__class", quoted(target).cast("string"))
-    return keyed.join(weights, "__class", "left").drop("__class")
+    return joined_by_key(keyed, weights, ["__class"], "left").drop("__class")
 
 
 def fix_drop_leakage(df: DataFrame, cols: list[str]) -> DataFrame:
