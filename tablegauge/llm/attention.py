@@ -88,18 +88,17 @@ def attended(p: dict, rows: np.ndarray) -> tuple:
 
 
 def class_logits(p: dict, h: np.ndarray) -> np.ndarray:
-    """Unnormalised log probabilities of the classes, the largest being zero."""
-    logits = h @ p["out"]
-    logits += p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits
+    """Unnormalised log probabilities of the classes, bounded so that their sum does not overflow."""
+    ones = np.ones((len(h), 1), dtype=h.dtype)
+    logits = np.hstack([h, ones]) @ np.vstack([p["out"], p["bias"]])
+    return np.minimum(logits, 80, out=logits)
 
 
 def class_log_probabilities(p: dict, rows: np.ndarray, kinds: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Natural log probability of the class ``kinds`` at the wanted places of the windows, one after the other."""
     logits = class_logits(p, attended(p, rows)[-1][wanted])
     chosen = logits[np.arange(len(logits)), kinds[wanted]]
-    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
+    return chosen - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, dtype=logits.dtype))
 
 
 def gradient(p: dict, rows: np.ndarray, kinds: np.ndarray) -> np.ndarray:

@@ -22,6 +22,8 @@ from tablegauge.llm.common import arrow_table, staged, text_groups
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Bytes whose words are hashed at a time.
+HASH_BYTES = 1 << 19
 #: Entries that one bucket of hashes holds, about.
 BUCKET_ENTRIES = 2_000_000
 #: Bytes of a text per word, about; only the number of buckets depends on it.
@@ -105,7 +107,7 @@ class Words:
         out, i, n = np.empty(len(self.starts), dtype=np.uint64), 0, len(self.starts)
         while i < n:
             base = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, base + CHUNK_BYTES, side="right")))
+            j = max(i + 1, int(np.searchsorted(self.ends, base + HASH_BYTES, side="right")))
             a, b = self.starts[i:j] - base, self.ends[i:j] - base
             part = LETTER[octets[base:self.ends[j - 1]]]
             sums = np.zeros(len(part) + 1, dtype=np.uint64)

@@ -32,16 +32,18 @@ from tablegauge.llm.simhash import LOWER
 #: Subwords that a window shares with the one before.
 OVERLAP = 8
 #: One training window per so many words of a document, at least one per document.
-WORDS_PER_WINDOW = 64
+WORDS_PER_WINDOW = 128
 #: Rounds of training and averaging; each uses windows of its own.
 ROUNDS = 3
 RATE, BATCH = 0.01, 16
-#: Windows scored at a time, and words whose subwords a worker remembers.
-SCORED, REMEMBERED = 512, 400_000
+#: Windows scored at a time.
+SCORED = 128
+#: Bytes of text that a task looks at together.
+TEXT_BYTES = 2 << 20
 #: Arrays that are added up in one task.
 FAN = 64
 #: Weight of the attention model in the probability of a word.
-ATTENTION = 0.2
+ATTENTION = 0.1
 
 GATHERED = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64()), ("texts", pa.int64())])
 TOLD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("known", pa.int64())])
@@ -54,24 +56,30 @@ def is_held_out(doc_id: int | None, folds: int, fold: int) -> bool:
 
 
 class Subwords:
-    """Subword ids of words, each with the space before it; frequent words are remembered."""
+    """Subword ids of words, each with the space before it."""
 
     def __init__(self, path: str):
-        self.encode, self.known = ids_of(path), {}
+        self.ids = ids_of(path)
+        known = [len(self.ids.fast.decode_single_token_bytes(i)) for i in range(self.ids.fast.max_token_value + 1)]
+        self.octets = np.array(known, dtype=np.int64)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many each word has."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, found = self.known, []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self.encode(" " + word.decode("utf-8", "surrogatepass"))
-                known[word] = ids
-            found.append(ids)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(sizes.sum())), sizes
+        """All ids one after the other, and how many each word has.
+
+        The words are encoded in one line. Its ids fall into words, as the tokenizer cuts before each space;
+        should an odd white space within a word have it cut elsewhere, the words are encoded one by one.
+        """
+        if not words:
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        found = np.array(self.ids.fast.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "surrogatepass")), dtype=np.int32)
+        begins = np.cumsum(self.octets[found]) - self.octets[found]
+        wanted = np.cumsum(sizes) - sizes
+        at = np.searchsorted(begins, wanted)
+        if (begins[np.minimum(at, len(begins) - 1)] == wanted).all():
+            return found, np.diff(np.append(at, len(found)))
+        each = [self.ids.fast.encode_ordinary(" " + w.decode("utf-8", "surrogatepass")) for w in words]
+        return np.array([i for e in each for i in e], dtype=np.int32), np.array([len(e) for e in each], dtype=np.int64)
 
 
 _subwords: dict[str, Subwords] = {}
@@ -198,7 +206,7 @@ def training_windows(text: Text, learned: np.ndarray, end: int, every: int) -> l
     out: list[int] = []
     for i in np.flatnonzero(learned).tolist():
         a, b = int(text.text_at[i]), int(text.text_at[i + 1])
-        n = 1 + int(text.sizes[i]) // every
+        n = max(1, int(text.sizes[i]) // every)
         mark = int(text.words.hashes[text.words.first[i]]) if text.sizes[i] else 0
         for j in range(n):
             part = (b - a) // n
@@ -270,7 +278,7 @@ def score_texts(docs: DataFrame, tokenizer: str, folds: int = 7, fold: int = 2,
     each. Where nothing may be learned, all counts are zero and the attention model is untrained.
     """
     size, end, begins = vocabulary_marks(tokenizer)
-    chunks = chunked(docs, "chunks")
+    chunks = chunked(docs, "chunks", TEXT_BYTES)
     top = min(20, bucket_bits(chunks))
     gathered = gather(chunks, tokenizer, folds, fold, top)
     told = word_counts(gathered)

@@ -12,7 +12,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,6 @@ class Ids:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
@@ -55,7 +54,13 @@ class Ids:
         # The split that the file names: contractions, letters, digits, other signs, white space.
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
+
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> list[int]:
         if not any(s in text for s in self.special):

@@ -33,7 +33,7 @@ def rounded(rows):
 def test_counts_and_base_scores(spark, monkeypatch, split):
     if split:
         monkeypatch.setattr(L, "bucket_bits", lambda chunks: 4)
-        monkeypatch.setattr(L, "chunked", lambda docs, name, real=L.chunked: real(docs, name, 3_000))
+        monkeypatch.setattr(L, "TEXT_BYTES", 3_000)
         monkeypatch.setattr(L, "FAN", 2)
     docs = texts()
     rows = L.score_texts(documents(spark, docs), tokenizer_file()).collect()
