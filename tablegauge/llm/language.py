@@ -29,7 +29,7 @@ LEARNED = 400
 CENTROIDS = 4
 #: A text is rejected if its cosine is below this share of the least cosine that a learned text has.
 MARGIN = 0.25
-#: Labels beyond this number are no languages.
+#: Only the most frequent labels, so many, are languages.
 LABELS = 2_000
 UNKNOWN = "und"
 #: Letters of a long text that are counted at a time.
@@ -116,14 +116,18 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def fit(docs: DataFrame, learned: int = LEARNED, centroids: int = CENTROIDS) -> Model:
     """The model learned from rows of ``docs`` with a text, a ``lang`` and an id outside the held-out fold.
 
-    At most ``learned`` documents per language are used, chosen by a hash of the id, so the choice does not
-    depend on their order or partition. Without such rows the model knows no language.
+    At most ``learned`` documents per language are used, those with the least hash of the id, so the choice does
+    not depend on their order or partition; of rows that repeat an id the least text counts. Without such rows the
+    model knows no language.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
+    # Three times as many as are wanted lie below this hash, so that the ranking gets a few rows however many there are.
+    low = (F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 3 * learned
+    near = rows.select("lang", "doc_id").join(F.broadcast(labels), "lang").where(low).select("lang", "doc_id").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("at", F.row_number().over(order)).where(F.col("at") <= learned)
-    ids = chosen.select("doc_id").distinct().limit(LABELS * learned)
+    chosen = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= learned).select("lang", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in text_groups(batches, "text", GROUP_BYTES):
@@ -131,7 +135,9 @@ def fit(docs: DataFrame, learned: int = LEARNED, centroids: int = CENTROIDS) ->
             yield arrow_table({"doc_id": group.column(0), "lang": group.column(1),
                                "counts": [None if c is None else c.astype("<u4").tobytes() for c in found]}, LEARNING)
 
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(run, from_arrow_schema(LEARNING)).where("counts is not null").collect()
+    # At most LABELS * learned rows by now.
+    texts = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = texts.mapInArrow(run, from_arrow_schema(LEARNING)).where("counts is not null").collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], r["counts"]))
     if not got:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32))

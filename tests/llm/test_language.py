@@ -60,3 +60,11 @@ def test_long_texts_are_counted_in_blocks(monkeypatch):
     whole = counts(text)
     monkeypatch.setattr(language, "BLOCK", 7)
     assert (counts(text) == whole).all() and len(whole) == DIMENSIONS
+
+
+def test_one_id_with_most_rows(spark, sf_dir):
+    """A document that is repeated very often counts once."""
+    docs = table(spark, sf_dir, "documents")
+    often = docs.where("doc_id = 5").crossJoin(spark.range(500)).drop("id")
+    a, b = fit(docs), fit(docs.unionByName(often))
+    assert a.langs == b.langs and np.allclose(a.centroids, b.centroids)
