@@ -2,8 +2,8 @@
 
 Two models are learned from the documents outside the held-out fold: the counts of words over the whole
 corpus, and a causal self-attention model on subword ids whose classes and shares come from the counts of
-all subwords and whose weights are trained in numpy. Training runs where the data is: each partition trains on windows drawn
-from all its documents, the weights are averaged, and the next round begins from the average.
+all subwords and whose weights are trained in numpy. Training runs where the data is: each partition trains on windows that
+cover all its documents, the weights are averaged, and the next round begins from the average.
 
 A text is scored in overlapping windows: a window begins ``WINDOW - OVERLAP`` subwords after the one before and
 scores what that one did not, so every subword counts once, with up to a whole window of context. The
@@ -31,9 +31,7 @@ from tablegauge.llm.simhash import LOWER
 
 #: Subwords that a window shares with the one before.
 OVERLAP = 8
-#: One training window per so many words of a document, at least one per document.
-WORDS_PER_WINDOW = 128
-#: Rounds of training and averaging; each uses windows of its own.
+#: Rounds of training and averaging; each uses all windows.
 ROUNDS = 3
 RATE, BATCH = 0.01, 16
 #: Windows scored at a time.
@@ -43,7 +41,7 @@ TEXT_BYTES = 2 << 20
 #: Arrays that are added up in one task.
 FAN = 64
 #: Weight of the attention model in the probability of a word.
-ATTENTION = 0.1
+ATTENTION = 0.2
 
 GATHERED = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64()), ("texts", pa.int64())])
 TOLD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("known", pa.int64())])
@@ -173,7 +171,7 @@ def summed(arrays: DataFrame, kind: str) -> tuple[float, np.ndarray | None]:
     return sum(r["weight"] for r in rows), sum(np.frombuffer(bytes(r["values"]), dtype=kind) for r in rows)
 
 
-def gather(chunks: DataFrame, path: str, folds: int, fold: int, top: int, every: int = WORDS_PER_WINDOW) -> DataFrame:
+def gather(chunks: DataFrame, path: str, folds: int, fold: int, top: int) -> DataFrame:
     """What the corpus says, by chunk: counts of its words by hash, of subwords, and training windows."""
     size, end, _ = vocabulary_marks(path)
 
@@ -192,8 +190,8 @@ def gather(chunks: DataFrame, path: str, folds: int, fold: int, top: int, every:
                 unit_counts = np.concatenate([counts, [learned.sum()]])
                 ids_seen += np.bincount(text.unit_ids, weights=np.repeat(unit_counts, text.unit_sizes), minlength=size).astype(np.int64)
                 n_words, n_texts = n_words + int(text.sizes[learned].sum()), n_texts + int(learned.sum())
-                if windows := training_windows(text, learned, end, every):
-                    rows.append(empty | {"kind": "windows", "chunk": chunk, "n": len(windows) // (A.WINDOW + 1), "keys": coded(np.array(windows, dtype="<i4"))})
+                if len(windows := training_windows(text, learned, end)):
+                    rows.append(empty | {"kind": "windows", "chunk": chunk, "n": len(windows), "keys": coded(windows.reshape(-1))})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=GATHERED)
         yield pa.RecordBatch.from_pylist([empty | {"kind": "subwords", "chunk": TaskContext.get().partitionId(), "n": size, "counts": ids_seen.tobytes(), "words": n_words, "texts": n_texts}], schema=GATHERED)
@@ -201,20 +199,20 @@ def gather(chunks: DataFrame, path: str, folds: int, fold: int, top: int, every:
     return staged(chunks.select("chunk", "payload").mapInArrow(run, from_arrow_schema(GATHERED)), "gathered")
 
 
-def training_windows(text: Text, learned: np.ndarray, end: int, every: int) -> list[int]:
-    """Windows of the learned texts, their number by the length of the text, their places by a hash of its words."""
-    out: list[int] = []
-    for i in np.flatnonzero(learned).tolist():
-        a, b = int(text.text_at[i]), int(text.text_at[i + 1])
-        n = max(1, int(text.sizes[i]) // every)
-        mark = int(text.words.hashes[text.words.first[i]]) if text.sizes[i] else 0
-        for j in range(n):
-            part = (b - a) // n
-            start = a + j * part + (mark >> j % 32) % max(1, part - A.WINDOW // 2)
-            taken = text.flat[start:min(b, start + A.WINDOW)].tolist()
-            out.append(int(text.flat[start - 1]) if start > a else end)
-            out += taken + [-1] * (A.WINDOW - len(taken))
-    return out
+def training_windows(text: Text, learned: np.ndarray, end: int) -> np.ndarray:
+    """Consecutive windows of the learned texts, each after the id before it; every subword is a target once.
+
+    A place behind the end of the text is -1.
+    """
+    sizes = np.diff(text.text_at)[learned]
+    number = -(-sizes // A.WINDOW)
+    nth = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+    begin = np.repeat(text.text_at[:-1][learned], number) + nth * A.WINDOW
+    until = np.repeat(text.text_at[1:][learned], number)
+    places = begin[:, None] + np.arange(-1, A.WINDOW)
+    out = np.where(places < until[:, None], text.flat[np.clip(places, 0, max(0, len(text.flat) - 1))], -1) if len(begin) else places
+    out[nth == 0, 0] = end
+    return out.astype("<i4")
 
 
 def word_counts(gathered: DataFrame) -> DataFrame:
@@ -242,14 +240,12 @@ def train(gathered: DataFrame, vocabulary: A.Vocabulary, flat: np.ndarray, round
     """The weights after some rounds of training on each partition's windows and averaging."""
     windows = gathered.where("kind = 'windows'").select("n", "keys")
 
-    def fitted(now: np.ndarray, turn: int) -> Callable:
+    def fitted(now: np.ndarray) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, node, n, weight = now, TaskContext.get().partitionId(), 0, 0
             for batch in batches:
                 for size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = decoded(blob, size * (A.WINDOW + 1), "<i4").reshape(size, A.WINDOW + 1)[turn::rounds]
-                    if not len(ids):
-                        continue
+                    ids = decoded(blob, size * (A.WINDOW + 1), "<i4").reshape(size, A.WINDOW + 1)
                     kinds = np.where(ids[:, 1:] >= 0, vocabulary.kind[np.maximum(ids[:, 1:], 0)], -1)
                     own = A.trained(own, vocabulary.row[np.maximum(ids[:, :-1], 0)], kinds, RATE, BATCH, n)
                     n, weight = n + 1, weight + len(ids)
@@ -258,8 +254,8 @@ def train(gathered: DataFrame, vocabulary: A.Vocabulary, flat: np.ndarray, round
 
         return run
 
-    for turn in range(rounds):
-        weight, total = summed(windows.mapInArrow(fitted(flat, turn), from_arrow_schema(SUM)), "<f8")
+    for _ in range(rounds):
+        weight, total = summed(windows.mapInArrow(fitted(flat), from_arrow_schema(SUM)), "<f8")
         if total is not None:
             flat = (total / weight).astype(np.float32)
     return flat

@@ -9,9 +9,10 @@ import pytest
 
 from tablegauge.llm import attention as A
 from tablegauge.llm import lm_scoring as L
+from tablegauge.llm.chunks import chunked, coded, decoded
 from tablegauge.llm.common import table
 from tablegauge.llm.packing_query import tokenizer_file
-from tests.llm.helpers import LOWER, WORD, documents, texts
+from tests.llm.helpers import LOWER, WORD, documents, prose, texts
 
 
 def held(i):
@@ -122,3 +123,30 @@ def test_every_subword_is_scored_once(monkeypatch):
             wanted[0, t - begin] = True
             found = A.class_log_probabilities(p, x, kinds, wanted)[0] + vocabulary.log_share[ids[a + t]]
             assert abs(found - got[a + t]) < 1e-4
+
+
+def test_every_subword_of_a_learned_text_is_a_target_once(spark):
+    docs = [(i, prose(i, n)) for i, n in enumerate([0, 1, 31, 32, 33, 700, 5000])] + [(None, None)]
+    gathered = L.gather(chunked(documents(spark, docs), "chunks", 3_000), tokenizer_file(), 7, 2, 0)
+    got, (_, end, _) = Counter(), L.vocabulary_marks(tokenizer_file())
+    encode = L.subwords_of(tokenizer_file())
+    for r in gathered.where("kind = 'windows'").collect():
+        ids = decoded(bytes(r["keys"]), r["n"] * (A.WINDOW + 1), "<i4").reshape(-1, A.WINDOW + 1)
+        got.update((int(a), int(b)) for a, b in zip(ids[:, :-1].flat, ids[:, 1:].flat) if b >= 0)
+    wanted = Counter()
+    for i, t in docs:
+        if not held(i):
+            words = [w.encode() for w in WORD.findall((t or "").translate(LOWER))]
+            ids = [end, *encode(words)[0].tolist(), end]
+            wanted.update(zip(ids, ids[1:]))
+    assert got == wanted
+
+
+def test_each_round_trains_on_all_windows(spark):
+    own, vocabulary, flat = small()
+    ids = own.integers(0, 299, (40, A.WINDOW + 1)).astype("<i4")
+    rows = spark.createDataFrame([("windows", 40, bytearray(coded(ids.reshape(-1))))], "kind string, n int, keys binary").coalesce(1)
+    expected = flat
+    for _ in range(2):
+        expected = A.trained(expected, vocabulary.row[ids[:, :-1]], vocabulary.kind[ids[:, 1:]], L.RATE, L.BATCH, 0)
+    assert np.allclose(L.train(rows, vocabulary, flat, 2), expected, atol=1e-5)
