@@ -3,7 +3,8 @@
 A text is the vector of its letter n-grams, hashed, weighted by TF-IDF and normalised. The vectors of a bounded
 number of labelled documents per language are clustered; the centroids of the clusters are the model. A
 text belongs to the language of the centroid with the largest cosine. If even that one is farther than
-nearly all learned texts of its cluster, with a margin, the text is rejected as no known language.
+nearly all learned texts of its cluster, with a margin, the text is rejected as no known language. A text of few
+different n-grams is far from any centroid, so cosines are compared per root of their number, up to ``FULL``.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ DIMENSIONS = 1 << 12
 LEARNED = 400
 #: Centroids per language.
 CENTROIDS = 4
-#: A text is rejected if its cosine is below this share of the least cosine that a learned text has.
-MARGIN = 0.25
+#: A text is rejected if its cosine is below the margin's share of this quantile of the cosines of the learned texts
+#: nearest to the same centroid; where those are fewer than ``ENOUGH``, of all learned texts of the language.
+QUANTILE, MARGIN, ENOUGH = 0.01, 0.8, 100
+#: From so many different n-grams on, the cosine does not depend on their number.
+FULL = 400
 #: Only the most frequent labels, so many, are languages.
 LABELS = 2_000
 UNKNOWN = "und"
@@ -71,9 +75,14 @@ def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def attainable(rows: np.ndarray) -> np.ndarray:
+    """The share of a long text's cosine that texts with these n-grams can have."""
+    return np.sqrt(np.minimum(1.0, (rows > 0).sum(axis=1) / FULL))
+
+
 @dataclass
 class Model:
-    """Centroids, the language of each, and the cosine below which a text is rejected."""
+    """Centroids, the language of each, and the cosine below which a long text is rejected."""
 
     langs: list[str]
     centroids: np.ndarray
@@ -86,10 +95,11 @@ class Model:
         rows = [(i, c) for i, t in enumerate(texts) if t for c in [counts(t)] if c is not None]
         for at in range(0, len(rows) if self.langs else 0, 256):
             part = rows[at:at + 256]
-            cosines = weighted(np.stack([c for _, c in part]), self.idf) @ self.centroids.T
-            for (i, _), row in zip(part, cosines):
+            found = np.stack([c for _, c in part])
+            cosines = weighted(found, self.idf) @ self.centroids.T
+            for (i, _), row, share in zip(part, cosines, attainable(found)):
                 best = int(np.argmax(row))
-                out[i] = (self.langs[best], float(min(1.0, max(0.0, row[best]))), bool(row[best] < self.floors[best]))
+                out[i] = (self.langs[best], float(min(1.0, max(0.0, row[best]))), bool(row[best] < self.floors[best] * share))
         return out
 
 
@@ -144,14 +154,18 @@ def fit(docs: DataFrame, learned: int = LEARNED, centroids: int = CENTROIDS) ->
     matrix = np.stack([np.frombuffer(r["counts"], dtype="<u4") for r in got])
     idf = (np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))) + 1).astype(np.float32)
     vectors, labels = weighted(matrix, idf), np.array([r["lang"] for r in got])
+    shares = attainable(matrix)
     langs, centres, floors = [], [], []
     for lang in sorted(set(labels.tolist())):
         own = vectors[labels == lang]
-        for centre in clustered(own, centroids):
-            langs.append(lang)
-            centres.append(centre)
-        near = np.max(own @ np.stack(centres[-len(centres) + len(floors):]).T, axis=1)
-        floors += [MARGIN * float(near.min())] * (len(centres) - len(floors))
+        found = clustered(own, centroids)
+        langs += [lang] * len(found)
+        centres += list(found)
+        cosines = own @ found.T
+        nearest, near = np.argmax(cosines, axis=1), np.max(cosines, axis=1) / shares[labels == lang]
+        for j in range(len(found)):
+            cluster = near[nearest == j]
+            floors.append(MARGIN * float(np.quantile(cluster if len(cluster) >= ENOUGH else near, QUANTILE)))
     return Model(langs, np.stack(centres), np.array(floors), idf)
 
 

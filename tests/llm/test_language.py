@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, what is learned from, and odd texts."""
 
+import random
+import string
 import zlib
 
 import numpy as np
@@ -68,3 +70,17 @@ def test_one_id_with_most_rows(spark, sf_dir):
     often = docs.where("doc_id = 5").crossJoin(spark.range(500)).drop("id")
     a, b = fit(docs), fit(docs.unionByName(often))
     assert a.langs == b.langs and np.allclose(a.centroids, b.centroids)
+
+
+def test_unlearned_languages_and_random_letters_are_rejected(spark, sf_dir):
+    """In Latin letters, long and short; all labelled documents are kept."""
+    own = random.Random(1)
+    aliens = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. ",
+              "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. ",
+              "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. ",
+              *[" ".join("".join(own.choices(string.ascii_lowercase, k=own.randint(2, 9))) for _ in range(n)) + " " for n in (20, 100, 400)]]
+    for docs in (table(spark, d, "documents") for d in (sf_dir, sf_dir.replace("0.001", "0.01"))):
+        model = fit(docs)
+        assert [a[:20] for a in aliens for times in (1, 5) if not model.predict([a * times])[0][2]] == []
+        out = [p for p in identify(docs, model).collect() if p.rejected]
+        assert not out
