@@ -26,7 +26,7 @@ from tablegauge.llm.common import staged
 SAMPLE, PIVOTS = 2_048, 128
 #: Files that a vector is posted in, and that a query opens.
 POSTED, OPENED = 4, 48
-#: Of what a query meets in a part of a file, this share is ranked exactly, and at least so many.
+#: Of what a query meets in a part of a file, this share is ranked exactly, and at least so many, and what ties with them.
 RERANKED, RERANKED_LEAST = 0.15, 40
 #: Vectors and queries in a part of a file.
 PART_VECTORS, PART_QUERIES = 4_096, 1_024
@@ -112,7 +112,10 @@ def ranked_part(pivots: np.ndarray, files: int, opened: int, share: float, least
                 continue
             there = place[some]
             footrule = (np.maximum(there, asked[i]) - np.minimum(there, asked[i])).sum(axis=1, dtype=np.int32)
-            some = some[np.argsort(footrule, kind="stable")[:max(least, k, int(np.ceil(share * len(some))))]]
+            kept = max(least, k, int(np.ceil(share * len(some))))
+            if kept < len(some):
+                # All that tie with the last one kept, so that pivots which tell vectors apart badly lose nothing.
+                some = some[footrule <= np.partition(footrule, kept - 1)[kept - 1]]
             scores = (x[some] * q[i]).sum(axis=1)
             best = np.lexsort((ids[some], -scores))[:k]
             out.append((np.full(len(best), own[i]), ids[some][best], scores[best]))

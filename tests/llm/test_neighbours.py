@@ -72,3 +72,13 @@ def test_few_and_odd_vectors(spark):
     assert N.nearest(frame(spark, []), F.col("vec_id") % 20 == 0).collect() == []
     assert N.nearest(frame(spark, [(0, [1.0, 2.0])]), F.col("vec_id") % 20 == 0).collect() == []
     assert by_query(N.nearest(frame(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.0])]), F.col("vec_id") % 20 == 0)) == {0: [(1, 5.0)]}
+
+
+def test_one_very_long_vector_leaves_the_others_their_neighbours(spark):
+    own = np.random.default_rng(9)
+    x = own.normal(size=(1_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1_001, (x[0] * 1e6).tolist())]
+    truth, got = exact(rows, 10), by_query(N.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, k=10))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in truth[q]}) for q in truth)
+    assert hits >= 0.95 * 10 * len(truth)
