@@ -27,7 +27,7 @@ from tablegauge.llm.chunks import bits, coded, cut_at, decoded, mixed, steps, un
 from tablegauge.llm.common import arrow_table, staged, text_groups
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 #: Words of the corpus per bucket of hashes; a bucket holds at most two entries per word.
 BUCKET_WORDS = 1_000_000
 #: Candidates among which one task looks for the first ones of a language.
