@@ -7,7 +7,7 @@ its phrases level by level with their counts, and only where both shorter phrase
 
 Whether a phrase may be frequent is decided over all shards: they send hashes and counts by bucket of the hash,
 and get back a bit for each. A sum over a hash is never below the true count, so nothing is lost; what is left
-travels as text, and its counts are exact.
+travels as text, a block for each shard and bucket, and its counts are exact.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ SHARD = pa.schema([
     ("lang_of", pa.binary()), ("langs", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
 ENTRY = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("shard", pa.int64()), ("step", pa.int32()), ("bucket", pa.int64()), ("flags", pa.binary())])
+BLOCK = pa.schema([("bucket", pa.int64()), ("block", pa.binary())])
 COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("length", pa.int32()), ("a", pa.int64())])
 
 
@@ -234,6 +235,14 @@ def summed(step: int, least: int) -> Callable:
     return run
 
 
+def packed(rows: pa.RecordBatch) -> bytes:
+    """The rows as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def indexed(docs: DataFrame, depth: int) -> DataFrame:
     """The shards of all rows of ``docs`` (lang, text), written to the shared folder."""
 
@@ -279,13 +288,22 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[
 
     def listed(key: tuple, shard: pa.Table, told: pa.Table) -> pa.Table:
         own, found = opened(shard, told, len(steps_of))
-        parts = []
+        out = []
         for p in found:
-            rows = [[own.words[w - 1] for w in row] for row in p.words.tolist()]
-            parts.append(arrow_table({
-                "lang": [own.langs[k] for k in own.lang_of[p.words[:, 0] - 1].tolist()], "phrase": [b" ".join(r).decode("utf-8", "surrogatepass") for r in rows],
-                "length": [p.words.shape[1]] * len(rows), "a": p.count}, COUNT))
-        return pa.Table.from_batches(parts, schema=COUNT)
+            at = bucket_of(p.hashes, buckets)
+            order = np.argsort(at, kind="stable")
+            for bucket, a, b in cut_at(at[order]):
+                some = p[order[a:b]]
+                rows = [[own.words[w - 1] for w in row] for row in some.words.tolist()]
+                out.append({"bucket": bucket, "block": packed(arrow_table({
+                    "lang": [own.langs[k] for k in own.lang_of[some.words[:, 0] - 1].tolist()], "phrase": [b" ".join(r).decode("utf-8", "surrogatepass") for r in rows],
+                    "length": [some.words.shape[1]] * len(rows), "a": some.count}, COUNT))})
+        return pa.Table.from_pylist(out, schema=BLOCK)
+
+    def total_counts(key: tuple, group: pa.Table) -> pa.Table:
+        every = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in group.column("block").to_pylist()])
+        every = every.group_by(["lang", "phrase", "length"]).aggregate([("a", "sum")]).rename_columns({"a_sum": "a"})
+        return every.filter(pa.compute.greater_equal(every.column("a"), least)).select(COUNT.names).cast(COUNT)
 
     by_shard = shards.groupBy("shard")
     answers = staged(shards.mapInArrow(probe, from_arrow_schema(ENTRY)).groupBy("bucket").applyInArrow(summed(0, least), from_arrow_schema(ANSWER)), "answers")
@@ -293,9 +311,8 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[
         tried = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(deeper, from_arrow_schema(ENTRY))
         second = staged(tried.groupBy("bucket").applyInArrow(summed(1, least), from_arrow_schema(ANSWER)), "answers")
         answers = answers.unionByName(second)
-    found = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(listed, from_arrow_schema(COUNT))
-    counts = found.groupBy("lang", "phrase", "length").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    return staged(counts, "phrases"), totals
+    found = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(listed, from_arrow_schema(BLOCK))
+    return staged(found.groupBy("bucket").applyInArrow(total_counts, from_arrow_schema(COUNT)), "phrases"), totals
 
 
 def scored(counts: DataFrame, totals: DataFrame, ratio: int) -> DataFrame:
