@@ -1,10 +1,10 @@
 """Hard negatives: texts of another label that score nearly as high as a positive, found through one-bit codes.
 
 A vector of integers is rotated, and the signs are its code; stored with it is how well the code vector (the signs, brought to length
-one) is aligned with the vector. An anchor is rounded to some bits a coordinate, so that a few population counts give its
-product with a code vector. What the code leaves of a vector stands at right angles to it, so the Cauchy-Schwarz
-inequality bounds what it can add: every score lies in a known interval, without any chance. Only rows whose
-interval reaches what is asked for are scored, in integers.
+one) is aligned with the vector. What the code leaves is rotated and coded in the same way, a few times. An anchor is rounded to some
+bits a coordinate, so that a few population counts give its product with a code vector. What the last code leaves of a vector
+has a known length and stands at right angles to it, so the Cauchy-Schwarz inequality bounds what it can add: every score
+lies in a known interval, without any chance. Only rows whose interval reaches what is asked for are scored, in integers.
 
 Anchors meet all rows in blocks: a task holds some anchors and lets its share of the rows pass by.
 """
@@ -27,22 +27,22 @@ from tablegauge.llm.common import staged
 ANCHORS, SHARES = 8_192, 32
 #: Anchors and rows compared at a time.
 TILE_ANCHORS, TILE_ROWS = 128, 4_096
-#: Bits a coordinate of an anchor is rounded to.
-PLANES = 6
+#: Codes of a vector, each of what the ones before leave; bits a coordinate of an anchor is rounded to.
+CODES, PLANES = 4, 7
 #: Partitions that the blocks are dealt out to, at most.
 PARTITIONS = 100_000
 #: Part of an interval added for rounding of floating-point numbers.
 SLACK = 1e-9
 LEAST, MOST = -(2**63), 2**63 - 1
 
-CODED = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("size", pa.int32()), ("norm", pa.float64()), ("aligned", pa.float64()), ("code", pa.binary()), ("vector", pa.binary())])
+CODED = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("size", pa.int32()), ("norm", pa.float64()), ("aligned", pa.binary()), ("code", pa.binary()), ("vector", pa.binary())])
 FOUND = pa.schema([("anchor_id", pa.int64()), ("positive_id", pa.int64()), ("positive_score", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-@lru_cache(maxsize=4)
-def rotation(size: int) -> np.ndarray:
+@lru_cache(maxsize=16)
+def rotation(size: int, nth: int) -> np.ndarray:
     """A rotation of this many dimensions, drawn once and for all."""
-    return np.linalg.qr(np.random.default_rng(20_240_229).standard_normal((size, size)))[0]
+    return np.linalg.qr(np.random.default_rng([size, nth]).standard_normal((size, size)))[0]
 
 
 def whole(x: float, scale: int) -> int:
@@ -50,13 +50,24 @@ def whole(x: float, scale: int) -> int:
     return math.floor(scale * x) if abs(x) < 2.0**60 else int(x) * scale
 
 
-def rotated(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the rows, and the rotated rows of length one; a length is infinite where it can't be told."""
+def directed(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the rows, and the rows brought to length one; a length is infinite where it can't be told."""
     with np.errstate(all="ignore"):
         norm = np.linalg.norm(z, axis=1)
         good = np.isfinite(norm) & (norm > 0)
         unit = np.where(good[:, None], z / np.where(good, norm, 1)[:, None], 0)
-    return np.where(np.isfinite(norm), norm, np.inf), unit @ rotation(z.shape[1])
+    return np.where(np.isfinite(norm), norm, np.inf), unit
+
+
+def codes_of(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of each row, one after the other, and their alignments followed by the length of what is left."""
+    left, size, codes, aligned = unit, unit.shape[1], [], []
+    for nth in range(CODES):
+        y = left @ rotation(size, nth)
+        codes.append(packed(y >= 0))
+        aligned.append(np.abs(y).sum(axis=1) / math.sqrt(size))
+        left = (y - np.where(y >= 0, 1, -1) * (aligned[-1] / math.sqrt(size))[:, None]) @ rotation(size, nth).T
+    return np.column_stack(codes), np.column_stack([*aligned, np.linalg.norm(left, axis=1)])
 
 
 def coded(rows: DataFrame, scale: int) -> DataFrame:
@@ -71,12 +82,11 @@ def coded(rows: DataFrame, scale: int) -> DataFrame:
                 at = np.flatnonzero(sizes == size)
                 x = flat[(ends[at] - size)[:, None] + np.arange(size)]
                 with np.errstate(over="ignore"):
-                    norm, unit = rotated(np.floor(scale * x))
-                signs = unit >= 0
-                aligned = np.abs(unit).sum(axis=1) / math.sqrt(max(1, size))
+                    norm, unit = directed(np.floor(scale * x))
+                codes, aligned = codes_of(unit)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[at], type=pa.int64()), pa.array(labels[at], type=pa.int64()), pa.array([size] * len(at), type=pa.int32()), pa.array(norm), pa.array(aligned),
-                    pa.array([c.tobytes() for c in packed(signs)], type=pa.binary()), pa.array([v.tobytes() for v in x], type=pa.binary())], schema=CODED)
+                    pa.array(ids[at], type=pa.int64()), pa.array(labels[at], type=pa.int64()), pa.array([size] * len(at), type=pa.int32()), pa.array(norm),
+                    *[pa.array([v.tobytes() for v in part], type=pa.binary()) for part in (aligned, codes, x)]], schema=CODED)
 
     return rows.select("vec_id", "label", "vector").mapInArrow(run, from_arrow_schema(CODED))
 
@@ -95,9 +105,8 @@ class Vectors:
     def __init__(self, batch: pa.RecordBatch, scale: int):
         column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         self.ids, self.labels = (column[c].to_numpy(zero_copy_only=False) for c in ("vec_id", "label"))
-        self.norm, self.aligned = (column[c].to_numpy(zero_copy_only=False) for c in ("norm", "aligned"))
-        self.code = np.stack([np.frombuffer(b, dtype=np.uint64) for b in column["code"].to_pylist()])
-        self.x, self.scale = np.stack([np.frombuffer(b, dtype=np.float64) for b in column["vector"].to_pylist()]), scale
+        self.norm, self.scale = column["norm"].to_numpy(zero_copy_only=False), scale
+        self.code, self.aligned, self.x = (np.stack([np.frombuffer(b, dtype=kind) for b in column[c].to_pylist()]) for c, kind in (("code", np.uint64), ("aligned", np.float64), ("vector", np.float64)))
         with np.errstate(over="ignore"):
             self.z = np.floor(scale * self.x)
         self.largest = np.abs(self.z).max(axis=1, initial=0)
@@ -106,36 +115,49 @@ class Vectors:
         return [whole(v, self.scale) for v in self.x[i].tolist()]
 
 
+class Rounded:
+    """Directions in one rotation, rounded to ``PLANES`` bits a coordinate: products with codes are sums of population counts."""
+
+    def __init__(self, unit: np.ndarray, nth: int):
+        turned = unit @ rotation(unit.shape[1], nth)
+        self.low = turned.min(axis=1, initial=0)
+        self.step = np.maximum((turned.max(axis=1, initial=0) - self.low) / (2**PLANES - 1), 1e-300)
+        levels = np.clip(np.rint((turned - self.low[:, None]) / self.step[:, None]), 0, 2**PLANES - 1)
+        near = self.low[:, None] + levels * self.step[:, None]
+        self.error, self.sum, self.root = np.linalg.norm(turned - near, axis=1), near.sum(axis=1), math.sqrt(unit.shape[1])
+        self.planes = [packed((levels.astype(np.int64) >> j & 1).astype(bool)) for j in range(PLANES)]
+
+    def products(self, a: int, b: int, code: np.ndarray) -> np.ndarray:
+        """About the products of the directions ``a`` to ``b`` with the code vectors; they are off by ``error`` at most."""
+        ones, counts = np.bitwise_count(code).sum(axis=1, dtype=np.int32), np.zeros((b - a, len(code)), dtype=np.int32)
+        for j, plane in enumerate(self.planes):
+            for w in range(code.shape[1]):
+                counts += np.bitwise_count(plane[a:b, w][:, None] & code[:, w]).astype(np.int32) << j
+        on = self.low[a:b, None] * ones + self.step[a:b, None] * counts
+        return (2 * on - self.sum[a:b, None]) / self.root
+
+
 class Asked:
-    """Anchors, rounded to ``PLANES`` bits a coordinate, whose product with a code is a sum of population counts."""
+    """Anchors and the bounds of their scores."""
 
     def __init__(self, own: Vectors):
         self.own = own
-        size = own.z.shape[1]
-        _, unit = rotated(own.z)
-        self.low = unit.min(axis=1, initial=0)
-        self.step = np.maximum((unit.max(axis=1, initial=0) - self.low) / (2**PLANES - 1), 1e-300)
-        levels = np.clip(np.rint((unit - self.low[:, None]) / self.step[:, None]), 0, 2**PLANES - 1)
-        near = self.low[:, None] + levels * self.step[:, None]
-        self.error, self.sum, self.root = np.linalg.norm(unit - near, axis=1), near.sum(axis=1), math.sqrt(max(1, size))
-        self.planes = [packed((levels.astype(np.int64) >> j & 1).astype(bool)) for j in range(PLANES)]
+        self.turned = [Rounded(directed(own.z)[1], nth) for nth in range(CODES)]
 
     def intervals(self, a: int, b: int, rows: Vectors, some: slice) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest possible score of the anchors ``a`` to ``b`` with the rows."""
-        code, ones = rows.code[some], np.bitwise_count(rows.code[some]).sum(axis=1, dtype=np.int64)
-        counts = np.zeros((b - a, len(code)))
-        for j, plane in enumerate(self.planes):
-            for w in range(code.shape[1]):
-                counts += (1 << j) * np.bitwise_count(plane[a:b, w][:, None] & code[:, w]).astype(np.float64)
+        code, aligned = rows.code[some], rows.aligned[some]
+        width = code.shape[1] // CODES
         with np.errstate(all="ignore"):
-            on = self.low[a:b, None] * ones + self.step[a:b, None] * counts
-            near = (2 * on - self.sum[a:b, None]) / self.root  # product with the code vector
-            aligned, error = np.minimum(rows.aligned[some], 1), self.error[a:b, None]
-            rest = np.sqrt(1 - aligned * aligned) * np.sqrt(np.maximum(0, 1 - np.maximum(0, np.abs(near) - error) ** 2))
+            middle, away = np.zeros((b - a, len(code))), np.full((b - a, len(code)), SLACK)
+            for nth, turned in enumerate(self.turned):
+                near, error = turned.products(a, b, code[:, nth * width:(nth + 1) * width]), turned.error[a:b, None]
+                middle += aligned[:, nth] * near
+                away += aligned[:, nth] * error
+            # What is left stands at right angles to the last code vector.
+            away += aligned[:, CODES] * np.sqrt(np.maximum(0, 1 - np.maximum(0, np.abs(near) - error) ** 2))
             lengths = self.own.norm[a:b, None] * rows.norm[some]
-            away = (rest + aligned * error + SLACK) * lengths * (1 + SLACK)
-            middle = aligned * near * lengths
-            low, high = middle - away, middle + away
+            low, high = (middle - away * (1 + SLACK)) * lengths, (middle + away * (1 + SLACK)) * lengths
         # Scores are cut to 64 bits, and so are their bounds.
         return tuple(np.clip(np.where(np.isfinite(x), x, open_end), LEAST, MOST) for x, open_end in ((low, -np.inf), (high, np.inf)))
 
