@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "packing_query", "substrings_query", "chat_query", "language_query", "secrets_query", "decontaminate_query", "html_query", "simhash_query",
-    "neighbours_query", "lm_query", "phrases_query", "negatives_query",
+    "neighbours_query", "lm_query", "phrases_query", "negatives_query", "personal_query",
 )
 
 
