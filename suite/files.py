@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +40,59 @@ def _written(spark, df, name: str, fmt: str, **options) -> str:
 
 
 @query("scan_csv", with_views(DIRTY) + "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, ship_priority, comment, "
-       f"order_date, net_total::double as net_total, schema_tag from {DIRTY}")
+       f"order_date, net_total::double as net_total, schema_tag, strftime(loaded, '%Y-%m-%d %H:%M:%S') as loaded from {DIRTY}")
 def scan_csv(spark, sf):
     """Missing values travel as ``NA``; numbers are typed again, dates stay text."""
-    df = table(spark, sf, DIRTY).drop("loaded")
+    df = table(spark, sf, DIRTY).withColumn("loaded", F.date_format("loaded", "yyyy-MM-dd HH:mm:ss"))
     return R.scan_csv(spark, _written(spark, df, "orders.csv", "csv", header=True, nullValue="NA"))
 
 
-@query("scan_json", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+@query("scan_csv_headers", "select o_orderkey, o_custkey, case when o_orderkey % 3 = 0 then o_orderstatus end as o_orderstatus, "
+       "case when o_orderkey % 3 = 1 then o_totalprice end as o_totalprice from orders")
+def scan_csv_headers(spark, sf):
+    """Files of one folder whose headers name other columns, or the same in another order: each is read by its own."""
+    path = f"{fresh_path(spark, 'scan')}/orders.csv"
+    orders, kind = base_table(spark, sf, "orders"), F.col("o_orderkey") % 3
+    for k, columns in enumerate((["o_orderkey", "o_custkey", "o_orderstatus"], ["o_totalprice", "o_custkey", "o_orderkey"], ["o_custkey", "o_orderkey"])):
+        orders.where(kind == k).select(columns).write.mode("append").option("header", True).csv(path)
+    return R.scan_csv(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@query("scan_json", "select * replace (strftime(o_orderdate::timestamp, '%Y-%m-%d') as o_orderdate) from orders")
 def scan_json(spark, sf):
-    df = table(spark, sf, "orders").drop("o_orderdate")
+    df = table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return R.scan_json(spark, _written(spark, df, "orders.json", "json"))
 
 
+@query("scan_json_broken", """select case o_orderkey % 4 when 0 then 'array' when 1 then 'lines' else 'whole' end as kind, count(*) filter (where o_orderkey % 7 <> 0) as rows,
+    count(*) filter (where o_orderkey % 7 = 0) as bad, sum(case when o_orderkey % 7 <> 0 then o_custkey end)::bigint as customers from orders group by 1""")
+def scan_json_broken(spark, sf):
+    """Records without a colon, in lines, in arrays and in objects over several lines: they are returned apart, the others are read."""
+    path = f"{fresh_path(spark, 'scan')}/orders.json"
+    kind = F.when(F.col("o_orderkey") % 4 == 0, "array").when(F.col("o_orderkey") % 4 == 1, "lines").otherwise("whole")
+    rows = base_table(spark, sf, "orders").select("o_orderkey", kind.alias("kind"), F.to_json(F.struct("o_orderkey", "o_custkey", kind.alias("kind"))).alias("value"))
+    broken = F.when(F.col("o_orderkey") % 7 == 0, F.replace("value", F.lit('"o_custkey":'), F.lit('"o_custkey" '))).otherwise(F.col("value"))
+    rows = rows.withColumn("value", broken)
+    rows.where("kind = 'lines'").select("value").write.text(f"{path}/lines")
+    _arrays(rows.where("kind = 'array'"), "o_orderkey", f"{path}/array")
+    rows.where("kind = 'whole'").select(F.replace("value", F.lit(","), F.lit(",\n")).alias("value")).write.text(f"{path}/whole")
+    parts = []
+    for k in ("lines", "array", "whole"):
+        good, bad = R.scan_json_rows(spark, f"{path}/{k}")
+        read = good.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("o_custkey").alias("customers"))
+        parts.append(read.crossJoin(bad.agg(F.count("*").alias("bad"))).select("kind", "rows", "bad", "customers"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _arrays(rows, key: str, path: str, files: int = 4) -> None:
+    """Rows with a JSON text in ``value`` as some files, each one array on several lines."""
+    part = F.pmod(F.hash(key), F.lit(files)).alias("file")
+    ends = rows.groupBy(part).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    text = F.concat(F.when(F.col(key) == F.col("first"), "[").otherwise(","), F.col("value"), F.when(F.col(key) == F.col("last"), "]").otherwise(""))
+    marked = rows.select("*", part).join(F.broadcast(ends), "file")  # a row per file
+    marked.select("file", key, text.alias("value")).repartition(files, "file").sortWithinPartitions("file", key).select("file", "value").write.mode("append").partitionBy("file").text(path)
+
+
 @query("scan_csv_quoted", """select o_orderkey, case when o_orderkey % 3 = 0 then 'line one' || chr(10) || 'line "two", ' || o_orderstatus
     when o_orderkey % 3 = 1 then null else o_orderpriority end as note, o_orderkey as "note.1" from orders""")
 def scan_csv_quoted(spark, sf):
@@ -65,12 +105,12 @@ def scan_csv_quoted(spark, sf):
     return R.scan_csv(spark, _lines(spark, base_table(spark, sf, "orders").select(body.alias("value")), "o_orderkey,note,note", "csv"))
 
 
-def _lines(spark, rows, head: str, suffix: str) -> str:
+def _lines(spark, rows, head: str, suffix: str, files: int = 4) -> str:
     """A folder of text files, each with a header of its own."""
     path = f"{fresh_path(spark, 'scan')}/orders.{suffix}"
-    text = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.concat_ws("\n", F.collect_list("value")).alias("body"))
-    text.repartition(4, "p").groupBy(F.spark_partition_id()).agg(F.concat(F.lit(head + "\n"), F.concat_ws("\n", F.collect_list("body"))).alias("value")).select(
-        "value").write.text(path)
+    heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(head).alias("value"))
+    body = rows.select(F.pmod(F.hash("value"), F.lit(files)).alias("file"), F.lit(1).alias("at"), "value")
+    heads.unionByName(body).repartition(files, "file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 
@@ -89,16 +129,15 @@ def scan_csv_ragged(spark, sf):
 
 @query("scan_json_mixed", "select o_orderkey, o_orderstatus, o_orderdate::varchar as o_orderdate from (select * replace (strftime(o_orderdate::timestamp, '%Y-%m-%d') as o_orderdate) from orders)")
 def scan_json_mixed(spark, sf):
-    """A folder with JSON lines and with arrays of records, on one line or several."""
+    """A folder with JSON lines, with arrays of records, and with objects over several lines."""
     path = f"{fresh_path(spark, 'scan')}/orders.json"
     rows = base_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
     kind = F.col("o_orderkey") % 3
     rows.where(kind == 0).write.json(f"{path}/kind=0")
-    record = F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_orderdate"))
-    for k, between in ((1, ",\n"), (2, ",")):  # records on lines of their own, and all on one line
-        arrays = rows.where(kind == k).groupBy((F.col("o_orderkey") % 16).alias("part")).agg(
-            F.concat(F.lit("["), F.concat_ws(between, F.collect_list(record)), F.lit("]")).alias("value"))
-        arrays.write.mode("append").partitionBy("part").text(f"{path}/kind={k}")  # a file per array
+    texts = rows.select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_orderdate")).alias("value"))
+    _arrays(texts.where(kind == 1), "o_orderkey", f"{path}/kind=1")
+    # Objects over several lines, one after the other.
+    texts.where(kind == 2).select(F.replace("value", F.lit(","), F.lit(",\n  ")).alias("value")).write.text(f"{path}/kind=2")
     return R.scan_json(spark, path)
 
 
@@ -151,30 +190,51 @@ def scan_error_row(spark, sf):
     return _folder_counts(spark, *R.scan_catalog(spark, root))
 
 
-def _zipped(batches):
-    """Each batch of rows as one archive with a CSV, a JSON and files to be passed over."""
-    import pandas as pd
-
-    for batch in batches:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("data/orders.csv", batch[["o_orderkey", "o_orderstatus", "o_totalprice"]].to_csv(index=False))
-            z.writestr("data/keys.json", batch[["o_orderkey", "o_custkey"]].to_json(orient="records"))
-            z.writestr("__MACOSX/data/orders.csv", "x\n1\n")
-            z.writestr("data/.hidden.csv", "x\n1\n")
-        yield pd.DataFrame({"path": [f"batch-{batch['o_orderkey'].min()}.zip"], "content": [out.getvalue()]})
+def _zipped(folder: str):
+    """Writes each batch of rows as one archive with a CSV, JSON lines of which the first is broken, and files to be passed over."""
+    def run(batches):
+        for batch in batches:
+            batch = batch.assign(o_orderdate=batch["o_orderdate"].astype(str))
+            name = f"batch-{batch['o_orderkey'].min()}.zip"
+            fs, path = R.opened(f"{folder}/{name}")
+            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(path) as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("data/orders.csv", batch[["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"]].to_csv(index=False))
+                z.writestr("data/keys.json", batch[["o_orderkey", "o_custkey"]].to_json(orient="records"))
+                z.writestr("data/notes.json", "\n".join(['{"o_orderkey": 1}', '{"o_orderkey": ', *(batch[["o_orderkey", "o_orderpriority"]].to_json(orient="records", lines=True).split("\n"))]))
+                z.writestr("__MACOSX/data/orders.csv", "x\n1\n")
+                z.writestr("data/.hidden.csv", "x\n1\n")
+            yield pd.DataFrame({"name": [name]})
+
+    return run
+
+
+def _archives(spark, rows) -> str:
+    """A folder of archives, one for each batch of the rows."""
+    path = f"{fresh_path(spark, 'zips')}/orders"
+    rows.mapInPandas(_zipped(path), "name string").count()
+    return path
 
 
-@query("scan_archive", "select o_orderkey, o_orderstatus, o_totalprice, o_custkey from orders")
+@query("scan_archive", "select * replace (strftime(o_orderdate::timestamp, '%Y-%m-%d') as o_orderdate), 0::bigint as lost from orders")
 def scan_archive(spark, sf):
-    archives = table(spark, sf, "orders").mapInPandas(_zipped, "path string, content binary")
-    # Written once, as archives would lie in a folder: the scan reads them more than once.
-    path = fresh_path(spark, "zips")
-    archives.write.parquet(path)
-    tables, _ = R.scan_archive(spark, spark.read.parquet(path))
-    kinds = {k: [df for n, df in tables.items() if n.endswith(k)] for k in ("orders.csv", "keys.json")}
-    orders, keys = (reduce(DataFrame.unionByName, parts) for parts in kinds.values())
-    return orders.join(keys, "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    """Archives of a folder, member by member; one broken line of each is recorded, and the others are read."""
+    tables, errors = R.scan_archive(spark, _archives(spark, table(spark, sf, "orders")))
+    n = sum(name.endswith("notes.json") for name in tables)
+    parts = {k: reduce(DataFrame.unionByName, [df for name, df in tables.items() if name.endswith(k)]) for k in ("orders.csv", "keys.json", "notes.json")}
+    notes = parts["notes.json"].where("o_orderpriority is not null")
+    lost = errors.agg((F.lit(n) - F.count("*")).alias("lost"))  # a broken line of each archive
+    return parts["orders.csv"].join(parts["keys.json"], "o_orderkey").join(notes, "o_orderkey").crossJoin(lost).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "lost")
+
+
+@query("scan_archive_rows", "select o_orderkey, o_orderstatus, o_totalprice, o_custkey from orders")
+def scan_archive_rows(spark, sf):
+    """Archives that are given as rows with their content, as another source may hold them."""
+    folder = _archives(spark, table(spark, sf, "orders"))
+    tables, _ = R.scan_archive(spark, spark.read.format("binaryFile").load(folder).select("path", "content"))
+    parts = [reduce(DataFrame.unionByName, [df for n, df in tables.items() if n.endswith(k)]) for k in ("orders.csv", "keys.json")]
+    return parts[0].join(parts[1], "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
 
 
 @query("scan_list", with_views(DIRTY) + f"select 'orders' as table_name, count(*) as n_samples, true as measured from {DIRTY} "

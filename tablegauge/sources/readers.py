@@ -197,9 +197,12 @@ def scan_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool |
 
 def _parsed(rows: DataFrame) -> DataFrame:
     """file, record (where it is no JSON object), v: each text parsed once, written to the shared folder."""
-    v = F.try_parse_json("value")
-    parsed = rows.select("file", "value", v.alias("v"), F.startswith(F.trim(F.translate("value", "\t\r\n\ufeff", "   ")), F.lit("{")).alias("object"))
-    good = F.col("v").isNotNull() & F.col("object")
+    # In brackets, or else what follows a complete object would be passed over.
+    within = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
+    begins = F.startswith(F.trim(F.translate("value", "\t\r\n\ufeff", "   ")), F.lit("{"))
+    parsed = rows.select("file", "value", within.alias("x"), begins.alias("object")).select(
+        "file", "value", "object", F.variant_get("x", "$[0]", "variant").alias("v"), F.variant_get("x", "$[1]", "variant").isNull().alias("single"))
+    good = F.col("v").isNotNull() & F.col("single") & F.col("object")
     path = fresh_path(rows.sparkSession, "json")
     parsed.select("file", F.when(~good, F.col("value")).alias("record"), F.when(good, F.col("v")).alias("v")).write.parquet(path)
     return rows.sparkSession.read.parquet(path)
@@ -242,7 +245,7 @@ def _objects(parts: DataFrame, files: list[str], in_array: bool, cut_short: set[
         return reduce(lambda a, b: a | b, [(F.col("file") == r["file"]) & (F.col("block") == r["x"]["block"]) & (F.col("at") == r["x"]["at"]) for r in some], F.lit(False))
 
     value = F.when(among(short), F.regexp_replace("value", r"\}\s*$", "")).otherwise(F.col("value"))
-    return cut.where(~among(ends)).select("file", (F.regexp_replace(value, r"^\ufeff?\s*[\[,]?\s*", "") if in_array else value).alias("value"))
+    return cut.where(~among(ends)).select("file", F.regexp_replace(value, r"^\ufeff?\s*[\[,]?\s*" if in_array else r"^\ufeff?\s*", "").alias("value"))
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
@@ -417,12 +420,12 @@ class ZipReader(DataSourceReader):
         if error:
             yield _batch(archive, "", [(0, None, None, error)])
             return
-        fs, path = _opened(archive)
+        fs, path = opened(archive)
         with fs.open_input_file(path) as file, zipfile.ZipFile(file) as z:
             yield from _member_records(archive, z, member)
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path, which may be without a scheme, and the path in it."""
     if "://" not in path:
         return pafs.LocalFileSystem(), path.removeprefix("file:")
@@ -431,7 +434,7 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 def _archives(path: str) -> list[str]:
     """The files of a path: itself, or all archives below a folder."""
-    fs, own = _opened(path)
+    fs, own = opened(path)
     prefix = path[:len(path) - len(own)] if path.endswith(own) else ""
     info = fs.get_file_info(own)
     if info.type == pafs.FileType.File:
@@ -444,7 +447,7 @@ def _archives(path: str) -> list[str]:
 
 def _members(archive: str) -> list[tuple]:
     """(archive, member, error) of the data files in an archive, or its error."""
-    fs, path = _opened(archive)
+    fs, path = opened(archive)
     try:
         with fs.open_input_file(path) as file, zipfile.ZipFile(file) as z:
             return [(archive, m, None) for m in z.namelist() if _is_member(m)]

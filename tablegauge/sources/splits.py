@@ -61,11 +61,15 @@ class Delimited:
 
 
 class Braces:
-    """JSON up to each closing brace, which closes a record at the outermost depth, or inside an array of records at depth one."""
+    """JSON up to each closing brace, which closes a record at the outermost depth, or inside an array of records at depth one.
+
+    A string holds no line break, so one that is not closed ends with its line. After a record whose brackets do not
+    match, what follows in the file is part of that record.
+    """
 
     end = "}"
-    _STRING = re.compile(r'"(?:[^"\\]++|\\.)*+"', re.DOTALL)
-    _CLOSED = re.compile(r'(?:[^"\\]++|\\.)*+"', re.DOTALL)
+    _STRING = re.compile(r'"(?:[^"\\\n]++|\\[^\n])*+(?:"|(?=\n))')
+    _CLOSED = re.compile(r'(?:[^"\\\n]++|\\[^\n])*+(?:"|(?=\n))')
 
     def moved(self, piece: str, inside: bool) -> tuple[bool, int]:
         """Whether the brace after the piece stands in a string, and how much deeper the piece leads."""
