@@ -41,7 +41,7 @@ class Delimited:
         cell = rf'(?:"(?:[^"]++|"")*+"{other}|(?!"){other})'
         self.whole = re.compile(rf"{cell}(?:{s}{cell})*+", re.DOTALL)
         self.rest = re.compile(rf'(?:[^"]++|"")*+"{other}(?:{s}{cell})*+', re.DOTALL)
-        self.cell = re.compile(rf"(?:^|{s})({cell})", re.DOTALL)
+        self.cell = re.compile(rf"(?:^|{s})({cell}|.*)", re.DOTALL)
 
     def moved(self, piece: str, inside: bool) -> tuple[bool, int]:
         """Whether the next line begins inside quotes; lines do not nest."""
