@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import math
+from functools import reduce
 from itertools import combinations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suite import sqltext as S
 from suite.views import table, with_views
-from tablegauge.functions.rules import risk_label
-from tablegauge.functions.session import fresh_path, local_rows
+from tablegauge.functions.rules import RISK_LABELS, risk_label
+from tablegauge.functions.session import checkpointed, fresh_path, local_rows
 from tablegauge.operators import learn as N
 from tablegauge.operators import meta as M
 
 QUERIES, ORACLES = {}, {}
 FEAT, TARGET = "lineitem_feat", "l_returnflag"
-# A small search: the registered runs show the way from rows to a model, not its best settings.
-GRID = {"numTrees": [20], "maxDepth": [8], "minInstancesPerNode": [1, 2], "weightCol": ["weight_balanced"]}
+# A smaller search than the library's own: one that a session of all queries has time for (see the README).
+GRID = {"numTrees": [20], "maxDepth": [8], "minInstancesPerNode": [1, 2], "weightCol": ["weight_balanced", "weight_equal"]}
+FOLDS = 5
 
 
 def query(name: str, oracle: str | None = None):
@@ -181,11 +186,29 @@ def split_train_test(spark, sf):
     return rows.select("o_orderkey", "o_orderstatus", "is_test")
 
 
-@query("baseline_eval")
-def baseline_eval(spark, sf):
+@query("baseline_eval_values")
+def baseline_eval_values(spark, sf):
     return N.baseline_eval(table(spark, sf, "orders_dirty"), "o_orderstatus")
 
 
+@query("baseline_eval", with_views("orders_dirty").rstrip() + """, classes as (
+    select row_number() over (order by o_orderstatus) - 1 as label, count(*) as k, sum(count(*)) over () as n, ceil(0.3::double * sum(count(*)) over ()) as total
+    from orders_dirty where o_orderstatus is not null group by o_orderstatus),
+  parts as (select *, floor(total * k / n) as whole, row_number() over (order by floor(total * k / n) - total * k / n, label) as place from classes),
+  sizes as (select label, k, whole + case when place <= total - sum(whole) over () then 1 else 0 end as test_rows from parts)
+  select label::double as label, (k - test_rows)::bigint as train_rows, test_rows::bigint as test_rows, true as shares_fit, true as gap_fits from sizes""")
+def baseline_eval(spark, sf):
+    """Rows of each class on both sides; the accuracies are the shares of rows predicted right, and the gap is their difference."""
+    scored = checkpointed(N.scored_baseline(table(spark, sf, "orders_dirty"), "o_orderstatus").select("label", "prediction", "is_test"))
+    c, right = F.col, F.col("prediction") == F.col("label")
+    accuracy = N.accuracies(scored)
+    # By another way: counts instead of means.
+    counts = scored.agg(*[F.round(F.count_if(right & side) / F.count_if(side), 4).alias(name) for name, side in (("a", ~c("is_test")), ("b", c("is_test")))])
+    checks = accuracy.crossJoin(counts).select(((c("train_acc") == c("a")) & (c("test_acc") == c("b"))).alias("shares_fit"), (F.abs(c("train_acc") - c("test_acc") - c("gap")) <= 1e-4).alias("gap_fits"))
+    sides = scored.groupBy("label").agg(F.count_if(~c("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"))
+    return sides.crossJoin(checks).select("label", "train_rows", "test_rows", "shares_fit", "gap_fits")  # one row of checks
+
+
 @query("baseline_eval_known", "select 1.0::double as train_acc, 1.0::double as test_acc, 0.0::double as gap from orders limit 1")
 def baseline_eval_known(spark, sf):
     """A target that one column decides, so the accuracy is known beforehand."""
@@ -235,8 +258,7 @@ def _mini(spark, sf):
     return M.meta_features(_feat(spark, sf), TARGET)
 
 
-@query("meta_dataset")
-def meta_dataset(spark, sf):
+def _datasets(spark, sf):
     """Several given tables as datasets, each with one of its columns as target."""
     tables = {
         "orders": table(spark, sf, "orders_dirty").withColumnRenamed("o_orderstatus", "target"),
@@ -248,32 +270,81 @@ def meta_dataset(spark, sf):
     return found.unionByName(skipped.select("table_name"), allowMissingColumns=True)
 
 
+@query("meta_dataset_values")
+def meta_dataset_values(spark, sf):
+    return _datasets(spark, sf)
+
+
+@query("meta_dataset", with_views("orders_dirty", FEAT) + f"""select 'orders' as table_name, count(*) as n_samples, {len(S.names("orders_dirty")) - 1}::bigint as n_features, true as labelled from orders_dirty
+    union all select 'lineitem', count(*), {len(_ALL) - 1}, true from {FEAT}
+    union all select 'labels', count(*), (select count(*) - 1 from (describe labels)), true from labels union all select 'customer', null, null, false""")
+def meta_dataset(spark, sf):
+    """Size of each dataset and whether it has a risk label; a table without the target is passed over."""
+    return _datasets(spark, sf).select("table_name", "n_samples", "n_features", F.coalesce(F.col("risk").isin(*RISK_LABELS), F.lit(False)).alias("labelled"))
+
+
 @query("meta_dataset_by")
 def meta_dataset_by(spark, sf):
     return _slices(spark, sf)
 
 
+_rows_of: dict[tuple[str, str], DataFrame] = {}  # by application and folder: seven queries ask for the same rows
+
+
 def _slices(spark, sf):
     return N.meta_dataset_by(table(spark, sf, "slices"), ["slice"], "target")
 
 
 def _model(spark, sf):
-    return N.meta_train(_slices(spark, sf), GRID, folds=3)
+    key = spark.sparkContext.applicationId, sf
+    if key not in _rows_of:
+        _rows_of[key] = checkpointed(_slices(spark, sf))
+    return N.meta_train_shared(_rows_of[key], GRID, folds=FOLDS)
+
+
+_SPLIT = with_views("slices").rstrip() + ", meta as (select count(distinct slice) as n, ceil(0.2::double * count(distinct slice))::bigint as held from slices) "
+
+
+def _between(x, low=0.0, high=1.0):
+    return F.coalesce((F.col(x) >= low) & (F.col(x) <= high), F.lit(False))
+
+
+@query("meta_train_values")
+def meta_train_values(spark, sf):
+    """Every setting tried with mean and deviation of its F1, best first."""
+    rows = [(json.dumps(r["settings"], sort_keys=True), r["mean"], r["deviation"]) for r in _model(spark, sf).scores]
+    return local_rows(spark, rows, "settings string, mean_f1 double, deviation double").orderBy(F.desc("mean_f1"), "settings")
 
 
-@query("meta_train")
+@query("meta_train", _SPLIT + f"select n - held as train_rows, held as test_rows, {math.prod(map(len, GRID.values()))}::bigint as settings, true as in_range, true as best_chosen from meta")
 def meta_train(spark, sf):
+    """Rows of both parts, the settings tried, whether their scores can be such, and whether the best of them was taken."""
     model = _model(spark, sf)
     counts = model.train.agg(F.count("*").alias("train_rows")).crossJoin(F.broadcast(model.test.agg(F.count("*").alias("test_rows"))))
-    return counts.select("train_rows", "test_rows", F.lit(round(model.cv_f1, 4)).alias("cv_f1"),
-                         F.lit(int(model.settings["numTrees"])).alias("trees"))
+    in_range = all(0 <= r["mean"] <= 1 and 0 <= r["deviation"] <= 0.5 for r in model.scores)
+    forest = model.pipeline.stages[-1]
+    taken = forest.getNumTrees == model.settings["numTrees"] and forest.getOrDefault("maxDepth") == model.settings["maxDepth"] and model.cv_f1 == max(r["mean"] for r in model.scores)
+    return counts.select("train_rows", "test_rows", F.lit(len(model.scores)).cast("long").alias("settings"), F.lit(in_range).alias("in_range"), F.lit(taken).alias("best_chosen"))
 
 
-@query("meta_evaluate")
-def meta_evaluate(spark, sf):
+@query("meta_evaluate_values")
+def meta_evaluate_values(spark, sf):
     return N.meta_evaluate(_model(spark, sf))
 
 
+@query("meta_evaluate", _SPLIT + "select held as support, held as in_matrix, true as in_range, true as recall_fits from meta")
+def meta_evaluate(spark, sf):
+    """Support of all classes, cells of the matrix, and whether the matrix gives the recall of the report."""
+    model = _model(spark, sf)
+    report, matrix = N.meta_evaluate(model), N.confusion_matrix(model)
+    hit = reduce(lambda a, b: F.when(F.col("risk") == b, F.col(f"`{b}`")).otherwise(a), RISK_LABELS, F.lit(0))
+    total = sum(F.col(f"`{r}`") for r in RISK_LABELS)
+    both = report.join(matrix.select("risk", total.alias("cells"), F.round(hit / total, 4).alias("again")), "risk", "left")
+    ranges = [_between(x) for x in ("precision", "recall", "f1")]
+    fits = F.coalesce(F.col("again") == F.col("recall"), (F.col("support") == 0) & (F.col("recall") == 0))
+    return both.agg(F.sum("support").alias("support"), F.sum("cells").alias("in_matrix"), F.bool_and(ranges[0] & ranges[1] & ranges[2]).alias("in_range"), F.bool_and(fits).alias("recall_fits"))
+
+
 @query("train_test_gap")
 def train_test_gap(spark, sf):
     return N.train_test_gap(_model(spark, sf))
@@ -284,24 +355,50 @@ def confusion_matrix(spark, sf):
     return N.confusion_matrix(_model(spark, sf))
 
 
-@query("feature_importance")
-def feature_importance(spark, sf):
+@query("feature_importance_values")
+def feature_importance_values(spark, sf):
     return N.feature_importance(spark, _model(spark, sf).pipeline)
 
 
-@query("model_save_load")
-def model_save_load(spark, sf):
+@query("feature_importance", " union all ".join(f"select '{f}' as feature, 1.0::double as total, true as in_order" for f in M.META_FEATURES))
+def feature_importance(spark, sf):
+    """Every feature once, importances that sum to one, and largest first."""
+    found = N.feature_importance(spark, _model(spark, sf).pipeline)
+    values = [r["importance"] for r in found.collect()]  # ten rows
+    in_order = values == sorted(values, reverse=True) and min(values) >= 0
+    return found.select("feature", F.lit(round(sum(values), 6)).alias("total"), F.lit(in_order).alias("in_order"))
+
+
+@query("model_save_load_values")
+def model_save_load_values(spark, sf):
     """Predictions of the saved and reloaded model, next to those of the fitted one."""
+    return _reloaded(spark, sf)
+
+
+def _reloaded(spark, sf):
     model = _model(spark, sf)
     path = fresh_path(spark, "model")
     N.save_model(model.pipeline, path)
     again = N.load_model(spark, path)
-    a = model.pipeline.transform(model.test).select("slice", F.col("prediction").alias("fitted"))
-    b = again.transform(model.test).select("slice", F.col("prediction").alias("reloaded"))
-    return a.join(b, "slice")
+    a = model.pipeline.transform(model.test).select("slice", F.col("prediction").alias("fitted"), F.col("probability").alias("p"))
+    b = again.transform(model.test).select("slice", F.col("prediction").alias("reloaded"), F.col("probability").alias("q"))
+    return a.join(b, "slice").select("slice", "fitted", "reloaded", (F.col("p") == F.col("q")).alias("same"))
+
+
+@query("model_save_load", _SPLIT + "select held as rows, held as same from meta")
+def model_save_load(spark, sf):
+    """Held-out rows, and those for which the reloaded model gives the same label with the same probabilities."""
+    same = F.col("same") & (F.col("fitted") == F.col("reloaded"))
+    return _reloaded(spark, sf).agg(F.count("*").alias("rows"), F.count_if(same).alias("same"))
+
+
+@query("predict_risk_values")
+def predict_risk_values(spark, sf):
+    return N.predict_risk(_model(spark, sf).pipeline, _feat(spark, sf), TARGET)
 
 
-@query("predict_risk")
+@query("predict_risk", META_SQL.replace(" as outlier_pct from ", " as outlier_pct, true as labelled from "))
 def predict_risk(spark, sf):
-    pipeline = _model(spark, sf).pipeline
-    return N.predict_risk(pipeline, _feat(spark, sf), TARGET)
+    """The features of a dataset, and whether it was given one of the labels."""
+    found = N.predict_risk(_model(spark, sf).pipeline, _feat(spark, sf), TARGET)
+    return found.select(*M.META_FEATURES, F.col("predicted_risk").isin(*RISK_LABELS).alias("labelled"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,10 +20,10 @@ from tablegauge.functions.classes import columns_of, text_form
 from tablegauge.functions.joins import joined_by_key
 from tablegauge.functions.nulls import normalize_nulls, quoted
 from tablegauge.functions.rules import RISK_LABELS, risk_label
-from tablegauge.functions.session import checkpointed, local_rows
+from tablegauge.functions.session import checkpointed, fresh_path, local_rows, shared_dir
 from tablegauge.operators.meta import META_FEATURES, meta_features, meta_features_by, scan_list
 from tablegauge.operators.quantiles import order_statistics
-from tablegauge.operators.ranks import ordered_codes
+from tablegauge.operators.ranks import ordered_codes, positions
 from tablegauge.operators.remediate import fix_fill_median, fix_standardize
 
 SEED = 42
@@ -31,18 +33,19 @@ MIN_ROWS = 20
 def encode_labels(df: DataFrame, cols: list[str]) -> DataFrame:
     """Text columns become codes in sorted order; a missing value is a class called ``nan``.
 
-    The codes are a joined table, not a list on the driver, so a column may have any number of
-    classes.
+    The codes of all columns are one dictionary of (column, value), numbered per column by one sort over all of it and fixed by
+    one checkpoint. It is a joined table, not a list on the driver, so a column may have any number of classes.
     """
+    if not cols:
+        return df
+    named = {c: F.coalesce(quoted(c).cast("string"), F.lit("nan")) for c in cols}
+    cells = df.select([x.alias(str(i)) for i, x in enumerate(named.values())]).unpivot([], [str(i) for i in range(len(cols))], "column", "value")
+    ranked = positions(cells.distinct().withColumn("one", F.lit(1).cast("long")), ["column"], "value", "one")
+    codes = checkpointed(ranked.select("column", F.col("value").alias("__value"), F.col("first").alias("__code")))
     out = df
-    for c in cols:
-        named = F.coalesce(quoted(c).cast("string"), F.lit("nan"))
-        codes = ordered_codes(df.select(named.alias(c)), c).select(
-            F.col("value").alias("__value"), F.col("code").alias("__code"))
-        out = (
-            joined_by_key(out.withColumn("__value", named), codes, ["__value"], "left")
-            .withColumn(c, F.col("__code")).drop("__value", "__code")
-        )
+    for i, (c, x) in enumerate(named.items()):
+        own = codes.where(F.col("column") == str(i)).drop("column")
+        out = joined_by_key(out.withColumn("__value", x), own, ["__value"], "left").withColumn(c, F.col("__code")).drop("__value", "__code")
     return out.select(df.columns)
 
 
@@ -159,7 +162,7 @@ def scored_baseline(
     return model.transform(ready)
 
 
-def _accuracies(scored: DataFrame, *keys: str) -> DataFrame:
+def accuracies(scored: DataFrame, *keys: str) -> DataFrame:
     hit = F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)
     train = F.avg(F.when(~F.col("is_test"), hit))
     test = F.avg(F.when(F.col("is_test"), hit))
@@ -171,7 +174,7 @@ def _accuracies(scored: DataFrame, *keys: str) -> DataFrame:
 def baseline_eval(df: DataFrame, target: str, share: float = 0.3, seed: int = SEED) -> DataFrame:
     """One row: accuracy on training and test rows, and the gap between them."""
     _need(df, target)
-    return _accuracies(scored_baseline(df, target, share, seed))
+    return accuracies(scored_baseline(df, target, share, seed))
 
 
 def _need(df: DataFrame, target: str) -> None:
@@ -212,7 +215,7 @@ def meta_dataset_by(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     One baseline is fitted over all of them and judged per dataset.
     """
     features = meta_features_by(df, keys, target)
-    accuracy = _accuracies(scored_baseline(df, target, carry=keys), *keys)
+    accuracy = accuracies(scored_baseline(df, target, carry=keys), *keys)
     return assign_risk(features.join(accuracy, keys, "left")).select(*keys, *META_FEATURES, "risk")
 
 
@@ -228,8 +231,15 @@ class MacroF1(Evaluator):
     """Mean F1 over the classes that occur; the built-in ``f1`` weighs classes by size."""
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        report = class_report(dataset.select("label", "prediction")).agg(F.avg("f1")).first()
-        return float(report[0] or 0.0)
+        cells = dataset.groupBy("label", "prediction").count().collect()  # classes times classes
+        real, told, hits = {}, {}, {}
+        for r in cells:
+            real[r["label"]] = real.get(r["label"], 0) + r["count"]
+            told[r["prediction"]] = told.get(r["prediction"], 0) + r["count"]
+            if r["label"] == r["prediction"]:
+                hits[r["label"]] = r["count"]
+        classes = {*real, *told}
+        return sum(2 * hits.get(c, 0) / (real.get(c, 0) + told.get(c, 0)) for c in classes) / len(classes) if classes else 0.0
 
     def isLargerBetter(self) -> bool:
         return True
@@ -277,12 +287,20 @@ GRID = {"numTrees": [100, 200, 300], "maxDepth": [30, 8, 16], "minInstancesPerNo
         "weightCol": ["weight_balanced", "weight_equal"]}
 
 
+# Meta rows in a partition of the training.
+ROWS_PER_PART = 50_000
+
+
 class MetaModel:
-    """A fitted forest over the meta-features, with the rows it was trained and tested on."""
+    """A fitted forest over the meta-features, with the rows it was trained and tested on.
+
+    ``scores`` has the settings tried, each with the mean and the deviation of its F1 over the folds.
+    """
 
-    def __init__(self, pipeline: PipelineModel, train: DataFrame, test: DataFrame, cv_f1: float, settings: dict):
-        self.pipeline, self.train, self.test = pipeline, train, test
-        self.cv_f1, self.settings = cv_f1, settings
+    def __init__(self, pipeline: PipelineModel, train: DataFrame, test: DataFrame, scores: list[dict]):
+        self.pipeline, self.train, self.test, self.scores = pipeline, train, test, scores
+        best = max(scores, key=lambda r: r["mean"])  # the first of equal ones
+        self.cv_f1, self.cv_std, self.settings = best["mean"], best["deviation"], best["settings"]
 
 
 def meta_train(meta: DataFrame, grid: dict | None = None, folds: int = 5, seed: int = SEED,
@@ -293,7 +311,9 @@ def meta_train(meta: DataFrame, grid: dict | None = None, folds: int = 5, seed:
     marked = checkpointed(split_train_test(rows, "label", 0.2, seed))
     marked = marked.withColumn("label", F.col("label").alias("label", metadata=about))
     train = _weighted(marked.filter(~F.col("is_test")))
-    train = train.withColumn("label", F.col("label").alias("label", metadata=about))
+    # As many partitions as the rows need: each level of each tree is a job over them.
+    parts = max(1, train.count() // ROWS_PER_PART)
+    train = checkpointed(train.repartition(parts, *META_FEATURES)).withColumn("label", F.col("label").alias("label", metadata=about))
     test = marked.filter("is_test")
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
     pipeline = Pipeline(stages=[
@@ -304,9 +324,49 @@ def meta_train(meta: DataFrame, grid: dict | None = None, folds: int = 5, seed:
     search = CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=MacroF1(),
                             numFolds=folds, seed=seed, parallelism=parallelism)
     fitted = search.fit(train)
-    best = max(range(len(fitted.avgMetrics)), key=lambda i: fitted.avgMetrics[i])
-    settings = {p.name: v for p, v in fitted.getEstimatorParamMaps()[best].items()}
-    return MetaModel(fitted.bestModel, train, test, fitted.avgMetrics[best], settings)
+    scores = [{"settings": {p.name: v for p, v in m.items()}, "mean": float(mean), "deviation": float(std)}
+              for m, mean, std in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, fitted.stdMetrics)]
+    return MetaModel(fitted.bestModel, train, test, scores)
+
+
+def meta_train_shared(meta: DataFrame, grid: dict | None = None, folds: int = 5, seed: int = SEED, parallelism: int = 4) -> MetaModel:
+    """The model of ``meta_train``, trained once for the same rows and settings and kept in the shared folder.
+
+    The folder is named after a digest of the rows, in any order, and of the settings, so that whoever asks again, in this
+    session or another with the same ``spark.checkpoint.dir``, reads the model instead of training it.
+    """
+    spark = meta.sparkSession
+    row = F.xxhash64(*[quoted(c) for c in sorted(meta.columns)])
+    about = meta.agg(F.count("*").alias("n"), F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("s")).first()
+    asked = json.dumps([about["n"], about["x"], about["s"], sorted(meta.columns), grid or GRID, folds, seed], sort_keys=True)
+    folder = f"{shared_dir(spark)}/meta-models/{hashlib.sha256(asked.encode()).hexdigest()[:32]}"
+    if not _exists(spark, folder):
+        model, own = meta_train(meta, grid, folds, seed, parallelism), fresh_path(spark, "meta-model")
+        save_model(model.pipeline, f"{own}/model")
+        model.train.write.parquet(f"{own}/train")
+        model.test.write.parquet(f"{own}/test")
+        local_rows(spark, [(json.dumps(model.scores),)], "scores string").write.parquet(f"{own}/scores")
+        _moved(spark, own, folder)
+    scores = json.loads(spark.read.parquet(f"{folder}/scores").first()["scores"])
+    return MetaModel(load_model(spark, f"{folder}/model"), spark.read.parquet(f"{folder}/train"), spark.read.parquet(f"{folder}/test"), scores)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder, fs = _file_system(spark, path)
+    return fs.exists(folder)
+
+
+def _moved(spark: SparkSession, own: str, path: str) -> None:
+    """Gives a finished folder its name; where another was faster, that one stays."""
+    folder, fs = _file_system(spark, path)
+    fs.mkdirs(folder.getParent())
+    if not fs.exists(folder):
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(own), folder)
 
 
 def _named(index: Column) -> Column:
@@ -351,9 +411,7 @@ def save_model(pipeline: PipelineModel, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel:
     """The saved model; a clear error where there is none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
+    if not _exists(spark, path):
         raise FileNotFoundError(f"no model at {path}; train and save one first")
     return PipelineModel.load(path)
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegauge.operators import learn as N
+from tablegauge.operators.learn import MacroF1, encode_labels, meta_train_shared
 from tablegauge.operators import meta as M
+from tablegauge.operators.meta import META_FEATURES
 from tablegauge.sources.sinks import sink_meta_csv
 from tablegauge.sources.readers import scan_csv
 
@@ -147,3 +149,33 @@ def test_meta_dataset_round_trip_and_guard(spark, meta, tmp_path):
     assert again.count() == 150 and again.columns == meta.columns
     with pytest.raises(ValueError, match="outlier_pct"):
         N.meta_schema_guard(again.drop("outlier_pct"))
+
+
+def test_codes_of_all_columns_come_from_one_dictionary(spark):
+    df = spark.createDataFrame([("b", "x", 1), ("a", None, 2), ("b", "y", 3), (None, "x", 4), ("nan", "é", 5)], "t string, u string, __n int")
+    got = [tuple(r) for r in encode_labels(df, ["t", "u"]).orderBy("__n").collect()]
+    assert got == [(1, 1, 1), (0, 0, 2), (1, 2, 3), (2, 1, 4), (2, 3, 5)]
+    assert encode_labels(df, []).columns == df.columns and encode_labels(df.limit(0), ["t", "u"]).count() == 0
+
+
+def test_training_is_shared_by_rows_and_settings(spark):
+    own = random.Random(4)
+    rows = [(own.choice(["Overfitting Risk", "Safe Dataset", "Underfitting Risk"]), *[own.random() for _ in META_FEATURES]) for _ in range(60)]
+    columns = "risk string, " + ", ".join(f"{f} double" for f in META_FEATURES)
+    grid = {"numTrees": [3], "maxDepth": [2, 3], "minInstancesPerNode": [1], "weightCol": ["weight_equal"]}
+    first = meta_train_shared(spark.createDataFrame(rows, columns), grid, folds=2)
+    group = "shared"
+    spark.sparkContext.setJobGroup(group, group)
+    again = meta_train_shared(spark.createDataFrame(rows[::-1], columns).repartition(3), grid, folds=2)  # rows in any order
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert again.scores == first.scores and len(first.scores) == 2 and all(r["deviation"] >= 0 for r in first.scores)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 20  # it was read, not trained
+    assert again.pipeline.stages[-1].featureImportances == first.pipeline.stages[-1].featureImportances
+    other = meta_train_shared(spark.createDataFrame(rows[1:], columns), grid, folds=2)
+    assert other.train.count() + other.test.count() == 59
+
+
+def test_macro_f1_is_the_mean_over_the_classes_that_occur(spark):
+    rows = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 1.0), (2.0, 0.0)], "label double, prediction double")
+    assert MacroF1().evaluate(rows) == pytest.approx((0.5 + 0.8 + 0.0) / 3)
+    assert MacroF1().evaluate(rows.limit(0)) == 0.0
