@@ -14,6 +14,7 @@ from tablegauge.operators import audit as A
 from tablegauge.operators import distinct as D
 from tablegauge.operators import duplicates as U
 from tablegauge.operators import profile as P
+from tablegauge.operators.quantiles import SKETCH_SIZE, rank_error
 from tablegauge.plans.analyze import importance_groups
 
 QUERIES, ORACLES = {}, {}
@@ -275,6 +276,26 @@ def numeric_quartiles(spark, sf):
     return _numeric(spark, sf, "q25", "q75", distinct="skip")
 
 
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")
+_SHARES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+@query("numeric_quartiles_approx", " union all ".join(
+    f"select '{c}' as name, '{q}' as quartile, count({c}) as n, true as near from lineitem" for c in _MEASURES for q in _SHARES))
+def numeric_quartiles_approx(spark, sf):
+    """Quartiles from sketches: whether the share of rows below each, and at or below it, enclose its own within the stated error."""
+    rows = table(spark, sf, "lineitem")
+    found = {r["name"]: r for r in _numeric(spark, sf, *_SHARES, distinct="skip", quartiles="approx").where(F.col("name").isin(*_MEASURES)).collect()}  # a row per column
+    error, aggs = rank_error(SKETCH_SIZE), []
+    for c in _MEASURES:
+        x, n = F.col(c).cast("double"), F.count(c)
+        for q, share in _SHARES.items():
+            value = F.lit(found[c][q])
+            near = (F.count_if(x < value) / n <= share + error) & (F.count_if(x <= value) / n >= share - error)
+            aggs.append(F.struct(F.lit(c).alias("name"), F.lit(q).alias("quartile"), n.alias("n"), near.alias("near")))
+    return rows.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 @query("ordinal_flag", _lineitem("is_ordinal"))
 def ordinal_flag(spark, sf):
     return _numeric(spark, sf, "is_ordinal", quartiles=False)

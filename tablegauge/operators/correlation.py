@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablegauge.functions.classes import columns_of
 from tablegauge.functions.nulls import finite, quoted
-from tablegauge.functions.session import local_rows
+from tablegauge.functions.session import checkpointed, local_rows
 
 
 def varies(x: Column) -> Column:
@@ -35,7 +35,8 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
-# Partial results that one task merges.
+# Bytes of partial results that one task merges; at least two of them.
+_MERGE_BYTES = 256 << 20
 _FAN = 64
 _PARTIAL = pa.schema([("at", pa.int64()), ("parts", pa.binary())])
 # Matrices of a partial result, by (column, other column) over the rows that have both: rows, and of the column
@@ -105,10 +106,14 @@ def _moments(df: DataFrame, names: list[str]) -> np.ndarray | None:
     cells = df.select(*[quoted(c).cast("double").alias(str(i)) for i, c in enumerate(names)])
     schema = from_arrow_schema(_PARTIAL)
     parts = cells.mapInArrow(partial, schema)
-    for _ in range(2):
-        parts = parts.select(F.floor(F.col("at") / _FAN).cast("bigint").alias("to"), "at", "parts").groupBy("to").applyInArrow(merge, schema)
-    rows = sorted(parts.collect(), key=lambda r: r["at"])  # one for _FAN * _FAN tasks of the scan
-    return reduce(_merged, [opened(bytes(r["parts"])) for r in rows]) if rows else None
+    fan = max(2, min(_FAN, _MERGE_BYTES // (6 * 8 * width * width)))
+    parts = checkpointed(parts)
+    left = (parts.agg(F.max("at")).first()[0] or 0) + 1
+    while left > 1:
+        parts = parts.select(F.floor(F.col("at") / fan).cast("bigint").alias("to"), "at", "parts").groupBy("to").applyInArrow(merge, schema)
+        left = -(-left // fan)
+    rows = parts.collect()  # one, or none for an empty table
+    return opened(bytes(rows[0]["parts"])) if rows else None
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:

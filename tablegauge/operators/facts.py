@@ -29,7 +29,7 @@ from tablegauge.functions.nulls import quoted, sql_name
 from tablegauge.functions.session import together
 from tablegauge.functions.probes import DATETIME_FORMATS, NUMBER_PATTERN, parse_datetime, parse_number
 from tablegauge.operators import distinct as D
-from tablegauge.operators.quantiles import quantiles
+from tablegauge.operators.quantiles import quantiles, sketched_quantiles
 
 @dataclass
 class ColumnFacts:
@@ -105,13 +105,14 @@ def collect_facts(
     df: DataFrame,
     *,
     distinct: str = "exact",
-    quartiles: bool = True,
+    quartiles: bool | str = True,
     probes: bool = True,
 ) -> TableFacts:
     """All facts of a table whose missing values are all NULL (see ``normalize_nulls``).
 
     ``distinct`` is exact, approx (sketches) or skip: then the number of values, and what follows from
-    it, is unknown (None).
+    it, is unknown (None). ``quartiles`` is true, false, or approx: then they are values near the rank (see
+    ``quantiles.rank_error``), found by sketches in one pass.
     Passes that do not need each other are submitted together; Spark shares its cores among them.
     """
     flat = text_form(df)
@@ -126,7 +127,7 @@ def collect_facts(
         if distinct != "skip":
             work.append(lambda: _distinct_pass(flat, facts, distinct))
         if quartiles:
-            work.append(lambda: _quartile_pass(df, facts))
+            work.append(lambda: _quartile_pass(df, facts, quartiles == "approx"))
         together(work)
         if quartiles:
             _outlier_pass(df, facts)
@@ -236,11 +237,11 @@ def _known(moment: float | None, flat: bool) -> float | None:
     return None if flat or moment is None or not math.isfinite(moment) else moment
 
 
-def _quartile_pass(df: DataFrame, facts: TableFacts) -> None:
+def _quartile_pass(df: DataFrame, facts: TableFacts, sketched: bool) -> None:
     chosen = [c for c in facts.columns if c.has_stats]
     if chosen:
-        found = quantiles(df, {c.name: _plain(c) for c in chosen}, [0.25, 0.5, 0.75],
-                          {c.name: c.present for c in chosen})
+        exprs, shares = {c.name: _plain(c) for c in chosen}, [0.25, 0.5, 0.75]
+        found = sketched_quantiles(df, exprs, shares) if sketched else quantiles(df, exprs, shares, {c.name: c.present for c in chosen})
         for c in chosen:
             c.quartiles = found[c.name]
 

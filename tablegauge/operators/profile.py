@@ -127,7 +127,7 @@ def profile_table(
     target: str | None = None,
     *,
     distinct: str = "exact",
-    quartiles: bool = True,
+    quartiles: bool | str = True,
     duplicates: bool = True,
 ) -> TableProfile:
     """Run the passes over ``df`` and return its profile."""

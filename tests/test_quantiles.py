@@ -31,7 +31,7 @@ def cases():
 
 @pytest.mark.parametrize("name", list(cases()))
 def test_order_statistics_equal_sorting(spark, monkeypatch, name):
-    monkeypatch.setattr(Q, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(Q, "SKETCH_SIZE", 100)
     monkeypatch.setattr(Q, "FINISH_ROWS", 50)
     values = [v for v in cases()[name] if v == v]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 10, "x double").repartition(4)
@@ -42,7 +42,7 @@ def test_order_statistics_equal_sorting(spark, monkeypatch, name):
 
 
 def test_column_quantiles_interpolate(spark, monkeypatch):
-    monkeypatch.setattr(Q, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(Q, "SKETCH_SIZE", 200)
     monkeypatch.setattr(Q, "FINISH_ROWS", 100)
     data = {k: v for k, v in cases().items() if k in ("uniform", "ordered", "two_hot")}
     rows = list(zip(*data.values()))
@@ -74,3 +74,17 @@ def test_grouped_quantiles_with_a_hot_group(spark):
 def test_ordered_codes(spark):
     df = spark.createDataFrame([(v,) for v in ("b", "a", "c", "a", None)], "x string")
     assert {r["value"]: r["code"] for r in ordered_codes(df, "x").collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+@pytest.mark.parametrize("name", list(cases()))
+def test_sketches_are_near_in_rank(spark, monkeypatch, name):
+    monkeypatch.setattr(Q, "SKETCH_SIZE", 300)
+    values = sorted(v for v in cases()[name] if v == v)
+    df = spark.createDataFrame([(v, None) for v in values] + [(None, None), (float("nan"), None)], "x double, e double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = Q.sketched_quantiles(df, {"x": F.col("x"), "e": F.col("e")}, shares)
+    assert got["e"] == [None] * len(shares)
+    for share, v in zip(shares, got["x"]):
+        below, upto = sum(w < v for w in values) / len(values), sum(w <= v for w in values) / len(values)
+        assert below - Q.rank_error(300) <= share <= upto + Q.rank_error(300), (share, v)
+    assert Q.sketched_quantiles(df, {}, shares) == {}
