@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,23 @@ class Subwords:
         known = [len(self.ids.fast.decode_single_token_bytes(i)) for i in range(self.ids.fast.max_token_value + 1)]
         self.octets = np.array(known, dtype=np.int64)
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.ids.path)
+        own.encode_special_tokens = True  # their strings in a text are ordinary text
+        return own
+
+    def encoded(self, text: str) -> list[int]:
+        """The ids of a text; what the faster library refuses, as it does very long runs of white space, goes to the other."""
+        try:
+            return self.ids.fast.encode_ordinary(text)
+        except BaseException as refused:  # its panic is no Exception
+            if isinstance(refused, KeyboardInterrupt | SystemExit):
+                raise
+        return self.exact.encode(text, add_special_tokens=False).ids
+
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each word has.
 
@@ -70,13 +88,13 @@ class Subwords:
         if not words:
             return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        found = np.array(self.ids.fast.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "surrogatepass")), dtype=np.int32)
+        found = np.array(self.encoded((b" " + b" ".join(words)).decode("utf-8", "surrogatepass")), dtype=np.int32)
         begins = np.cumsum(self.octets[found]) - self.octets[found]
         wanted = np.cumsum(sizes) - sizes
         at = np.searchsorted(begins, wanted)
         if (begins[np.minimum(at, len(begins) - 1)] == wanted).all():
             return found, np.diff(np.append(at, len(found)))
-        each = [self.ids.fast.encode_ordinary(" " + w.decode("utf-8", "surrogatepass")) for w in words]
+        each = [self.encoded(" " + w.decode("utf-8", "surrogatepass")) for w in words]
         return np.array([i for e in each for i in e], dtype=np.int32), np.array([len(e) for e in each], dtype=np.int64)
 
 

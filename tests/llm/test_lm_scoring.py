@@ -150,3 +150,13 @@ def test_each_round_trains_on_all_windows(spark):
     for _ in range(2):
         expected = A.trained(expected, vocabulary.row[ids[:, :-1]], vocabulary.kind[ids[:, 1:]], L.RATE, L.BATCH, 0)
     assert np.allclose(L.train(rows, vocabulary, flat, 2), expected, atol=1e-5)
+
+
+@pytest.mark.parametrize("white", ["　", " "])
+def test_long_runs_of_unicode_white_space(white):
+    """A run of white space that one library refuses is encoded by the other, in one line with other words."""
+    words = [b"some", (white * 1_000_000).encode(), b"<|endoftext|>", b"words"]
+    ids, sizes = L.subwords_of(tokenizer_file())(words)
+    assert len(sizes) == 4 and sizes.sum() == len(ids) and (sizes > 0).all()
+    own = L.subwords_of(tokenizer_file())
+    assert ids[:sizes[0]].tolist() == own.encoded(" some") and ids[-sizes[3]:].tolist() == own.encoded(" words")
