@@ -309,9 +309,10 @@ def decoded(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray, ends: np.
     starts, sizes = starts[order], (ends - starts)[order]
     best, came = moves[0] + scores[starts], np.zeros((len(scores), len(moves)), dtype=np.int8)
     finals = np.empty_like(best)
-    active = len(starts)
-    for t in range(1, int(sizes[0]) if len(sizes) else 0):
-        still = int(np.searchsorted(-sizes, -t, side="left"))
+    active, longest = len(starts), int(sizes[0]) if len(sizes) else 0
+    longer = np.searchsorted(-sizes, -np.arange(longest + 1), side="left").tolist()  # stretches of more than so many words
+    for t in range(1, longest):
+        still = longer[t]
         finals[still:active], active = best[still:active], still
         at = starts[:still] + t
         through = best[:still, :, None] + moves
@@ -320,14 +321,16 @@ def decoded(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray, ends: np.
     finals[:active] = best[:active]
     now = (finals + moves[:, 0]).argmax(axis=1).astype(np.int8)  # the next word is outside
     out[starts + sizes - 1] = now
-    for t in range(int(sizes[0]) - 2 if len(sizes) else -1, -1, -1):
-        more = int(np.searchsorted(-sizes, -(t + 1), side="left"))
+    for t in range(longest - 2, -1, -1):
+        more = longer[t + 1]
         at = starts[:more] + t
         now[:more] = came[at + 1, now[:more]]
         out[at] = now[:more]
     return out
 
 
+#: Characters of a span that the field finds, at most.
+LONGEST_SPAN = 100
 EDGES = ".,;:!?'\"<>"
 OPENING, CLOSING = "([{", ")]}"
 #: Last parts of the host names that are spelled out without brackets.
@@ -341,9 +344,9 @@ LOCAL_PHONE = re.compile(r"\([0-9]{2,5}\)\s?[0-9]{3,4}(?:[ .-]?[0-9]{3,4})+|(?:1
 
 def believed(kind: str, text: str) -> bool:
     """Whether the words that the field has found can be of the kind."""
-    digits = digits_of(text) if len(text) <= 100 else ""
+    digits = digits_of(text) if len(text) <= LONGEST_SPAN else ""
     if kind == "email":
-        return len(text) <= 100 and bool(SPELLED_EMAIL.fullmatch(text))
+        return len(text) <= LONGEST_SPAN and bool(SPELLED_EMAIL.fullmatch(text))
     if kind == "ip":
         return bool(SPELLED_IP.fullmatch(text)) and is_ip(".".join(re.findall("[0-9]+", text)))
     if kind == "card":
@@ -352,8 +355,14 @@ def believed(kind: str, text: str) -> bool:
 
 
 def trimmed(line: str, a: int, b: int) -> tuple[int, int]:
-    """The place without marks at its ends and without brackets around it or open at one end."""
-    while a < b:
+    """The place without marks at its ends and without brackets around it or open at one end.
+
+    What is then longer than any span can be is left as it is.
+    """
+    text = line[a:b].lstrip(EDGES)
+    a = b - len(text)
+    b = a + len(text.rstrip(EDGES))
+    while a < b <= a + 2 * LONGEST_SPAN:
         first, last, n = line[a], line[b - 1], b - a
         open_ = {c: line.count(c, a, b) - line.count(d, a, b) for c, d in zip(OPENING, CLOSING)}
         if first in EDGES or first in OPENING and open_[first] > 0:

@@ -37,10 +37,10 @@ def test_patterns_on_random_texts():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("x" * 1_000_000 + "@", "1" * 1_000_000, "1 " * 500_000, "@" * 200_000, "a@" * 200_000, "1." * 300_000, "+1" + " (" * 400_000, "+1 " * 200_000, "(1) at dot " * 60_000):
+    for text in ("x" * 1_000_000 + "@", "1" * 1_000_000, "1 " * 500_000, "@" * 200_000, "a@" * 200_000, "1." * 300_000, "+1" + " (" * 400_000, "+1 " * 200_000, "(1) at dot " * 60_000, "415-555-0134" + "." * 1_000_000, "(" * 300_000 + "415-555-0134", "415-555-0134" + ")" * 300_000):
         began = time.time()
         P.personal_spans([text], P.Decoder(P.field()))
-        assert time.time() - began < 20, text[:10]
+        assert time.time() - began < 60, text[:10]  # a quadratic search would take hours
 
 
 def brute(scores, moves):
@@ -103,7 +103,7 @@ def test_held_out_accuracy():
 
 @pytest.mark.parametrize("text,kind,found", [
     ("call (988) 555-2485 now", "phone", "(988) 555-2485"), ("(see 415-555-0134)", "phone", "415-555-0134"), ("mail john at example dot com please", "email", "john at example dot com"),
-    ("bob[at]mail.org, ok", "email", "bob[at]mail.org"), ("10[.]0[.]0[.]1 is up", "ip", "10[.]0[.]0[.]1"), ("card 4111.1111.1111.1111 on", "card", "4111.1111.1111.1111"),
+    ("bob[at]mail.org, ok", "email", "bob[at]mail.org"), ("tel 415-555-0134" + "." * 5_000, "phone", "415-555-0134"), ("10[.]0[.]0[.]1 is up", "ip", "10[.]0[.]0[.]1"), ("card 4111.1111.1111.1111 on", "card", "4111.1111.1111.1111"),
 ])
 def test_spelled_otherwise(text, kind, found):
     at = text.index(found)
