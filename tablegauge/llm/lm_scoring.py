@@ -34,9 +34,9 @@ from tablegauge.llm.simhash import LOWER
 OVERLAP = 8
 #: Rounds of training and averaging; each uses all windows.
 ROUNDS = 3
-RATE, BATCH = 0.01, 16
+RATE, BATCH = 0.01, 64
 #: Windows scored at a time.
-SCORED = 128
+SCORED = 64
 #: Bytes of text that a task looks at together.
 TEXT_BYTES = 2 << 20
 #: Arrays that are added up in one task.
@@ -160,11 +160,12 @@ def log_probabilities(p: dict, vocabulary: A.Vocabulary, flat: np.ndarray, text_
     rows, kinds = vocabulary.row[before], vocabulary.kind[flat]
     out = vocabulary.log_share[flat].astype(np.float64)
     begin, until, first = windows_of(text_at)
+    space = A.Space()
     for at in range(0, len(begin), SCORED):
         places = begin[at:at + SCORED, None] + np.arange(A.WINDOW)
         counted = (places < until[at:at + SCORED, None]) & (places >= first[at:at + SCORED, None])
         places = np.minimum(places, len(flat) - 1)
-        out[places[counted]] += A.class_log_probabilities(p, rows[places], kinds[places], counted)
+        out[places[counted]] += A.class_log_probabilities(p, rows[places], kinds[places], counted, space)
     return out
 
 
