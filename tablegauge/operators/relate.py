@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,29 +129,115 @@ _REPORT = (
 )
 
 
-def relationship_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def _space(ta: T.DataType, tb: T.DataType) -> tuple[str, str] | None:
+    """How values of two types are compared, as a name and the form they take; None if they are not."""
+    fa, fb = _family(ta), _family(tb)
+    if fa == fb == "numeric":
+        return "integral", "integral"
+    if {fa, fb} <= {"numeric", "fraction"} and ta != tb:
+        floats = any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (ta, tb))
+        return ("as doubles", "double") if floats else ("as digits", "digits")
+    if fa != fb:
+        return None
+    return (ta.simpleString(), "own") if fa == "fraction" else (fa, "own")
+
+
+def _in_form(c: Column, dtype: T.DataType, form: str) -> list[Column]:
+    """A value as text, and the numbers that order it where it is compared in its own type."""
+    whole, part = F.lit(None).cast("decimal(38,0)"), F.lit(None).cast("double")
+    if form in ("double", "digits"):
+        shown = _number_key(c, dtype, T.DoubleType() if form == "double" else dtype)
+    else:
+        shown = c.cast("string")
+        if form == "integral":
+            whole = c.cast("decimal(38,0)")
+        elif form == "own" and isinstance(dtype, T.DecimalType):
+            whole = F.floor(c).cast("decimal(38,0)")
+            part = (c - F.floor(c)).cast("double")
+        elif form == "own" and isinstance(dtype, (T.FloatType, T.DoubleType)):
+            part = c.cast("double")
+    return [shown.alias("shown"), whole.alias("whole"), part.alias("part")]
+
+
+def _key_values(df: DataFrame, table_no: int, wanted: list[tuple[int, str, str]]) -> DataFrame:
+    """``table_no, space, shown, whole, part``: the non-null values of key columns, read at once.
+
+    ``wanted`` lists (number of the space, column, form).
+    """
+    names = sorted({c for _, c, _ in wanted})
+    flat = normalize_nulls(text_form(df.select(*[quoted(c) for c in names])))
+    each = [F.struct(F.lit(n).alias("space"), *_in_form(quoted(c), flat.schema[c].dataType, form)) for n, c, form in wanted]
+    rows = flat.select(F.explode(F.array(*each)).alias("v")).select("v.*").filter("shown is not null")
+    return rows.select(F.lit(table_no).alias("table_no"), "*")
+
+
+def relationship_report(spark: SparkSession, tables: dict[str, DataFrame], sample: int = 5) -> DataFrame:
     """Every pair of tables: integrity (first to second) and key checks of shared key columns,
-    plus the other shared columns as plain rows."""
-    parts = []
-    keys: dict[tuple[str, str], tuple[bool, int]] = {}  # each key column is checked once
+    plus the other shared columns as plain rows.
+
+    One index answers for all pairs: each table's key columns are read together, equal values of a table are
+    counted before they are shuffled, and every distinct value then knows the tables that hold it. Pairs are added up
+    from the sets of tables that occur. Each table is read three times (counts, sets, examples) however many pairs it is
+    in, and nothing runs before the result is asked for. Values of different
+    kinds never match; columns of a name are compared as ``referential_integrity`` does for each two types.
+    """
+    names, spaces, pairs = list(tables), {}, []
+    types = {(t, f.name): f.dataType for t, df in tables.items() for f in text_form(df).schema}
+    wanted: dict[str, dict[tuple[int, str, str], None]] = {t: {} for t in tables}
+
+    def numbered(t: str, col: str, name: str, form: str) -> int:
+        n = spaces.setdefault((col, name), len(spaces))
+        wanted[t][n, col, form] = None
+        return n
+
     for t1, t2 in combinations(tables, 2):
         for col in column_intersection(tables[t1], tables[t2]):
             if not K.has_word(col, K.JOIN_KEY_WORDS):
                 continue
-            for t in (t1, t2):
-                if (t, col) not in keys:
-                    got = key_uniqueness(tables[t], col).first()
-                    keys[t, col] = (got["is_unique_key"], got["duplicate_count"])
-            facts = []
-            for i, t in ((1, t1), (2, t2)):
-                unique, copies = keys[t, col]
-                facts += [F.lit(unique).alias(f"unique{i}"), F.lit(copies).cast("long").alias(f"duplicates{i}")]
-            parts.append(referential_integrity(tables[t1], col, tables[t2], col).select(
-                F.lit(t1).alias("table1"), F.lit(t2).alias("table2"), F.lit(col).alias("col"),
-                F.lit("FK/PK").alias("relationship_type"), "*", *facts))
+            own = [numbered(t, col, *_space(types[t, col], types[t, col])) for t in (t1, t2)]
+            met = _space(types[t1, col], types[t2, col])
+            if met:
+                n = numbered(t1, col, *met)
+                numbered(t2, col, *met)
+            else:  # a space of its own, where all values of the first table are alone
+                n = numbered(t1, col, f"alone:{t1}", "text")
+            pairs.append((names.index(t1), names.index(t2), t1, t2, col, n, *own))
     plain = shared_columns(column_catalog(spark, tables)).filter(~contains_any(F.col("col"), K.JOIN_KEY_WORDS))
     empty = local_rows(spark, [], _REPORT)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts + [plain], empty)
+    if not pairs:
+        return empty.unionByName(plain, allowMissingColumns=True)
+
+    values = reduce(DataFrame.unionByName, [_key_values(tables[t], names.index(t), list(w)) for t, w in wanted.items() if w])
+    counted = values.groupBy("space", "table_no", text_key(F.col("shown")).alias("key")).agg(
+        F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("shown", "whole", "part")])
+    unique = counted.groupBy("space", "table_no").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+    held = counted.groupBy("space", "key").agg(
+        F.sort_array(F.collect_list("table_no")).alias("held"), *[F.min(c).alias(c) for c in ("shown", "whole", "part")])
+    order = ["whole", "part", "shown"]
+    sets = held.groupBy("space", "held").agg(F.count("*").alias("n"))
+    least = held.withColumn("place", F.row_number().over(Window.partitionBy("space", "held").orderBy(*order))).filter(F.col("place") <= sample)
+
+    asked = F.broadcast(local_rows(  # from the schemas: a row for each pair of tables and key column
+        spark, [(i, *p) for i, p in enumerate(pairs)],
+        "pair int, no1 int, no2 int, table1 string, table2 string, col string, space int, own1 int, own2 int"))
+    here, there = F.array_contains("held", F.col("no1")), F.array_contains("held", F.col("no2"))
+    sums = asked.join(sets, "space").filter(here).groupBy("pair").agg(
+        F.sum("n").alias("total"), F.sum(F.when(there, F.col("n"))).alias("hit"))
+    lost = asked.join(least, "space").filter(here & ~there)
+    first = lost.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy(*order))).filter(F.col("place") <= sample)
+    examples = first.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("place", "shown"))).alias("few"))
+    out = asked.join(sums, "pair", "left").join(examples, "pair", "left")
+    for i in (1, 2):
+        side = unique.select(F.col("space").alias(f"own{i}"), F.col("table_no").alias(f"no{i}"),
+                             (F.col("total") - F.col("distinct")).alias(f"more{i}"))
+        out = out.join(side, [f"own{i}", f"no{i}"], "left").withColumn(f"more{i}", F.coalesce(f"more{i}", F.lit(0)))
+    total, hit = (F.coalesce(c, F.lit(0)) for c in ("total", "hit"))
+    keys = out.select(
+        "table1", "table2", "col", F.lit("FK/PK").alias("relationship_type"), total.alias("total_in_source"), hit.alias("matched"),
+        (total - hit).alias("missing_references"), (total == hit).alias("integrity_ok"),
+        F.coalesce(F.array_join("few.shown", ", "), F.lit("")).alias("sample_missing"),
+        *[c for i in (1, 2) for c in ((F.col(f"more{i}") == 0).alias(f"unique{i}"), F.col(f"more{i}").alias(f"duplicates{i}"))])
+    return empty.unionByName(keys).unionByName(plain, allowMissingColumns=True)
 
 
 def table_ranking(spark: SparkSession, reports: list[dict]) -> DataFrame:

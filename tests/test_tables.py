@@ -1,5 +1,7 @@
 """Relationships, audit, comparison and remediations on small literals."""
 
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,57 @@ def test_relationship_report_has_key_checks_and_plain_columns(spark):
     assert got[("a", "b", "city")]["relationship_type"] == "shared_column"
 
 
+KEYED = {
+    "longs": ("id long, other_key string", [(1, "a"), (2, "b"), (2, None), (-30, "a"), (None, "c" * 100), (400, "d")]),
+    "ints": ("id int, other_key string", [(2, "b"), (400, "b"), (5, "c" * 100)]),
+    "doubles": ("id double, other_key double", [(1.0, 1.0), (2.5, -0.0), (float("nan"), 0.0), (-30.0, 3.0), (1e300, 0.5)]),
+    "decimals": ("id decimal(10,2), other_key decimal(10,2)", [("1.00", "0.50"), ("-2.50", "-1.25"), ("-2.75", None), ("7.10", "3.00")]),
+    "texts": ("id string, other_key string", [("1", "a"), ("2.5", ""), (None, "zz")]),
+    "days": ("id date, other_key string", [("2020-01-02", "a"), ("1999-12-31", "x")]),
+    "none": ("id long, other_key string", []),
+}
+
+
+def keyed(spark):
+    out = {}
+    for name, (schema, rows) in KEYED.items():
+        plain = ", ".join(f"{c.split()[0]} {'double' if 'double' in c else 'string'}" for c in schema.replace("(10,2)", "").split(", "))
+        df = spark.createDataFrame([tuple(v if isinstance(v, float) or v is None else str(v) for v in r) for r in rows], plain)
+        columns = [c.split(" ") for c in schema.replace("(10,2)", "(10;2)").split(", ")]
+        out[name] = df.select([F.col(c).cast(t.replace(";", ",")).alias(c) for c, t in columns])
+    return out
+
+
+def test_relationship_report_agrees_with_the_checks_of_each_pair(spark):
+    tables = keyed(spark)
+    got = {(r["table1"], r["table2"], r["col"]): r for r in L.relationship_report(spark, tables).collect()}
+    pairs = list(combinations(tables, 2))
+    assert set(got) == {(a, b, c) for a, b in pairs for c in ("id", "other_key")}
+    unique = {(t, c): L.key_uniqueness(df, c).first() for t, df in tables.items() for c in ("id", "other_key")}
+    for a, b in pairs:
+        for c in ("id", "other_key"):
+            r = got[a, b, c].asDict()
+            wanted = L.referential_integrity(tables[a], c, tables[b], c).first().asDict()
+            assert {k: r[k] for k in wanted} == wanted, (a, b, c)
+            for i, t in ((1, a), (2, b)):
+                assert (r[f"unique{i}"], r[f"duplicates{i}"]) == (unique[t, c]["is_unique_key"], unique[t, c]["duplicate_count"])
+
+
+def test_relationship_report_starts_no_job_and_its_reads_do_not_grow_with_the_pairs(spark, tmp_path):
+    tables = {}
+    for i in range(5):
+        spark.range(10 * i, 10 * i + 30).withColumn("region_key", F.col("id") % 3).write.parquet(str(tmp_path / f"t{i}"))
+        tables[f"t{i}"] = spark.read.parquet(str(tmp_path / f"t{i}"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    report = L.relationship_report(spark, tables)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert len(report.collect()) == 20
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= 3 * len(tables)  # counts, sets of tables, examples
+
+
 def test_comparison_goes_on_after_an_empty_table(spark):
     tables = {
         "good": spark.range(50).select((F.col("id") % 9).alias("m")),
