@@ -121,15 +121,11 @@ def text_tops(df: DataFrame, names: list[str]) -> DataFrame:
 def smallest_top_text(df: DataFrame, name: str, top_freq: int) -> DataFrame:
     """``(top_value)`` of a column of long texts: the smallest text among the most frequent.
 
-    Keys are digests there, so the winners are looked up again in the rows. When every text
-    occurs once, all of them win and no lookup is needed.
+    Keys are digests there. Equal texts become one row, which keeps the text, before anything is shuffled, so
+    no task meets all rows of a frequent one. When every text occurs once, all of them win.
     """
-    flat = text_form(df.select(quoted(name).alias("v")))
+    flat = text_form(df.select(quoted(name).alias("v"))).dropna()
     if top_freq > 1:
-        key = text_key(F.col("v"))
-        winners = (
-            flat.dropna().groupBy(key.alias("k")).agg(F.count("*").alias("freq"))
-            .filter(F.col("freq") == top_freq).select("k")
-        )
-        flat = flat.withColumn("k", key).join(winners, "k", "left_semi")
+        counted = flat.groupBy(text_key(F.col("v")).alias("k")).agg(F.count("*").alias("freq"), F.min("v").alias("v"))
+        flat = counted.filter(F.col("freq") == top_freq)
     return flat.agg(F.min("v").alias("top_value"))

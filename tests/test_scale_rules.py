@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions import joins as J
 from tablegauge.functions.failures import cannot_read
 from tablegauge.operators.correlation import correlations
+from tablegauge.operators.distinct import smallest_top_text
 from tablegauge.operators.learn import encode_labels
 from tablegauge.operators.profile import profile_table
 from tablegauge.operators.relate import referential_integrity
@@ -106,3 +107,13 @@ def test_only_read_errors_are_passed_over(spark):
     with pytest.raises(PySparkException) as failed:
         spark.range(1).select(F.raise_error(F.lit("a task failed"))).collect()
     assert not cannot_read(failed.value)
+
+
+def test_most_frequent_long_text_needs_no_join(spark):
+    texts = [c * 200 for c in "dcba"]
+    rows = [(t,) for t, n in zip(texts, (5, 900, 900, 1)) for _ in range(n)] + [(None,)] * 2000
+    df = spark.createDataFrame(rows, "v string").repartition(6)
+    got = smallest_top_text(df, "v", 900)
+    assert got.first()["top_value"] == texts[2]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert smallest_top_text(df.distinct(), "v", 1).first()["top_value"] == texts[3]
