@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablegauge.functions.classes import columns_of
-from tablegauge.functions.nulls import finite, quoted
+from tablegauge.functions.nulls import quoted
 from tablegauge.functions.session import checkpointed, local_rows
 
 
@@ -23,18 +23,6 @@ def varies(x: Column) -> Column:
     return F.min(x) != F.max(x)
 
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson's r over the rows that have both sides; NULL where a side does not vary there.
-
-    (The built-in raises a division error for a side without spread.)
-    """
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    r = F.when(varies(x) & varies(y), finite(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))))
-    # Rounding may carry a perfect r past one; greatest and least alone would hide a NULL.
-    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
-
-
 # Bytes of partial results that one task merges; at least two of them.
 _MERGE_BYTES = 256 << 20
 _FAN = 64
@@ -116,6 +104,76 @@ def _moments(df: DataFrame, names: list[str]) -> np.ndarray | None:
     return opened(bytes(rows[0]["parts"])) if rows else None
 
 
+def _r(m: np.ndarray) -> np.ndarray:
+    """r of each two columns from their matrices; NaN where it is undefined."""
+    with np.errstate(all="ignore"):
+        r = m[_PRODUCTS] / np.sqrt(m[_SQUARES] * m[_SQUARES].T)
+    known = np.isfinite(r) & (m[_LOW] < m[_HIGH]) & (m[_LOW] < m[_HIGH]).T
+    return np.where(known, np.clip(r, -1.0, 1.0), np.nan)
+
+
+def mean_abs_correlation_by(df: DataFrame, keys: list[str], names: list[str], fan: int = _FAN) -> DataFrame:
+    """The keys and ``correlation``: the mean |r| over all pairs of columns with a defined r; NULL without any.
+
+    A task keeps matrices for each combination of the keys that it meets, and hands them on when they take
+    ``_MERGE_BYTES`` together; no row is multiplied by pairs. The parts of a combination are merged ``fan`` at a time by
+    the tasks that sent them, so one dataset may hold most of the rows.
+    """
+    width, k = len(names), len(keys)
+    size = 6 * 8 * width * width
+    fan = max(2, min(fan, _MERGE_BYTES // size))
+    cells = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keys)], *[quoted(c).cast("double").alias(str(i)) for i, c in enumerate(names)])
+    key_fields = [f"`k{i}` {cells.schema[i].dataType.simpleString()}" for i in range(k)]
+    schema = ", ".join([*key_fields, "at bigint", "parts binary"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, kept = TaskContext.get().partitionId(), {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for own, total in kept.values():
+                yield pa.RecordBatch.from_arrays([*own, pa.array([node], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=[*[f"k{i}" for i in range(k)], "at", "parts"])
+            kept.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.column_stack([c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[:k]])
+            _, first, which = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[k:]])
+            for n, at in enumerate(first.tolist()):
+                own = [c.slice(at, 1) for c in batch.columns[:k]]
+                key, block = repr([c.to_pylist() for c in own]), _block(x[which.reshape(-1) == n])
+                kept[key] = (own, _merged(kept[key][1], block) if key in kept else block)
+                if len(kept) * size > _MERGE_BYTES:
+                    yield from sent()
+        yield from sent()
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        total = reduce(_merged, (np.frombuffer(b.as_py(), dtype=float).reshape(6, width, width) for b in group.column("parts")))
+        one = group.slice(0, 1).select([*[f"k{i}" for i in range(k)], "at", "parts"])
+        one = one.set_column(k, "at", pa.array([key[-1].as_py()], pa.int64()))
+        return one.set_column(k + 1, "parts", pa.array([total.tobytes()], pa.binary()))
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = np.triu_indices(width, 1)
+        for batch in batches:
+            found = [np.abs(_r(np.frombuffer(b.as_py(), dtype=float).reshape(6, width, width))[upper]) for b in batch.column("parts")]
+            means = [float(np.nanmean(r)) if np.isfinite(r).any() else None for r in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(means, pa.float64())], names=[*[f"k{i}" for i in range(k)], "r"])
+
+    parts = checkpointed(cells.mapInArrow(partial, schema))
+    left = (parts.agg(F.max("at")).first()[0] or 0) + 1
+    while True:  # once at least: a task may send several parts of a combination
+        parts = parts.select(*[f"k{i}" for i in range(k)], "at", "parts", F.floor(F.col("at") / fan).cast("bigint").alias("to")).groupBy(
+            *[f"k{i}" for i in range(k)], "to").applyInArrow(merge, schema)
+        left = -(-left // fan)
+        if left <= 1:
+            break
+    found = parts.mapInArrow(mean, ", ".join([*key_fields, "r double"]))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], F.col("r").alias("correlation"))
+
+
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
     """r of each pair, over the rows in which both sides are present (no NaN, see ``normalize_nulls``)."""
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
@@ -123,11 +181,8 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
     if m is None:
         return dict.fromkeys(pairs)
     at = {c: i for i, c in enumerate(names)}
-    with np.errstate(all="ignore"):
-        r = m[_PRODUCTS] / np.sqrt(m[_SQUARES] * m[_SQUARES].T)
-    known = np.isfinite(r) & (m[_LOW] < m[_HIGH]) & (m[_LOW] < m[_HIGH]).T
-    r = np.clip(r, -1.0, 1.0)
-    return {(a, b): float(r[at[a], at[b]]) if known[at[a], at[b]] else None for a, b in pairs}
+    r = _r(m)
+    return {(a, b): None if np.isnan(r[at[a], at[b]]) else float(r[at[a], at[b]]) for a, b in pairs}
 
 
 def pair_table(df: DataFrame, names: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from tablegauge.functions.failures import cannot_read
 from tablegauge.functions.joins import joined_by_key
 from tablegauge.functions.nulls import finite, normalize_nulls, quoted
 from tablegauge.functions.session import local_rows, staged
-from tablegauge.operators.correlation import correlations, numeric_columns, safe_corr, varies
+from tablegauge.operators.correlation import correlations, mean_abs_correlation_by, numeric_columns, varies
 from tablegauge.operators.duplicates import duplicate_count
 from tablegauge.operators.facts import TableFacts, collect_facts, outside
 from tablegauge.operators.quantiles import quantiles
@@ -170,21 +170,15 @@ def meta_features_by(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     for c in features:
         gaps = gaps + F.count_if(quoted(c).isNull())
     base = df.groupBy(*keys).agg(F.count("*").alias("n_samples"), gaps.alias("gaps"))
-    # One row per dataset and column, and per dataset and pair, before the means over them.
+    # One row per dataset and column before the means over them; correlations come from matrices of each dataset.
     long = df.select(*keys, *[x[c].alias(c) for c in names]).unpivot(keys, names, "__column", "__value").filter(
         "__value is not null")
     v = F.col("__value")
     moments = long.groupBy(*keys, "__column").agg(
         F.var_samp(v).alias("var"), F.when(varies(v), F.abs(F.skewness(v))).alias("skew"))
     shape = moments.groupBy(*keys).agg(F.avg("var").alias("variance"), F.avg("skew").alias("skewness"))
-    pairs = list(combinations(names, 2))
-    both = [F.when(x[a].isNotNull() & x[b].isNotNull(), F.struct(x[a].alias("x"), x[b].alias("y"))).alias(str(i))
-            for i, (a, b) in enumerate(pairs)]
-    if pairs:
-        met = df.select(*keys, *both).unpivot(keys, [str(i) for i in range(len(pairs))], "__pair", "__both").filter(
-            "__both is not null")
-        rs = met.groupBy(*keys, "__pair").agg(F.abs(safe_corr(F.col("__both.x"), F.col("__both.y"))).alias("r"))
-        related = rs.groupBy(*keys).agg(F.avg("r").alias("correlation"))
+    if len(names) > 1:
+        related = mean_abs_correlation_by(df, keys, names)
     else:
         related = base.select(*keys, F.lit(0.0).alias("correlation"))
     classes = df.dropna(subset=[target]).groupBy(*keys, quoted(target).alias("__class")).agg(F.count("*").alias("n"))

@@ -1,10 +1,12 @@
 """Meta-features, split, baseline and risk model on small fixtures."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablegauge.operators import correlation as R
 from tablegauge.operators import learn as N
 from tablegauge.operators.learn import MacroF1, encode_labels, meta_train_shared
 from tablegauge.operators import meta as M
@@ -45,6 +47,25 @@ def test_meta_features_by_key_equal_those_of_each_part(spark):
         assert {k: by[g][k] for k in one} == pytest.approx(one)
 
 
+@pytest.mark.parametrize("kept", [1, 1 << 20])
+def test_mean_correlation_by_key_in_parts(spark, monkeypatch, kept):
+    monkeypatch.setattr(R, "_MERGE_BYTES", kept)  # matrices are handed on after each key, and merged two at a time
+    names = ["a", "b", "c"]
+    df = spark.range(0, 3000, 1, 7).select(
+        F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "it's").alias("g"), (F.col("id") % 2).alias("h"),
+        ((F.col("id") * 7919) % 101).alias("a"), F.when(F.col("id") % 5 > 0, (F.col("id") * F.col("id")) % 37).alias("b"),
+        F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.col("id") % 11).alias("c"))
+    got = {(r["g"], r["h"]): r["correlation"] for r in R.mean_abs_correlation_by(df, ["g", "h"], names, 2).collect()}
+    assert set(got) == {("hot", 0), ("hot", 1), ("it's", 0), (None, 1)}
+    for (g, h), r in got.items():
+        part = df.filter(F.col("g").eqNullSafe(F.lit(g)) & (F.col("h") == h))
+        known = [abs(x) for x in R.correlations(part, list(combinations(names, 2))).values() if x is not None]
+        assert r == pytest.approx(sum(known) / len(known))
+    flat = df.filter("h = 0").select("g", "c", F.col("c").alias("d"))
+    assert {r["correlation"] for r in R.mean_abs_correlation_by(flat, ["g"], ["c", "d"]).collect()} == {None}
+    assert R.mean_abs_correlation_by(df.limit(0), ["g"], names).collect() == []
+
+
 def test_unknown_target_is_refused(spark):
     with pytest.raises(ValueError, match="not found"):
         M.meta_features(spark.range(3).toDF("a"), "target")
