@@ -56,9 +56,8 @@ class Vocabulary:
 
 #: The last row of ``out``, and of each group in ``inner``, is a bias.
 SHAPES = {"emb": (EMBEDDINGS, WIDTH), "pos": (WINDOW, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "out": (WIDTH + 1, GROUPS), "inner": (GROUPS, WIDTH + 1, MEMBERS)}
-SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
-#: Exponents are bounded, so that their sums do not overflow.
-BOUND = 80
+#: Added to the exponents: a place sees nothing behind it.
+UNSEEN = np.triu(np.full((WINDOW, WINDOW), -np.inf, dtype=np.float32), 1)
 
 
 def unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -104,16 +103,16 @@ def attended(p: dict, rows: np.ndarray, space: Space) -> tuple:
     q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH:2 * WIDTH], qkv[:, :, 2 * WIDTH:]
     att = np.matmul(q, k.transpose(0, 2, 1), out=space("att", kind, *shape, WINDOW))
     att *= np.float32(WIDTH ** -0.5)
-    np.minimum(att, BOUND, out=att)
+    att += UNSEEN
+    att -= att.max(axis=2, keepdims=True)  # the largest of each sum becomes one: it neither overflows nor vanishes
     np.exp(att, out=att)
-    att *= SEEN
     att /= (att @ np.ones(WINDOW, dtype=kind))[:, :, None]
     o = np.matmul(att, v, out=space("o", kind, *shape, WIDTH))
     return x, q, k, v, att, o, np.add(o, x, out=space("h", kind, *shape, WIDTH))
 
 
 def logits(p: dict, h: np.ndarray, places: np.ndarray, kinds: np.ndarray, space: Space) -> tuple:
-    """Unnormalised log probabilities of the groups, and of the classes of the group that ``kinds`` is in, at some places.
+    """Unnormalised log probabilities, zero at most, of the groups, and of the classes of the group that ``kinds`` is in, at some places.
 
     The rows come sorted by that group: also returned are their order, where each group ends, and their features.
     """
@@ -127,7 +126,9 @@ def logits(p: dict, h: np.ndarray, places: np.ndarray, kinds: np.ndarray, space:
     inner = space("inner", h.dtype, len(order), MEMBERS)
     for g, (a, b) in enumerate(zip([0, *ends], ends)):
         np.matmul(f[a:b], p["inner"][g], out=inner[a:b])
-    return order, ends, f, np.minimum(outer, BOUND, out=outer), np.minimum(inner, BOUND, out=inner)
+    for each in (outer, inner):
+        each -= each.max(axis=1, keepdims=True)
+    return order, ends, f, outer, inner
 
 
 def class_log_probabilities(p: dict, rows: np.ndarray, kinds: np.ndarray, wanted: np.ndarray, space: Space | None = None) -> np.ndarray:

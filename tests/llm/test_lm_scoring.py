@@ -85,6 +85,18 @@ def test_gradient_agrees_with_differences():
         assert abs((loss(wide + step) - loss(wide - step)) / 2e-4 - g[i]) < 1e-4
 
 
+def test_large_weights_give_finite_probabilities():
+    """Exponents that would vanish or overflow as they stand: each place has probabilities that add up to one."""
+    own, _, flat = small()
+    rows, one = own.integers(0, A.EMBEDDINGS, (2, A.WINDOW)), np.ones((2, A.WINDOW), dtype=bool)
+    with np.errstate(all="raise", under="ignore"):
+        p = A.unflat(flat * np.float32(60))
+        by_class = np.stack([A.class_log_probabilities(p, rows, np.full(rows.shape, k), one) for k in range(A.CLASSES)])
+        fit = A.trained(flat * np.float32(60), rows, own.integers(0, A.CLASSES, rows.shape), 0.01, 2, 1)
+    assert np.isfinite(by_class).all() and np.allclose(np.exp(by_class.astype(float)).sum(axis=0), 1, atol=1e-3)
+    assert np.isfinite(fit).all()
+
+
 def test_model_is_causal_and_training_helps():
     own, _, flat = small()
     rows, kinds = own.integers(0, A.EMBEDDINGS, (4, A.WINDOW)), own.integers(0, A.CLASSES, (4, A.WINDOW))
