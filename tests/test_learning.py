@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,28 @@ def test_mean_correlation_by_key_in_parts(spark, monkeypatch, kept):
     assert R.mean_abs_correlation_by(df.limit(0), ["g"], names).collect() == []
 
 
+def test_matrices_of_many_small_groups_are_made_together(monkeypatch):
+    """As each group by itself, merged or not; and the number of groups does not make the calls."""
+    own = np.random.default_rng(3)
+    x = own.normal(5, 2, (3000, 4))
+    x[own.random(x.shape) < 0.2] = np.nan
+    x[:40, 1], x[300:310] = 7.0, np.nan
+    starts = np.concatenate([[0], np.sort(own.choice(np.arange(1, 1500), 400, replace=False)), [1500]])
+    ends = np.append(starts[1:], len(x))
+    alone = np.stack([R._block(x[a:b]) for a, b in zip(starts, ends)], axis=1)
+    calls = []
+    monkeypatch.setattr(R, "_block", lambda rows, one=R._block: calls.append(len(rows)) or one(rows))
+    monkeypatch.setattr(R, "_BLOCK_BYTES", 8 * 16 * 200)
+    got = R._grouped(x, starts)
+    assert calls == [1500] and got.shape == alone.shape
+    there = alone[R._N] > 0
+    for i in range(6):
+        assert np.allclose(got[i][there], alone[i][there], rtol=1e-9, atol=1e-9)
+    pairs = R._merged(alone[:, :200], alone[:, 200:400])
+    for g in range(200):
+        assert np.allclose(pairs[:, g], R._merged(alone[:, g], alone[:, 200 + g]), equal_nan=True)
+
+
 def test_unknown_target_is_refused(spark):
     with pytest.raises(ValueError, match="not found"):
         M.meta_features(spark.range(3).toDF("a"), "target")
