@@ -8,7 +8,7 @@ import itertools
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
@@ -218,13 +218,21 @@ def _by_numbers(schema: T.StructType) -> bool:
     return bool(schema.fields) and all(isinstance(f.dataType, T.StructType) and f.dataType.names and all(n.isdigit() for n in f.dataType.names) for f in schema)
 
 
-def _typed_variants(parsed: DataFrame, found: str) -> DataFrame:
-    """The columns of variants with this schema."""
+def _fields_of(found: str) -> T.StructType:
+    """The fields of this schema of variants; column-oriented ones are refused."""
     kind = T._parse_datatype_string(_json_type(found))
-    if not isinstance(kind, T.StructType) or not kind.fields:
-        return parsed.where("v is not null").select()
+    if not isinstance(kind, T.StructType):
+        return T.StructType()
     if _by_numbers(kind):
         raise ValueError("column-oriented JSON; records are expected")
+    return kind
+
+
+def _typed_variants(parsed: DataFrame, found: str) -> DataFrame:
+    """The columns of variants with this schema."""
+    kind = _fields_of(found)
+    if not kind.fields:
+        return parsed.where("v is not null").select()
     return parsed.where("v is not null").select([F.try_variant_get("v", f"$['{f.name}']" if "'" not in f.name else f'$["{f.name}"]', f.dataType.simpleString()).alias(f.name) for f in kind])
 
 
@@ -539,12 +547,65 @@ def _parses(text: str) -> bool:
         return False
 
 
-def scan_archive(spark: SparkSession, path: str | DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+class ArchiveTables(Mapping):
+    """The tables of archives by name; each is planned when it is asked for, so that any number of members costs a few numbers each.
+
+    ``facts`` has, by name, the archive, the member, and the header with the counts of the cells or the schema of the records.
+    """
+
+    def __init__(self, lines: DataFrame, parsed: DataFrame | None, facts: dict[str, tuple]):
+        self._lines, self._parsed, self._facts = lines, parsed, dict(sorted(facts.items()))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._facts)
+
+    def __len__(self) -> int:
+        return len(self._facts)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        archive, member, head, about = self._facts[name]
+        if head is None:
+            return _typed_variants(self._parsed.where((F.col("file.archive") == archive) & (F.col("file.member") == member)), about)
+        return _cells_of(self._lines.where((F.col("archive") == archive) & (F.col("member") == member)), head, *about)
+
+    def together(self, member: str) -> DataFrame:
+        """The members of this path in all archives as one table, by column name, typed by the cells of all: one scan."""
+        own = {a: (head, about) for a, m, head, about in self._facts.values() if m == member}
+        if not own:
+            raise KeyError(member)
+        if next(iter(own.values()))[0] is None:
+            mine = self._parsed.where(F.col("file.member") == member).join(_named(self._parsed, own), F.col("file.archive") == F.col("__archive"), "left_semi")
+            return _typed_variants(mine, mine.where("v is not null").agg(F.expr("schema_of_variant_agg(v)").alias("x")).first()["x"])
+        rows, counts, heads = 0, {}, {}
+        for archive, (head, (n, cells)) in own.items():
+            rows += n
+            heads.setdefault(tuple(head), []).append(archive)
+            for name, found in zip(head, cells):
+                counts[name] = [a + b for a, b in zip(counts.get(name, [0] * 4), found)]
+        mine = self._lines.where(F.col("member") == member)
+        parts = [_cells_of(mine.join(_named(mine, archives), F.col("archive") == F.col("__archive"), "left_semi"), list(head), rows, [counts[c] for c in head])
+                 for head, archives in heads.items()]
+        return reduce(DataFrame.unionByName, parts)  # a part for each header
+
+
+def _named(like: DataFrame, archives: Iterable[str]) -> DataFrame:
+    """The names of some archives, a short one each."""
+    return F.broadcast(local_rows(like.sparkSession, [(a,) for a in archives], "__archive string"))
+
+
+def _cells_of(lines: DataFrame, head: list[str], rows: int, counts: list) -> DataFrame:
+    """The records below a header, typed by the counts of what fits."""
+    own = lines.where((F.col("line_no") > 0) & (F.size("cells") <= len(head)))
+    return own.select([_typed(null_tokens(F.nullif(F.get("cells", F.lit(i)), F.lit(""))), rows, *counts[i]).alias(c) for i, c in enumerate(head)])
+
+
+def scan_archive(spark: SparkSession, path: str | DataFrame) -> tuple[ArchiveTables, DataFrame]:
     """Tables inside one or many ZIP archives, and ``(table_name, error)`` rows for the members that could not be read or are
     empty and for the records that do not fit.
 
     ``path`` is a file, a folder, or rows of ``path, content``. The records are written once to the shared folder, by member,
     so that each table reads only its own part. All members are typed together: the number of jobs does not depend on them.
+    The driver keeps a few numbers for each member and column, and plans a table when it is asked for.
     """
     if isinstance(path, DataFrame):
         unpacked = archive_cells(path)
@@ -562,7 +623,8 @@ def scan_archive(spark: SparkSession, path: str | DataFrame) -> tuple[dict[str,
     name = {(r["archive"], r["member"]): _table_name(r["archive"], r["member"], several) for r in about}
     errors = [(name[r["archive"], r["member"]], r["error"]) for r in about if r["error"]]
     good = [r for r in about if not r["error"]]
-    tables: dict[str, DataFrame] = {}
+    facts: dict[str, tuple] = {}
+    parsed = None
     misfits: list[DataFrame] = []
     file = F.element_at(F.split("archive", "/"), -1)
     table_name = (F.when(F.col("member") == "", file).otherwise(F.concat(file, F.lit("/"), F.col("member"))) if several else F.coalesce(F.nullif("member", F.lit("")), file)).alias("table_name")
@@ -582,8 +644,7 @@ def scan_archive(spark: SparkSession, path: str | DataFrame) -> tuple[dict[str,
             if k not in rows:
                 errors.append((name[k], "empty table"))
                 continue
-            own = lines.where((F.col("archive") == k[0]) & (F.col("member") == k[1]) & (F.col("line_no") > 0) & (F.size("cells") <= len(head)))
-            tables[name[k]] = own.select([_typed(null_tokens(F.nullif(F.get("cells", F.lit(i)), F.lit(""))), rows[k], *types.get((*k, i), [0] * 4)).alias(c) for i, c in enumerate(head)])
+            facts[name[k]] = (*k, head, (rows[k], [types.get((*k, i), [0] * 4) for i in range(len(head))]))
     if jsons:
         texts = lines.where("record is not null").select(F.struct(*key).alias("file"), F.col("record").alias("value"))
         parsed = _parsed(texts)
@@ -594,14 +655,15 @@ def scan_archive(spark: SparkSession, path: str | DataFrame) -> tuple[dict[str,
             k = r["archive"], r["member"]
             try:
                 if k in schemas:
-                    tables[name[k]] = _typed_variants(parsed.where((F.col("file.archive") == k[0]) & (F.col("file.member") == k[1])), schemas[k])
+                    _fields_of(schemas[k])
+                    facts[name[k]] = (*k, None, schemas[k])
                 else:
                     errors.append((name[k], "empty table"))
             except ValueError as exc:
                 errors.append((name[k], str(exc)))
     errors += [(name[r["archive"], r["member"]], "empty table") for r in good if r["head"] is None and not r["is_json"]]
     unread = reduce(DataFrame.unionByName, misfits, local_rows(spark, errors, "table_name string, error string"))
-    return {n: tables[n] for n in sorted(tables)}, unread
+    return ArchiveTables(lines, parsed, facts), unread
 
 
 def _table_name(archive: str, member: str, several: bool) -> str:

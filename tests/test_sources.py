@@ -114,6 +114,24 @@ def test_two_archives_and_one_that_is_none(spark, tmp_path):
     assert [r["table_name"] for r in errors.collect()] == ["c.zip"]
 
 
+def test_members_of_many_archives_as_one_table(spark, tmp_path):
+    """By column name, typed by the cells of all, with one scan for each header however many archives there are."""
+    for n in range(8):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
+            z.writestr("d/t.csv", f"k,x\n{n},{n}.5\n" if n % 2 else f"x,k\n{n},{n}\n")
+            z.writestr("d/r.json", f'[{{"k": {n}, "y": {n if n % 2 else n + 0.5}}}]' if n < 7 else '{"0": {"0": 1}}')
+    tables, errors = R.scan_archive(spark, str(tmp_path))
+    assert len(tables) == 15 and [r["table_name"] for r in errors.collect()] == ["7.zip/d/r.json"]
+    cells, records = tables.together("d/t.csv"), tables.together("d/r.json")
+    assert dict(cells.dtypes) == {"k": "bigint", "x": "double"} and dict(records.dtypes) == {"k": "bigint", "y": "double"}
+    assert sorted((r["k"], r["x"]) for r in cells.collect()) == [(n, n + 0.5 if n % 2 else float(n)) for n in range(8)]
+    assert sorted((r["k"], r["y"]) for r in records.collect()) == [(n, float(n) if n % 2 else n + 0.5) for n in range(7)]
+    for df, scans in ((cells, 2), (records, 1)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == scans
+    with pytest.raises(KeyError):
+        tables.together("t.csv")
+
+
 def test_archive_analysis_compares_its_tables(spark, archive):
     got = analyze_path(spark, archive)
     assert set(got.reports) == {"lines.json", "one/t.csv", "records.json", "two/t.csv"}
