@@ -127,7 +127,7 @@ def test_members_of_many_archives_as_one_table(spark, tmp_path):
     assert sorted((r["k"], r["x"]) for r in cells.collect()) == [(n, n + 0.5 if n % 2 else float(n)) for n in range(8)]
     assert sorted((r["k"], r["y"]) for r in records.collect()) == [(n, float(n) if n % 2 else n + 0.5) for n in range(7)]
     for df, scans in ((cells, 2), (records, 1)):
-        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == scans
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == scans
     with pytest.raises(KeyError):
         tables.together("t.csv")
 
