@@ -181,3 +181,21 @@ def test_large_inputs_are_read_again_with_the_same_result(spark, monkeypatch):
     kept = [tuple(r) for r in column_profile(df).collect()]
     monkeypatch.setattr(session.staged.__wrapped__, "__defaults__", (0,))
     assert [tuple(r) for r in column_profile(df).collect()] == kept
+
+
+def test_formats_that_the_ends_do_not_follow_are_not_tried_per_row(spark, monkeypatch):
+    from tablegauge.operators import facts
+
+    tried, plain = [], facts.parse_datetime
+
+    def watched(text, fmt, pattern):
+        tried.append((str(text), fmt))
+        return plain(text, fmt, pattern)
+
+    monkeypatch.setattr(facts, "parse_datetime", watched)
+    rows = [("2024-01-0%d" % i, "n%d" % i, "1.%d" % i, "12:0%d" % i if i != 5 else "x") for i in range(1, 9)] + [(None,) * 4]
+    df = spark.createDataFrame(rows, "made string, note string, price string, clock string")
+    found = facts.collect_facts(df, distinct="skip", quartiles=False)
+    assert [c.suggested for c in found.columns] == ["datetime", "", "numeric", ""]
+    assert {fmt for text, fmt in tried if "note" in text or "price" in text} == set()
+    assert {fmt for text, fmt in tried if "made" in text} == {"yyyy-MM-dd"}

@@ -88,3 +88,29 @@ def test_sketches_are_near_in_rank(spark, monkeypatch, name):
         below, upto = sum(w < v for w in values) / len(values), sum(w <= v for w in values) / len(values)
         assert below - Q.rank_error(300) <= share <= upto + Q.rank_error(300), (share, v)
     assert Q.sketched_quantiles(df, {}, shares) == {}
+
+
+def test_rows_are_read_three_times_however_many_rounds_follow(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SKETCH_SIZE", 100)
+    monkeypatch.setattr(Q, "FINISH_ROWS", 10)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    n = 4000
+    df = spark.range(n).selectExpr("cast(id * 7 % 4001 as double) as x").mapInArrow(watched, "x double")
+    got = Q.quantiles(df, {"x": F.col("x")}, [0.25, 0.5, 0.75], {"x": n})
+    assert got["x"] == pytest.approx([reference([i * 7 % 4001 for i in range(n)], p) for p in (0.25, 0.5, 0.75)])
+    assert seen.value <= 3 * n
+
+
+def test_a_computed_column_is_not_computed_for_each_end_of_an_interval(spark):
+    df = spark.range(10).selectExpr("case when not isnan(sqrt(id)) then sqrt(id) + 0.0D end as x")
+    hunts = [Q._Hunt("x", 1, 0.5, 1.5), Q._Hunt("x", 4, 1.5, 2.5)]
+    cells = Q._cells(df, {"x": F.col("x")}, hunts)
+    assert sorted(r["value"] for r in cells.collect()) == pytest.approx([1.0, 2**0.5, 3**0.5, 2.0, 5**0.5, 6**0.5])
+    plan = cells._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("sqrt(") <= 2
