@@ -1,8 +1,9 @@
-"""Distinct counts and most frequent values of many columns in one pass per value type.
+"""Distinct counts and most frequent values of many columns in one pass for numbers and one for text.
 
-Columns are turned into ``(column_name, value)`` rows by type family, so integers, floats and
+Where values are counted, columns are turned into ``(column_name, value)`` rows by type family, so integers, floats and
 text each travel in their own type, and one grouped count serves all columns of a family. Text
-longer than ``LONG_TEXT`` bytes travels as its SHA-256 instead.
+longer than ``LONG_TEXT`` bytes travels as its SHA-256 instead. Numbers of which only the different ones are wanted
+travel as 64-bit integers (see ``collapse``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 from tablegauge.functions.classes import INTEGRALS, text_form
 from tablegauge.functions.nulls import quoted, sql_name
+from tablegauge.functions.session import local_rows
+from tablegauge.operators.collapse import distinct_numbers
 
 LONG_TEXT = 64
 
@@ -82,11 +85,29 @@ def frequency_table(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return out
 
 
-def distinct_parts(df: DataFrame, names: list[str] | None = None) -> list[DataFrame]:
-    """``(column_name, n_distinct)`` per type family; a column without any value has no row."""
-    found = [long_values(df, family, names) for family in ("bigint", "double", "string")]
-    return [rows.distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct"))
-            for rows in found if rows is not None]
+def _number_parts(df: DataFrame, names: list[str] | None, values: int | None) -> DataFrame | None:
+    """``(column_name, n_distinct)`` of the columns that are numbers, dates or flags."""
+    df = text_form(df)
+    chosen = [f for f in df.schema if _family(f.dataType) != "string" and (names is None or f.name in names)]
+    if not chosen:
+        return None
+    cells = [(_as_long(sql_name(f.name), f.dataType) if _family(f.dataType) == "bigint" else f"cast({sql_name(f.name)} as double)") + f" as `{i}`"
+             for i, f in enumerate(chosen)]
+    places = local_rows(df.sparkSession, [(i, f.name) for i, f in enumerate(chosen)], "a long, column_name string")
+    counted = distinct_numbers(df.selectExpr(*cells), values)
+    return counted.join(F.broadcast(places), "a").select("column_name", "n_distinct")  # a row per column
+
+
+def distinct_parts(df: DataFrame, names: list[str] | None = None, values: int | None = None) -> list[DataFrame]:
+    """``(column_name, n_distinct)`` of the numbers and of the text; a column without any value has no row.
+
+    ``values`` is how many the columns that are no text hold together, if that is known.
+    """
+    texts = long_values(df, "string", names)
+    found = [_number_parts(df, names, values)]
+    if texts is not None:
+        found.append(texts.distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct")))
+    return [part for part in found if part is not None]
 
 
 def distinct_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:

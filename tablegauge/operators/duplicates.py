@@ -1,7 +1,8 @@
 """Rows that equal an earlier row, without shuffling whole rows.
 
 Counting groups a 128-bit digest per row, so some 30 bytes travel per distinct row whatever its
-width, and equal rows collapse in the map-side aggregation, however hot they are. Listing the
+width, and equal rows collapse before the shuffle, however hot they are (without keys by ``collapse``, which does not spill where
+nearly all rows differ). Listing the
 repeated rows themselves compares full contents: a 64-bit hash finds the candidates, and only
 they are grouped by all their cells.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.classes import text_form
 from tablegauge.functions.nulls import normalize_nulls, quoted
+from tablegauge.operators.collapse import pair_copies
 
 
 def row_digest(df: DataFrame) -> list[Column]:
@@ -33,7 +35,10 @@ def duplicate_count(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """
     flat = normalize_nulls(text_form(df))
     digests = flat.select(*[quoted(k) for k in keys], *row_digest(flat))
-    copies = digests.groupBy(*keys, "__h1", "__h2").agg(F.count("*").alias("copies"))
+    if keys:
+        copies = digests.groupBy(*keys, "__h1", "__h2").agg(F.count("*").alias("copies"))
+    else:
+        copies = pair_copies(digests)
     extra = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long")
     return copies.groupBy(*keys).agg(extra.alias("duplicate_rows"))
 

@@ -197,7 +197,7 @@ def _distinct_pass(flat: DataFrame, facts: TableFacts, how: str, probed: list[Co
     if other and how == "approx":
         work.append(lambda: others(D.approx_distinct_counts(flat, other)))
     elif other:
-        work += [lambda p=p: others(p) for p in D.distinct_parts(flat, other)]
+        work += [lambda p=p: others(p) for p in D.distinct_parts(flat, other, sum(facts[c].present for c in other))]
     together(work)
 
 
