@@ -197,10 +197,12 @@ def scan_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool |
 
 def _parsed(rows: DataFrame) -> DataFrame:
     """file, record (where it is no JSON object), v: each text parsed once, written to the shared folder."""
-    # In brackets, or else what follows a complete object would be passed over.
-    within = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
-    begins = F.startswith(F.trim(F.translate("value", "\t\r\n\ufeff", "   ")), F.lit("{"))
-    parsed = rows.select("file", "value", within.alias("x"), begins.alias("object")).select(
+    bare = F.trim(F.translate("value", "\t\r\n\ufeff", "   "))
+    braces = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+    # In brackets, or else what follows a complete object would be passed over. A text without the braces of an object is not
+    # tried, as a failing parse costs far more than a look at its ends.
+    within = F.when(braces, F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))))
+    parsed = rows.select("file", "value", within.alias("x"), braces.alias("object")).select(
         "file", "value", "object", F.variant_get("x", "$[0]", "variant").alias("v"), F.variant_get("x", "$[1]", "variant").isNull().alias("single"))
     good = F.col("v").isNotNull() & F.col("single") & F.col("object")
     path = fresh_path(rows.sparkSession, "json")

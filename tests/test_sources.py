@@ -166,3 +166,24 @@ def test_report_document_and_history(spark, tmp_path):
     assert history_summary(stored).first().asDict() == {
         "datasets": 4, "good": 1, "needs_attention": 1, "poor": 2, "recent_avg_score": 45}
     assert [r["table_name"] for r in history_recent(stored).collect()] == ["t4", "t3", "t2"]
+
+
+def test_texts_without_braces_are_no_objects_and_not_parsed(spark, monkeypatch):
+    texts = ['{"a":1}', ' {"a":2}\t', '{"a":3} x', '{"a":4},{"a":5}', "{", "}", '"a":6}', '{"a":7', "[{}]", "8", '{"a" 9}', '﻿{"a":10}']
+    tried, parse = [], R.F.try_parse_json
+    monkeypatch.setattr(R.F, "try_parse_json", lambda x: tried.append(1) or R.F.when(R.F.length(x) < 6, R.F.raise_error(x)).otherwise(parse(x)))
+    parsed = R._parsed(spark.createDataFrame([("f", t) for t in texts], "file string, value string"))
+    rows = parsed.selectExpr("record", "to_json(v) as v").collect()
+    assert tried and sorted(r["v"] for r in rows if r["v"]) == ['{"a":1}', '{"a":2}']
+    assert sorted(r["record"] for r in rows if r["record"]) == sorted(texts[2:])
+
+
+def test_arrays_are_written_as_more_files_where_there_are_more_rows(spark, tmp_path):
+    from suite.files import _arrays
+
+    rows = spark.range(40).selectExpr("id", "to_json(struct(id)) as value")
+    _arrays(rows, "id", f"{tmp_path}/many", most=5)
+    found = [f for f in (tmp_path / "many").rglob("*.txt")]
+    assert 4 < len(found) <= 8
+    good, bad = R.scan_json_rows(spark, f"{tmp_path}/many")
+    assert sorted(r["id"] for r in good.collect()) == list(range(40)) and bad.count() == 0
