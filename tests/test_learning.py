@@ -1,5 +1,6 @@
 """Meta-features, split, baseline and risk model on small fixtures."""
 
+import json
 import random
 from itertools import combinations
 
@@ -261,3 +262,38 @@ def test_folds_searched_together_give_the_scores_of_the_cross_validator(spark, m
     assert [r["mean"] for r in model.scores] == pytest.approx(fitted.avgMetrics)
     assert [r["deviation"] for r in model.scores] == pytest.approx(fitted.stdMetrics)
     assert forest.toDebugString.splitlines()[1:] == fitted.bestModel.stages[-1].toDebugString.splitlines()[1:]
+
+
+def _few_settings(spark, monkeypatch):
+    """The queries over 60 rows of their own and a search of two settings; the trainings and readings of models are listed."""
+    from suite import learning as Q
+
+    own = random.Random(6)
+    rows = [(i, own.choice(["Overfitting Risk", "Safe Dataset", "Underfitting Risk"]), *[own.random() for _ in META_FEATURES]) for i in range(60)]
+    meta = spark.createDataFrame(rows, "slice long, risk string, " + ", ".join(f"{f} double" for f in META_FEATURES))
+    calls = []
+    monkeypatch.setattr(Q, "_slices", lambda *_: meta)
+    monkeypatch.setattr(Q, "_rows_of", {})
+    monkeypatch.setattr(N, "GRID", {"numTrees": [3, 4], "maxDepth": [2], "minInstancesPerNode": [1], "weightCol": ["weight_equal"]})
+    for name in ("meta_train", "load_model"):
+        monkeypatch.setattr(N, name, lambda *args, name=name, real=getattr(N, name): calls.append(name) or real(*args))
+    return Q, calls
+
+
+def test_registered_model_searches_all_settings_of_the_library(spark, monkeypatch):
+    from suite import learning as Q
+
+    assert "36::bigint as settings" in Q.ORACLES["meta_train"]
+    Q, calls = _few_settings(spark, monkeypatch)
+    found = [json.loads(r["settings"])["numTrees"] for r in Q.meta_train_values(spark, "few").collect()]
+    assert sorted(found) == [3, 4] and calls == ["meta_train"]
+    assert Q.feature_importance_values(spark, "few").count() == 10 and calls == ["meta_train"]
+
+
+def test_saved_model_was_fitted_and_not_read(spark, monkeypatch):
+    Q, calls = _few_settings(spark, monkeypatch)
+    for _ in range(2):
+        calls.clear()
+        rows = Q.model_save_load_values(spark, "few").collect()
+        assert calls == ["meta_train", "load_model"]
+        assert len(rows) == 12 and all(r["same"] and r["fitted"] == r["reloaded"] for r in rows)
