@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(first, "doc_id", "left_semi").select("*", nth.alias("_nth")).where("_nth = 1").drop("_nth")
+    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").select("*", nth.alias("_nth")).where("_nth = 1").drop("_nth")
     return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

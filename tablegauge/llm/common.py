@@ -34,14 +34,15 @@ def joined_by_key(rows: DataFrame, found: DataFrame, key: str, n: str, total: in
     """``rows`` with the columns of ``found``, which has one row per ``key`` and in ``n`` its count of rows.
 
     Keys that hold more than ``HOT_SHARE`` of all rows are fewer than ``1 / HOT_SHARE``: only these are
-    broadcast, so that no task gets all rows of one key. The others are joined by a shuffle.
+    broadcast, so that no task gets all rows of one key. The others are joined by a shuffle, however small Spark
+    takes them for: files of equal or ordered numbers hold far more rows than their size tells.
     """
     hot = F.col(n) > F.lit(total * HOT_SHARE)
     few = F.broadcast(found.where(hot).drop(n))
     names = found.where(hot).select(F.col(key).alias("_hot_key"))
     apart = rows.join(F.broadcast(names), rows[key] == F.col("_hot_key"), "left")
     often = apart.where(F.col("_hot_key").isNotNull()).drop("_hot_key").join(few, key)
-    seldom = apart.where(F.col("_hot_key").isNull()).drop("_hot_key").join(found.where(~hot).drop(n), key, how)
+    seldom = apart.where(F.col("_hot_key").isNull()).drop("_hot_key").join(found.where(~hot).drop(n).hint("merge"), key, how)
     return often.select(seldom.columns).unionByName(seldom)
 
 

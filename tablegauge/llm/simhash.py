@@ -79,7 +79,8 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     cleared = F.filter(F.transform(masks, lambda m: F.col("second").bitwiseAND(m)), lambda x: x != F.col("second"))
     asked = rows.select("at", "first", F.explode(F.concat(F.array("second"), cleared)).alias("second"),
                         F.col("second").alias("had"), F.col("bits").alias("p"), F.col("turn").alias("p_turn"))
-    met = rows.join(asked, ["at", "first", "second"])
+    # Spark takes each side for as large as the fingerprints, though it has many rows for each of them: never broadcast one.
+    met = rows.join(asked.hint("merge"), ["at", "first", "second"])
     apart = F.col("turn").bitwiseXOR(F.col("p_turn"))
     # The pair that agrees in the second segment meets both ways, the one that differs there only one way.
     chain = (F.col("second") != F.col("had")) | (F.col("bits") < F.col("p"))
@@ -103,10 +104,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3, seed: int
     nodes = staged(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     tied = staged(components(links(nodes.select("bits"), distance)).withColumnRenamed("node", "bits"), "components")
     # Only fingerprints with a link need the least id of others.
-    inside = nodes.join(tied, "bits")
+    inside = nodes.join(tied.hint("merge"), "bits")
     least = inside.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     known = joined_by_key(tied, least, "component", "n", max(1, tied.count())).select("bits", F.col("component_id").alias("linked_id"), F.lit(True).alias("linked"))
-    owner = staged(nodes.join(known, "bits", "left").select(
+    owner = staged(nodes.join(known.hint("merge"), "bits", "left").select(
         "bits", "n", F.when(F.col("linked"), F.col("linked_id")).otherwise(F.col("least")).alias("component_id")), "owners")
     return joined_by_key(prints, owner, "bits", "n", total).select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.llm.components import components
 from tablegauge.llm.simhash import links, near_duplicates
+from tablegauge.llm.common import joined_by_key
 from tests.llm.helpers import LOWER, WORD, documents, prose, texts
 
 
@@ -84,3 +85,17 @@ def test_components(spark):
     expected = least_reachable(linked, pairs)
     assert got == expected
     assert components(frame.limit(0)).collect() == [] and components(frame.select(F.col("a"), F.col("a").alias("b"))).collect() == []
+
+
+def test_sides_that_look_small_are_not_broadcast(spark):
+    """A fingerprint has some 40 rows in the join of the segments, and Spark takes them for the size of the fingerprint."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    prints = spark.range(50).selectExpr("xxhash64(id) as bits")
+    found = plan(links(prints))
+    assert "SortMergeJoin" in found and "BroadcastExchange" not in found
+    looked_up = spark.range(5).selectExpr("id as key", "id * 2 as other", "id % 3 as n")
+    rows = spark.range(50).selectExpr("id % 5 as key")
+    again = joined_by_key(rows, looked_up, "key", "n", 200)
+    assert plan(again).count("SortMergeJoin") == 1 and again.count() == 50
